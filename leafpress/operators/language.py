@@ -27,15 +27,12 @@ def voted_language(text: Column) -> Column:
     """Language whose frequent words occur most, NULL if none occurs."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
 
+    def count(ws: Column, stops: tuple[str, ...]) -> Column:
+        return F.size(F.filter(ws, lambda w: w.isin(*stops)))
+
     def vote(ws: Column) -> Column:
         counts = F.array(
-            *[
-                F.struct(
-                    F.size(F.filter(ws, lambda w, stops=stops: w.isin(*stops))).alias("n"),
-                    F.lit(lang).alias("lang"),
-                )
-                for lang, stops in sorted(STOPWORDS.items())
-            ]
+            *[F.struct(count(ws, stops).alias("n"), F.lit(lang).alias("lang")) for lang, stops in sorted(STOPWORDS.items())]
         )
         best = F.array_max(counts)
         return F.when(best["n"] > 0, best["lang"])
