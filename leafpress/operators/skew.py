@@ -85,12 +85,11 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") ->
     return rank_slices(sliced(df, keys, order), keys, order, out).drop("_slice", "_all")
 
 
-def running_max(slices: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Maximum of ``value`` up to and including each row of its key, on sliced rows."""
+def running(slices: DataFrame, keys: list[str], order: list[str], value: str, out: str, how: str) -> DataFrame:
+    """Running 'max' or 'sum' of ``value`` up to and including each row, on sliced rows."""
     local = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = carry(slices, keys, F.max(value), "_before", F.max)
-    return (
-        _attach(slices, keys, carried)
-        .withColumn(out, F.greatest(F.max(value).over(local), F.col("_before")))
-        .drop("_before")
-    )
+    agg = {"max": F.max, "sum": F.sum}[how]
+    carried = carry(slices, keys, agg(value), "_before", agg)
+    here = agg(value).over(local)
+    joined = F.greatest(here, F.col("_before")) if how == "max" else here + F.coalesce(F.col("_before"), F.lit(0))
+    return _attach(slices, keys, carried).withColumn(out, joined).drop("_before")
