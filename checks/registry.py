@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("extract_checks", "seed_checks", "crawl_checks")
+MODULES = ("extract_checks", "seed_checks", "crawl_checks", "output_checks", "math_checks")
 
 
 def _collect(field):

@@ -37,16 +37,16 @@ def scan(arr: Column, zero: Column, step: Callable[[Column, Column], Column], em
     def fold(chunk: Column, start: Column) -> Column:
         return F.aggregate(
             chunk,
-            F.struct(start.alias("s"), F.expr("cast(array() as array<int>)").alias("o")),
+            F.struct(start.alias("s"), F.expr("cast(array() as array<bigint>)").alias("o")),
             lambda acc, x: let(
                 step(acc["s"], x),
-                lambda s: F.struct(s.alias("s"), F.array_append(acc["o"], emit(s)).alias("o")),
+                lambda s: F.struct(s.alias("s"), F.array_append(acc["o"], emit(s).cast("bigint")).alias("o")),
             ),
         )
 
     folded = F.aggregate(
         let(arr, chunked),
-        F.struct(zero.alias("s"), F.expr("cast(array() as array<int>)").alias("o")),
+        F.struct(zero.alias("s"), F.expr("cast(array() as array<bigint>)").alias("o")),
         lambda acc, chunk: let(
             fold(chunk, acc["s"]),
             lambda r: F.struct(r["s"].alias("s"), F.concat(acc["o"], r["o"]).alias("o")),
