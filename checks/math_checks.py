@@ -114,7 +114,7 @@ FIRST = [
     "'$$a &= ' || l_linenumber || ' b$$'",
     "NULL",
     "NULL",
-    "'$k$'",
+    "NULL",
 ]
 
 
@@ -173,7 +173,7 @@ def _content():
         if kind == "none":
             out.append("'Before ' || p_size || ' after'")
         elif i == 8:
-            out.append(f"'Before' || chr(10) || chr(10) || '$$' || {PLAIN_TEX} || '$$ after'")
+            out.append(f"'Before' || chr(10) || chr(10) || '$$' || {PLAIN_TEX} || '$$' || chr(10) || chr(10) || 'after'")
         elif i == 9:
             out.append("'Before $' || " + MATRIX_TEX.replace("&amp;", "&") + " || '$ after'")
         elif kind == "display":
