@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    from leafpress.sources.pages import spread
+
+    return spread(table(spark, sf, name), key=key)
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """The pages, spread over the cores where the file has fewer row groups.
 

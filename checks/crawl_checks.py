@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import pages, table
+from checks.common import pages, spread_table, table
 from leafpress.functions import urls as U
 from leafpress.operators import crawl as C
 from leafpress.operators import links as L
@@ -54,7 +54,7 @@ def link_pages(spark, sf):
     second = "CAST((o_orderkey DIV 16) % 16 AS INT)"
     refs = _case([r for r, _ in REFS], "CAST(o_orderkey % 16 AS INT)"), _case([r for r, _ in REFS], second)
     html = f"""concat('<p><!-- <a href="/no">x</a> --><a href="', {refs[0]}, '">one</a> <A class=k HREF=''', {refs[1]}, '''>two</A><a name="n">t</a><a href="', {refs[1]}, '">again</a>')"""
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), F.expr(html).alias("html"))
+    return spread_table(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("page_id"), F.lit(BASE).alias("url"), F.expr(html).alias("html"))
 
 
 TARGETS = [t for _, t in REFS]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import pages, table
+from checks.common import pages, spread_table, table
 from leafpress.functions import tex as X
 from leafpress.operators.extract import extract_pages
 from leafpress.operators.math import math_totals, normalize_math
@@ -46,7 +46,7 @@ def _cases(values, op="%"):
 
 def math_pages(spark, sf):
     html = f"concat('<p>Before ', {_cases([h for _, h in FORMS])}, ' after</p>')"
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.expr(f"concat('https://m.example.com/', p_partkey)").alias("url"), F.expr(html).alias("html"))
+    return spread_table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(f"concat('https://m.example.com/', p_partkey)").alias("url"), F.expr(html).alias("html"))
 
 
 def _duck(e):

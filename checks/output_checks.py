@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import pages, table
+from checks.common import pages, spread_table, table
 from checks.extract_checks import LANG, META_SQL, TITLE, content_sql, meta_pages
 from leafpress.functions import urls as U
 from leafpress.functions.names import image_filename, output_filename
@@ -15,6 +15,7 @@ from leafpress.operators.metadata import page_metadata
 from leafpress.operators.report import progress
 from leafpress.operators.skew import ranked
 from leafpress.plans.batch import run_list
+from leafpress.session import cut_lineage
 from leafpress.sources.pages import resolve_pages
 
 BASE = "CASE p_partkey % 3 WHEN 0 THEN concat('https://i.example.com/d', p_size) WHEN 1 THEN concat('https://i.example.com/d', p_size, '/') ELSE concat('https://i.example.com/d', p_size, '/page.html') END"
@@ -25,7 +26,7 @@ IMG_HTML = """concat('<p><img src="https://cdn.example.com/a/', p_partkey, '.JPG
 
 
 def image_pages(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.expr(BASE).alias("url"), F.expr(IMG_HTML).alias("html"))
+    return spread_table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("page_id"), F.expr(BASE).alias("url"), F.expr(IMG_HTML).alias("html"))
 
 
 def name_sql(url, name, ext):
@@ -49,8 +50,8 @@ def image_rows():
 FETCH = "SELECT url, attempt, CASE WHEN length(url) % 5 <> 0 OR attempt = length(url) % 4 THEN 200 WHEN attempt = 2 THEN NULL ELSE 500 END AS status"
 
 
-def attempts(spark, sf):
-    urls = I.image_table(image_pages(spark, sf)).select("url").distinct()
+def attempts(spark, images):
+    urls = images.select("url").distinct()
     rows = urls.select("url", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("attempt"))
     rows.createOrReplaceTempView("image_attempts")
     return spark.sql(f"{FETCH} FROM image_attempts")
@@ -65,8 +66,8 @@ maps AS (SELECT page_id, key, max_by(value, o) AS value FROM pairs GROUP BY 1, 2
 
 
 def mapped(spark, sf):
-    images = I.image_table(image_pages(spark, sf))
-    return I.image_mapping(images, I.fetch_outcome(attempts(spark, sf)))
+    images = cut_lineage(I.image_table(image_pages(spark, sf)))
+    return I.image_mapping(images, I.fetch_outcome(attempts(spark, images)))
 
 
 def image_mapping(spark, sf):
@@ -214,7 +215,7 @@ QUERIES = {
     "image_base_url": image_base_url,
     "images_dedupe": lambda s, sf: I.image_table(image_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_images")),
     "image_filename": filename,
-    "image_fetch_outcome": lambda s, sf: I.fetch_outcome(attempts(s, sf)),
+    "image_fetch_outcome": lambda s, sf: I.fetch_outcome(attempts(s, I.image_table(image_pages(s, sf)))),
     "image_mapping": image_mapping,
     "rewrite_md_images": rewrite_md,
     "rewrite_html_images": rewrite_html,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = 128
@@ -19,6 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    Filters on a plain projected column are pushed below the projection, which
+    copies its expression into the filter.  They stop at a generator, here one
+    that gives a single row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def scan(arr: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column]) -> Column:
     """Running fold: one integer, made by ``emit``, of the state after each element.
 
@@ -87,3 +97,12 @@ def replace_each(text: Column, pattern: str, repl: Callable[[Column], Column]) -
 def collapse_spaces(text: Column) -> Column:
     """White space runs to one blank, ends trimmed; single blanks are not touched."""
     return F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x{00a0}]{2,}|[\t\r\n\f\x{00a0}]", " "))
+
+
+# The characters that str.strip takes off.
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Take white space off both ends."""
+    return F.btrim(text, F.lit(_BLANKS))

@@ -120,17 +120,30 @@ def decode_entities(text: Column) -> Column:
     return let(text, decode)
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Raw value of an attribute of one tag, NULL if it is absent.
+def attributes(tag: Column) -> Column:
+    """The ``name=value`` pairs of one tag, as they are written.
 
-    Attributes are read one after the other, so a name inside another
-    attribute's value is not taken for an attribute.
+    They are read one after the other, so a name inside another attribute's
+    value is not taken for an attribute.
     """
-    pairs = F.regexp_extract_all(
+    return F.regexp_extract_all(
         tag, F.lit(r"""(?<=[\s"'/])[^\s"'<>/=]+\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]+)"""), F.lit(0)
     )
+
+
+def pick(pairs: Column, name: str) -> Column:
+    """Raw value of an attribute from :func:`attributes`, NULL if it is absent."""
     named = F.get(F.filter(pairs, lambda p: p.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
-    return F.regexp_replace(F.regexp_replace(named, r"^[^=]*=\s*", ""), r"""^(["'])(.*)\1$""", "$2")
+
+    def unquote(v: Column) -> Column:
+        quoted = v.startswith('"') | v.startswith("'")
+        return F.when(quoted, F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+
+    return let(let(named, lambda p: F.ltrim(F.substr(p, F.instr(p, "=") + 1), F.lit(" \t\r\n\f"))), unquote)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    return pick(attributes(tag), name)
 
 
 def elements(html: Column, names: str) -> Column:

@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
-from leafpress.functions.arrays import let
-from leafpress.sources.url_lists import strip
+from leafpress.functions.arrays import let, strip
 
 # Signs that a page holds math; upper and lower case alike.
 MATH_SIGNS = (

@@ -58,13 +58,15 @@ def source_kind(source: Column) -> Column:
 
 def defragment(url: Column) -> Column:
     """Drop the fragment (and an empty query), keep query and parameters."""
-    return F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"\?$", "")
+    bare = F.substring_index(url, "#", 1)
+    return F.when(bare.endswith("?"), F.substr(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
 
 
 def is_crawlable(url: Column) -> Column:
     """http or https, a host, and not a file ending from the fixed list."""
     endings = "|".join(SKIPPED_EXTENSIONS)
-    return url.rlike(r"^(?i:https?)://[^/?#]") & ~F.lower(path(url)).rlike(rf"\.(?:{endings})$")
+    is_file = url.rlike(rf"(?i)^[a-z]+://[^/?#]*/[^?#]*\.(?:{endings})(?:;[^/?#]*)?(?:[?#]|$)")
+    return url.rlike(r"^(?i:https?)://[^/?#]") & ~is_file
 
 
 def image_base(url: Column) -> Column:
@@ -99,37 +101,68 @@ def _drop_dots(full: Column) -> Column:
     return rooted
 
 
-def join(base: Column, ref: Column) -> Column:
-    """Absolute form of ``ref`` on a page at ``base`` (RFC 3986 resolution)."""
-    cleaned = F.translate(F.regexp_replace(ref, r"^[\x00-\x20]+", ""), "\t\r\n", "")
-
-    def resolve(r: Column) -> Column:
-        base_scheme = scheme(base)
-        ref_scheme = scheme(r)
-        same = ref_scheme == base_scheme
-        # "http:rest" with the scheme of the base is a relative reference
-        bare = F.when(same & ~r.rlike(_SCHEME + "//"), F.regexp_replace(r, _SCHEME, "")).otherwise(r)
-        base_path = F.regexp_extract(base, _PATH, 1)
-        base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
-        ref_path = F.regexp_extract(bare, r"^([^?#]*)", 1)
-        ref_tail = F.regexp_extract(bare, r"^[^?#]*(.*)$", 1)
-        site = F.concat(base_scheme, F.lit("://"), netloc(base))
+def base_parts(base: Column) -> Column:
+    """The parts of a base URL that references are resolved against."""
+    return let(
+        F.struct(scheme(base).alias("scheme"), netloc(base).alias("netloc")),
+        lambda b: F.struct(
+            base.alias("url"),
+            b["scheme"].alias("scheme"),
+            F.concat(b["scheme"], F.lit("://"), b["netloc"]).alias("site"),
+            F.regexp_extract(base, _PATH, 1).alias("path"),
+            F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+        ),
+    )
+
+
+def resolve(parts: Column, ref: Column) -> Column:
+    """Absolute form of ``ref`` for a base given by :func:`base_parts` (RFC 3986)."""
+    cleaned = F.translate(F.ltrim(ref, F.lit("".join(map(chr, range(1, 0x21))))), "\t\r\n", "")
+
+    def relative(r: Column) -> Column:
+        path_part = F.regexp_extract(r, r"^([^?#]*)", 1)
+
+        def build(ref_path: Column) -> Column:
+            tail = F.substr(r, F.length(ref_path) + 1)
+            return (
+                F.when((ref_path == "") & tail.startswith("?"), F.concat(parts["site"], parts["path"], tail))
+                .when(ref_path == "", F.concat(parts["site"], parts["path"], parts["query"], tail))
+                .otherwise(F.concat(parts["site"], _merge_path(parts["path"], ref_path), tail))
+            )
+
+        return let(path_part, build)
+
+    def with_scheme(r: Column, ref_scheme: Column) -> Column:
+        same = ref_scheme == parts["scheme"]
+        rest = F.substr(r, F.length(ref_scheme) + 2)
         return (
-            F.when(r == "", base)
-            .when((ref_scheme != "") & ~same, r)
-            .when(r.rlike(_SCHEME + "//"), F.concat(ref_scheme, F.substr(r, F.length(ref_scheme) + 1)))
-            .when(bare.startswith("//"), F.concat(base_scheme, F.lit(":"), bare))
-            .when((ref_path == "") & ref_tail.startswith("?"), F.concat(site, base_path, ref_tail))
-            .when(ref_path == "", F.concat(site, base_path, base_query, ref_tail))
-            .otherwise(F.concat(site, _merge_path(base_path, ref_path), ref_tail))
+            F.when(~same, r)
+            .when(rest.startswith("//"), F.concat(ref_scheme, F.lit(":"), rest))
+            # "http:rest" with the scheme of the base is a relative reference
+            .otherwise(relative(rest))
         )
 
-    return let(cleaned, resolve)
+    def choose(r: Column) -> Column:
+        return (
+            F.when(r == "", parts["url"])
+            .when(r.startswith("//"), F.concat(parts["scheme"], F.lit(":"), r))
+            .when(r.startswith("/") & ~F.contains(r, F.lit("/.")), F.concat(parts["site"], r))
+            .otherwise(let(scheme(r), lambda s: F.when(s == "", relative(r)).otherwise(with_scheme(r, s))))
+        )
+
+    return let(cleaned, choose)
+
+
+def join(base: Column, ref: Column) -> Column:
+    """Absolute form of ``ref`` on a page at ``base``."""
+    return let(base_parts(base), lambda parts: resolve(parts, ref))
 
 
 def lower_scheme(url: Column) -> Column:
-    s = F.regexp_extract(url, _SCHEME, 1)
-    return F.concat(F.lower(s), F.substr(url, F.length(s) + 1))
+    lowered = let(
+        F.regexp_extract(url, _SCHEME, 1), lambda s: F.concat(F.lower(s), F.substr(url, F.length(s) + 1))
+    )
+    return F.when(url.startswith("https://") | url.startswith("http://"), url).otherwise(lowered)
 
 
 def percent_decode(text: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
-from leafpress.functions.arrays import collapse_spaces, first_by, let, replace_each, scan
+from leafpress.functions.arrays import collapse_spaces, first_by, let, replace_each, scan, with_computed
 from leafpress.operators.language import page_language
 from leafpress.operators.metadata import page_metadata
 
@@ -56,7 +56,7 @@ def _flags(tag: Column) -> Column:
     def test(marks: Column) -> Column:
         return F.array(*[marks.rlike(rf"(?i)(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)") for w in _FLAG_WORDS])
 
-    both = F.concat_ws(" ", H.attribute(tag, "class"), H.attribute(tag, "id"))
+    both = let(H.attributes(tag), lambda a: F.concat_ws(" ", H.pick(a, "class"), H.pick(a, "id")))
     # most tags have no class or id: do not read attributes for them
     return F.when(tag.rlike("(?i)(?:class|id)[ =]"), let(both, test))
 
@@ -142,9 +142,12 @@ def _marked(fragment: Column, links: bool, images: bool, formatting: bool) -> Co
         out = replace_each(
             out,
             "(?i)" + H.tag_pattern("img"),
-            lambda t: F.concat(
-                F.lit("!["), F.coalesce(H.attribute(t, "alt"), F.lit("")),
-                F.lit("]("), F.coalesce(H.attribute(t, "src"), F.lit("")), F.lit(")"),
+            lambda t: let(
+                H.attributes(t),
+                lambda a: F.concat(
+                    F.lit("!["), F.coalesce(H.pick(a, "alt"), F.lit("")),
+                    F.lit("]("), F.coalesce(H.pick(a, "src"), F.lit("")), F.lit(")"),
+                ),
             ),
         )
     if formatting:
@@ -156,8 +159,9 @@ def _marked(fragment: Column, links: bool, images: bool, formatting: bool) -> Co
         out = replace_each(
             out,
             rf"(?is){_LINK}.*?</a\s*>",
-            lambda t: F.when(H.attribute(t, "href").isNull(), t).otherwise(
-                F.concat(F.lit("["), F.trim(H.strip_tags(t)), F.lit("]("), H.attribute(t, "href"), F.lit(")"))
+            lambda t: let(
+                H.attribute(F.regexp_extract(t, "(?is)^" + _LINK, 0), "href"),
+                lambda h: F.coalesce(F.concat(F.lit("["), F.trim(H.strip_tags(t)), F.lit("]("), h, F.lit(")")), t),
             ),
         )
     return _plain(out)
@@ -336,8 +340,8 @@ def extract_pages(
 
         source = normalize_math(pages)
     html = F.col("html")
-    # the URL of a row is where relative image sources start from
-    out = source.withColumn(
+    out = with_computed(
+        source,
         "_kept",
         keep_blocks(
             blocks(html, include_links, include_images, include_formatting),

@@ -24,22 +24,25 @@ def images_of(html: Column, page_url: Column) -> Column:
     with one URL is kept.
     """
 
-    def value(tag: Column, name: str) -> Column:
-        return H.decode_entities(H.attribute(tag, name))
-
-    def image(base: Column, tag: Column) -> Column:
-        return let(
-            value(tag, "src"),
-            lambda src: F.struct(
-                U.join(base, src).alias("url"),
-                F.coalesce(value(tag, "alt"), F.lit("")).alias("alt"),
-                F.coalesce(value(tag, "title"), F.lit("")).alias("title"),
-                src.alias("original_src"),
-            ),
-        )
+    def image(parts: Column, tag: Column) -> Column:
+        def build(pairs: Column) -> Column:
+            values = F.transform(
+                F.array(*[H.pick(pairs, n) for n in ("src", "alt", "title")]), lambda v: H.decode_entities(v)
+            )
+            return let(
+                values,
+                lambda v: F.struct(
+                    U.resolve(parts, F.get(v, 0)).alias("url"),
+                    F.coalesce(F.get(v, 1), F.lit("")).alias("alt"),
+                    F.coalesce(F.get(v, 2), F.lit("")).alias("title"),
+                    F.get(v, 0).alias("original_src"),
+                ),
+            )
+
+        return let(H.attributes(tag), build)
 
-    def find(base: Column) -> Column:
-        found = F.transform(H.elements(H.strip_hidden(html), "img"), lambda t: image(base, t))
+    def find(parts: Column) -> Column:
+        found = F.transform(H.elements(H.strip_hidden(html), "img"), lambda t: image(parts, t))
         usable = F.filter(
             found, lambda i: i["original_src"].isNotNull() & (i["original_src"] != "") & ~i["url"].startswith("data:")
         )
@@ -51,7 +54,7 @@ def images_of(html: Column, page_url: Column) -> Column:
             ),
         )
 
-    return let(U.image_base(page_url), find)
+    return let(U.base_parts(U.image_base(page_url)), find)
 
 
 def image_table(pages: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import let
-from leafpress.sources.url_lists import strip
+from leafpress.functions.arrays import let, strip
 
 
 def hrefs(html: Column) -> Column:
@@ -16,17 +15,26 @@ def hrefs(html: Column) -> Column:
     raw = F.transform(
         H.elements(H.strip_hidden(html), "a"), lambda t: strip(H.decode_entities(H.attribute(t, "href")))
     )
-    return F.filter(raw, lambda h: h.isNotNull() & (h != "") & ~h.rlike("^(?:#|javascript:|mailto:)"))
+    skipped = ("#", "javascript:", "mailto:")
+    return F.filter(
+        raw, lambda h: (h != "") & ~(h.startswith(skipped[0]) | h.startswith(skipped[1]) | h.startswith(skipped[2]))
+    )
 
 
 def clean_link(base: Column, href: Column) -> Column:
     """Absolute link without its fragment."""
-    return let(U.join(base, href), lambda u: U.lower_scheme(U.defragment(u)))
+    return _tidy(U.join(base, href))
+
+
+def _tidy(url: Column) -> Column:
+    return let(url, lambda u: U.lower_scheme(U.defragment(u)))
 
 
 def links_of(html: Column, base: Column) -> Column:
     """Distinct crawlable links of a page, by first place on the page."""
-    absolute = F.transform(hrefs(html), lambda h: clean_link(base, h))
+    absolute = let(
+        U.base_parts(base), lambda parts: F.transform(hrefs(html), lambda h: _tidy(U.resolve(parts, h)))
+    )
     return F.array_distinct(F.filter(absolute, U.is_crawlable))
 
 

@@ -31,9 +31,11 @@ def _meta_map(head: Column) -> Column:
     """First non-empty content of each meta name, as a map."""
     entries = F.transform(
         H.elements(head, "meta"),
-        lambda t: F.struct(
-            F.lower(F.trim(H.attribute(t, "(?:name|property|itemprop)"))).alias("k"),
-            H.attribute(t, "content").alias("v"),
+        lambda t: let(
+            H.attributes(t),
+            lambda a: F.struct(
+                F.lower(F.trim(H.pick(a, "(?:name|property|itemprop)"))).alias("k"), H.pick(a, "content").alias("v")
+            ),
         ),
     )
     useful = F.filter(entries, lambda e: e["k"].isNotNull() & (F.trim(e["v"]) != ""))

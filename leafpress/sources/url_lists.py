@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
-
-
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+from leafpress.functions.arrays import strip
 
 
 def read_url_lists(spark: SparkSession, path: str) -> DataFrame:
