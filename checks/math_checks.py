@@ -123,7 +123,7 @@ def _snippet(values):
 
 
 def snippets(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_snippet(SNIPPETS)).alias("text"))
+    return spread_table(spark, sf, "lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", F.expr(_snippet(SNIPPETS)).alias("text"))
 
 
 def tex_delimited(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import table
+from checks.common import spread_table, table
 from leafpress.functions import urls as U
 from leafpress.operators import globs as G
 from leafpress.sources import url_lists as L
@@ -16,7 +16,7 @@ LIST_TEXT = """concat(CASE WHEN o_orderkey % 4 = 0 THEN '# nothing here' ELSE co
 
 
 def list_files(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("file"), F.expr(LIST_TEXT).alias("text"))
+    return spread_table(spark, sf, "orders", "o_orderkey").select(F.col("o_orderkey").alias("file"), F.expr(LIST_TEXT).alias("text"))
 
 
 LINES_SQL = """lines AS (SELECT o_orderkey AS file, * FROM (
@@ -38,7 +38,7 @@ FORMS = {
 
 
 def globs(spark, sf, form):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("seed_id"), F.expr(f"concat({HOST}, {FORMS[form]})").alias("url"))
+    return spread_table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("seed_id"), F.expr(f"concat({HOST}, {FORMS[form]})").alias("url"))
 
 
 def expanded(form):

@@ -7,7 +7,9 @@ shuffle.  All are linear (or n log n) in the array length.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expressions that ``make`` builds for plain arguments.
+
+    An expression names its columns and belongs to no DataFrame, so it can be
+    used again; building a large one takes seconds of driver time.  Kept per
+    Spark context.
+    """
+    kept: dict = {}
+
+    @wraps(make)
+    def wrapper(*args):
+        context = SparkContext._active_spark_context
+        key = (id(context), getattr(context, "applicationId", None), args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return wrapper
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that is computed once per row.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import urls as U
 from leafpress.operators.extract import extract_pages
-from leafpress.operators.links import links_of
+from leafpress.operators.links import page_links
 from leafpress.operators.robots import allowed_only
 from leafpress.operators.skew import running, skew_join, sliced
 from leafpress.session import cut_lineage, shuffle_width
@@ -32,7 +32,7 @@ def page_index(pages: DataFrame, **options) -> DataFrame:
 
     ``pages`` holds one row per URL.
     """
-    with_links = pages.withColumn("links", links_of(F.col("html"), F.col("url")))
+    with_links = pages.withColumn("links", page_links("html", "url"))
     return extract_pages(with_links, with_metadata=False, **options).select(
         "url", (F.col("status") == "ok").alias("ok"), "links"
     )
@@ -159,7 +159,7 @@ def crawl_pages(
     Pages are extracted and their links read once; the walk itself only handles
     URLs, and content is joined at the end.
     """
-    with_links = pages.withColumn("links", links_of(F.col("html"), F.col("url")))
+    with_links = pages.withColumn("links", page_links("html", "url"))
     results = cut_lineage(extract_pages(with_links, **options))
     index = results.select("url", (F.col("status") == "ok").alias("ok"), "links")
     walked = crawl(index, seeds, max_depth, max_pages, same_domain_only, robots).filter("status = 'ok'").drop("status")

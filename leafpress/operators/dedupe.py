@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import urls as U
-from leafpress.operators.extract import blocks
+from leafpress.operators.extract import all_blocks
 from leafpress.operators.skew import skew_join
 
 
@@ -14,7 +14,7 @@ def host_blocks(pages: DataFrame) -> DataFrame:
     """``(page_id, block_no, host, text, key)``: the text blocks with their host."""
     return (
         pages.filter(F.col("html").isNotNull())
-        .select("page_id", U.netloc(F.col("url")).alias("host"), F.posexplode(blocks(F.col("html"))).alias("block_no", "b"))
+        .select("page_id", U.netloc(F.col("url")).alias("host"), F.posexplode(all_blocks("html")).alias("block_no", "b"))
         .select("page_id", "block_no", "host", F.col("b.text").alias("text"), F.lower("b.text").alias("key"))
     )
 

@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
-from leafpress.functions.arrays import collapse_spaces, first_by, let, replace_each, scan, with_computed
+from leafpress.functions.arrays import built_once, collapse_spaces, first_by, let, replace_each, scan, with_computed
 from leafpress.operators.language import page_language
-from leafpress.operators.metadata import page_metadata
+from leafpress.operators.metadata import metadata_of
 
 MIN_PRECISE_CHARS = 25
 MAX_LINK_SHARE = 0.5
@@ -236,7 +236,7 @@ def is_content(block: Column) -> Column:
 
 
 def keep_blocks(
-    all_blocks: Column,
+    found: Column,
     include_tables: bool = True,
     include_comments: bool = False,
     include_images: bool = False,
@@ -264,10 +264,24 @@ def keep_blocks(
             lambda b: (b["in_article"] | ~has_article) & (b["kind"].rlike("^h[1-6]$") | (b["chars"] >= MIN_PRECISE_CHARS)),
         )
 
-    kept = let(all_blocks, choose)
+    kept = let(found, choose)
     return first_by(kept, lambda b: F.lower(b["text"])) if deduplicate else kept
 
 
+@built_once
+def content_blocks(
+    html: str, links: bool, images: bool, formatting: bool, tables: bool, comments: bool, deduplicate: bool, precise: bool
+) -> Column:
+    """The kept blocks of the page in column ``html``."""
+    found = blocks(F.col(html), links, images, formatting)
+    return keep_blocks(found, tables, comments, images, deduplicate, precise)
+
+
+@built_once
+def all_blocks(html: str, links: bool = False, images: bool = False, formatting: bool = False) -> Column:
+    return blocks(F.col(html), links, images, formatting)
+
+
 def _prefix(kind: Column) -> Column:
     level = F.substr(kind, F.lit(2), F.lit(1)).try_cast("int")
     return (
@@ -301,11 +315,15 @@ def token_table(pages: DataFrame) -> DataFrame:
     )
 
 
+def _marks(links: bool = False, images: bool = False, formatting: bool = False) -> tuple[bool, bool, bool]:
+    return links, images, formatting
+
+
 def block_table(pages: DataFrame, **marks: bool) -> DataFrame:
     """One row per text block with its kind, flags and character counts."""
     return (
         pages.filter(F.col("html").isNotNull())
-        .select("page_id", F.posexplode(blocks(F.col("html"), **marks)).alias("block_no", "b"))
+        .select("page_id", F.posexplode(all_blocks("html", *_marks(**marks))).alias("block_no", "b"))
         .select("page_id", "block_no", "b.*")
     )
 
@@ -343,21 +361,20 @@ def extract_pages(
     out = with_computed(
         source,
         "_kept",
-        keep_blocks(
-            blocks(html, include_links, include_images, include_formatting),
-            include_tables, include_comments, include_images, deduplicate, favor_precision,
+        content_blocks(
+            "html", include_links, include_images, include_formatting,
+            include_tables, include_comments, deduplicate, favor_precision,
         ),
     )
     if extract_images and fmt == "markdown":
-        from leafpress.operators.images import images_of
+        from leafpress.operators.images import page_images
 
-        out = out.withColumn("images", images_of(html, F.col("url")))
+        out = out.withColumn("images", page_images("html", "url"))
     out = out.withColumn("_body", markdown(F.col("_kept")) if fmt == "markdown" else plain_text(F.col("_kept")))
     if target_lang:
         out = out.withColumn("_lang", page_language(html, F.col("_body")))
-    meta = page_metadata(html, F.col("url") if "url" in pages.columns else None)
     if with_metadata:
-        out = out.withColumn("metadata", meta)
+        out = out.withColumn("metadata", metadata_of("html", "url" if "url" in pages.columns else None))
     out = out.drop("html", "_kept")
     status = F.when(F.col("_body").isNull(), F.lit("no_page")).when(F.trim("_body") == "", F.lit("empty"))
     if target_lang:

@@ -82,25 +82,21 @@ def pattern_value(p: Column, i: Column) -> Column:
 
 
 def _put(url: Column, pattern: Column, value: Column) -> Column:
-    at = F.instr(url, pattern)
-    replaced = F.concat(F.substr(url, F.lit(1), at - 1), value, F.substr(url, at + F.length(pattern)))
-    return F.when(at == 0, url).otherwise(replaced)
+    """Replace the first occurrence only."""
 
+    def replaced(at: Column) -> Column:
+        whole = F.concat(F.substr(url, F.lit(1), at - 1), value, F.substr(url, at + F.length(pattern)))
+        return F.when(at == 0, url).otherwise(whole)
 
-def _nth(url: Column, patterns: Column, sizes: Column, n: Column) -> Column:
+    return let(F.instr(url, pattern), replaced)
+
+
+def _nth(url: Column, places: Column, n: Column) -> Column:
     """URL number ``n`` of the product; the last pattern runs fastest."""
-    places = F.transform(
-        patterns,
-        lambda p, i: F.struct(
-            p.alias("p"),
-            F.get(sizes, i).alias("size"),
-            F.aggregate(F.slice(sizes, i + 2, F.size(sizes)), F.lit(1).cast("long"), lambda a, s: a * s).alias("below"),
-        ),
-    )
     return F.aggregate(
         places,
         url,
-        lambda u, x: _put(u, x["p"]["pattern"], pattern_value(x["p"], F.floor(n / x["below"]) % x["size"])),
+        lambda u, x: _put(u, x["p"]["pattern"], pattern_value(x["p"], F.expr("0L") + F.floor(n / x["below"]) % x["size"])),
     )
 
 
@@ -111,11 +107,22 @@ def prepared(df: DataFrame, url: str = "url") -> DataFrame:
     beyond 18 digits): such a URL is rejected rather than ending the run.
     """
     sizes = F.transform("glob_patterns", pattern_size)
-    total = F.aggregate("glob_sizes", F.lit(1).cast("decimal(38,0)"), lambda a, s: (a * s).cast("decimal(38,0)"))
+    places = F.transform(
+        "glob_patterns",
+        lambda p, i: F.struct(
+            p.alias("p"),
+            F.get("glob_sizes", i).alias("size"),
+            F.aggregate(
+                F.slice("glob_sizes", i + 2, F.size("glob_sizes")), F.lit(1).cast("long"), lambda a, s: F.try_multiply(a, s)
+            ).alias("below"),
+        ),
+    )
+    total = F.aggregate("glob_sizes", F.lit(1).cast("decimal(38,0)"), lambda a, s: F.try_multiply(a, s.cast("decimal(20,0)")).try_cast("decimal(38,0)"))
     return (
         df.withColumn("glob_patterns", glob_patterns(F.col(url)))
         .withColumn("glob_sizes", sizes)
-        .withColumn("glob_total", F.when(F.exists("glob_sizes", lambda s: s == 0), F.lit(0)).otherwise(total).cast("long"))
+        .withColumn("glob_places", places)
+        .withColumn("glob_total", F.when(F.exists("glob_sizes", lambda s: s == 0), F.lit(0)).otherwise(total).try_cast("long"))
     )
 
 
@@ -136,7 +143,7 @@ def expand_globs(df: DataFrame, url: str = "url", in_row: int = IN_ROW) -> DataF
     last = F.col("glob_total") - 1
 
     def numbered(n: Column) -> Column:
-        return _nth(F.col(url), F.col("glob_patterns"), F.col("glob_sizes"), n)
+        return _nth(F.col(url), F.col("glob_places"), n)
 
     unrolled = F.transform(
         F.sequence(F.lit(0).cast("long"), last), lambda n: F.struct(n.alias("ordinal"), numbered(n).alias("url"))

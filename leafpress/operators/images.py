@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import first_by, let, replace_each
+from leafpress.functions.arrays import built_once, first_by, let, replace_each
 from leafpress.functions.names import image_filename
 from leafpress.operators.skew import skew_join
 
@@ -57,9 +57,14 @@ def images_of(html: Column, page_url: Column) -> Column:
     return let(U.base_parts(U.image_base(page_url)), find)
 
 
+@built_once
+def page_images(html: str, url: str) -> Column:
+    return images_of(F.col(html), F.col(url))
+
+
 def image_table(pages: DataFrame) -> DataFrame:
     """One row per image: ``(page_id, pos, url, alt, title, local_filename, original_src)``."""
-    return pages.select("page_id", F.posexplode(images_of(F.col("html"), F.col("url"))).alias("pos", "i")).select(
+    return pages.select("page_id", F.posexplode(page_images("html", "url")).alias("pos", "i")).select(
         "page_id", "pos", "i.*"
     )
 

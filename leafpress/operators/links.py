@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import let, strip
+from leafpress.functions.arrays import built_once, let, strip
 
 
 def hrefs(html: Column) -> Column:
@@ -38,6 +38,11 @@ def links_of(html: Column, base: Column) -> Column:
     return F.array_distinct(F.filter(absolute, U.is_crawlable))
 
 
+@built_once
+def page_links(html: str, url: str) -> Column:
+    return links_of(F.col(html), F.col(url))
+
+
 def raw_link_table(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
 
@@ -45,5 +50,5 @@ def raw_link_table(pages: DataFrame) -> DataFrame:
 def link_table(pages: DataFrame) -> DataFrame:
     """Edges ``(page_id, src_url, pos, dst_url)``; ``pos`` counts distinct links."""
     return pages.select(
-        "page_id", F.col("url").alias("src_url"), F.posexplode(links_of(F.col("html"), F.col("url"))).alias("pos", "dst_url")
+        "page_id", F.col("url").alias("src_url"), F.posexplode(page_links("html", "url")).alias("pos", "dst_url")
     )

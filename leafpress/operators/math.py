@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 
 from leafpress.functions import html as H
 from leafpress.functions import tex as X
-from leafpress.functions.arrays import let, replace_each, scan
+from leafpress.functions.arrays import built_once, let, replace_each, scan, with_computed
 from leafpress.functions.mathml import mathml_to_tex
 
 _OPAQUE = r"<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style[^>]*>|\z)"
@@ -150,6 +150,11 @@ def _replace_rendered(html: Column) -> Column:
     return F.when(html.rlike(_RENDERED), let(pieces, work)).otherwise(untouched)
 
 
+@built_once
+def _rendered_replaced(html: str) -> Column:
+    return _replace_rendered(F.col(html))
+
+
 def _is_block(fragment: Column) -> Column:
     opening = F.regexp_extract(fragment, r"(?is)^<math(?:\s[^>]*)?>", 0)
     return F.lower(F.coalesce(H.attribute(opening, "display"), F.lit(""))) == "block"
@@ -194,7 +199,7 @@ def normalize_math(pages: DataFrame, fallback: bool = True) -> DataFrame:
     remaining_math, remaining_katex, remaining_mathjax (all before the fallback)
     and fallback_processed.
     """
-    step = pages.withColumn("_r", _replace_rendered(F.col("html"))).withColumn("_h", F.col("_r.html"))
+    step = with_computed(pages, "_r", _rendered_replaced("html")).withColumn("_h", F.col("_r.html"))
     has_more = F.col("_h").rlike(r"(?i)<math[\s>]|math/tex")
     step = step.withColumn(
         "_h",

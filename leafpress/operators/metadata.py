@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import collapse_spaces, first_by, let
+from leafpress.functions.arrays import built_once, collapse_spaces, first_by, let
 from leafpress.operators.language import declared_language
 
 # Where each field is looked for, first hit wins.
@@ -78,6 +78,11 @@ def page_metadata(html: Column, url: Column | None = None) -> Column:
     return let(full, lambda m: F.when(F.coalesce(*[m[f].cast("string") for f in FIELDS]).isNotNull(), m))
 
 
+@built_once
+def metadata_of(html: str, url: str | None = None) -> Column:
+    return page_metadata(F.col(html), None if url is None else F.col(url))
+
+
 def metadata_table(pages: DataFrame) -> DataFrame:
     """One row per page with the metadata fields as columns."""
-    return pages.select("page_id", page_metadata(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.*")
+    return pages.select("page_id", metadata_of("html", "url").alias("m")).select("page_id", "m.*")

@@ -9,6 +9,7 @@ from leafpress.operators.extract import drop_failed, extract_pages
 from leafpress.operators.globs import expand_list
 from leafpress.operators.render import named_documents
 from leafpress.operators.skew import skew_join
+from leafpress.session import cut_lineage
 from leafpress.sources.pages import spread
 from leafpress.sources.sinks import write_documents
 from leafpress.sources.url_lists import url_lines
@@ -17,10 +18,11 @@ from leafpress.sources.url_lists import url_lines
 def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, **options) -> DataFrame:
     """Results for every URL of the lists, in list order by (file, line_no, ordinal).
 
-    A URL asked for many times is extracted once, and its result is joined back
+    The expanded list is written once, since it is used in three places.  A URL
+    asked for many times is extracted once, and its result is joined back
     in a skew-safe way.  URLs without a stored page have status no_page.
     """
-    asked = expand_list(url_lines(lines))
+    asked = cut_lineage(expand_list(url_lines(lines)))
     wanted = pages.join(asked.select("url").distinct(), "url", "left_semi")
     if workers:
         wanted = spread(wanted, workers, "url")
