@@ -234,6 +234,17 @@ QUERIES = {
     "progress_summary": lambda s, sf: progress(last_status(s, sf)),
     "progress_by_host": lambda s, sf: progress(last_status(s, sf), ["host"]),
 }
+HOSTNAME = "regexp_extract(url, '//([^/?#]*)', 1)"
+
+
+def csv(x):
+    return f"(CASE WHEN regexp_matches({x}, '[,\"\\n\\r]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END)"
+
+
+def node(name, x):
+    return f"'    <{name}>' || replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</{name}>' || chr(10)"
+
+
 NAMES = """CASE o_orderkey % 5 WHEN 0 THEN 'a/' || repeat('long name ', 8) || '.PnG' WHEN 1 THEN 'é_ü-1.jpeg?x=1' WHEN 2 THEN 'dir/' WHEN 3 THEN 'a.b.c!d' ELSE CAST(o_custkey AS VARCHAR) END"""
 ORACLES = {
     "page_images": image_rows(),
@@ -249,6 +260,8 @@ ORACLES = {
     "render_markdown": head_sql("---", R.FRONT_MATTER, True),
     "render_text": head_sql("=" * 60, R.HEADER, False),
     "render_json": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, CAST(json_object('title', {TITLE}, 'hostname', regexp_extract(url, '//([^/?#]*)', 1), 'language', {LANG}, 'url', url, 'text', content) AS VARCHAR) AS content FROM content JOIN pages USING (page_id)",
+    "render_csv": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, {csv(TITLE)} || ',,,,,' || {csv(HOSTNAME)} || ',' || {LANG} || ',,,' || {csv('url')} || ',' || {csv('content')} AS content FROM content JOIN pages USING (page_id)",
+    "render_xml": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, '<doc>' || chr(10) || {node('title', TITLE)} || {node('hostname', HOSTNAME)} || {node('language', LANG)} || {node('url', 'url')} || {node('text', 'content')} || '</doc>' AS content FROM content JOIN pages USING (page_id)",
     "output_filename": """SELECT page_id, substr(lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || '_' || replace(host, 'www.', '') || CASE WHEN p = '' THEN '' ELSE '_' || replace(regexp_replace(p, '[^\\p{L}\\p{N}_./-]', '_', 'g'), '/', '_') END, 1, 150)
  || (['.md', '.txt', '.xml', '.json', '.csv', '.txt'])[page_id % 6 + 1] AS filename
 FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n, regexp_extract(url, '//([^/?#]*)', 1) AS host, trim(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/') AS p FROM pages WHERE html NOT LIKE '%zzzz%')""",

@@ -125,8 +125,9 @@ def resolve(parts: Column, ref: Column) -> Column:
         def build(ref_path: Column) -> Column:
             tail = F.substr(r, F.length(ref_path) + 1)
             return (
-                F.when((ref_path == "") & tail.startswith("?"), F.concat(parts["site"], parts["path"], tail))
-                .when(ref_path == "", F.concat(parts["site"], parts["path"], parts["query"], tail))
+                F.when((ref_path == "") & tail.rlike(r"^\?[^#]"), F.concat(parts["site"], parts["path"], tail))
+                # an empty query counts as none
+                .when(ref_path == "", F.concat(parts["site"], parts["path"], parts["query"], F.regexp_replace(tail, r"^\?", "")))
                 .otherwise(F.concat(parts["site"], _merge_path(parts["path"], ref_path), tail))
             )
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from leafpress.functions import html as H
 from leafpress.functions import tex as X
@@ -170,7 +171,7 @@ def _replace_script(hit: Column) -> Column:
     return let(found, lambda s: F.when(s.isNull(), hit).otherwise(_converted(s["tex"], s["display"])))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def _fragments_to_tex(fragments: pd.Series) -> pd.Series:
     def safe(fragment):
         try:
