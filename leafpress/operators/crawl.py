@@ -85,7 +85,7 @@ def crawl(
     status 'failed'.
     """
     spark = index.sparkSession
-    index = cut_lineage(index.repartition(shuffle_width(spark), "url"))
+    index = cut_lineage(index.repartition(shuffle_width(spark), "url"), keep_partitioning=True)
     frontier = seeds.select(
         "seed_id", U.netloc(F.col("url")).alias("seed_host"), "url",
         F.lit(0).cast("long").alias("parent_order"), F.lit(0).alias("pos"),

@@ -268,15 +268,6 @@ def keep_blocks(
     return first_by(kept, lambda b: F.lower(b["text"])) if deduplicate else kept
 
 
-@built_once
-def content_blocks(
-    html: str, links: bool, images: bool, formatting: bool, tables: bool, comments: bool, deduplicate: bool, precise: bool
-) -> Column:
-    """The kept blocks of the page in column ``html``."""
-    found = blocks(F.col(html), links, images, formatting)
-    return keep_blocks(found, tables, comments, images, deduplicate, precise)
-
-
 @built_once
 def all_blocks(html: str, links: bool = False, images: bool = False, formatting: bool = False) -> Column:
     return blocks(F.col(html), links, images, formatting)
@@ -308,6 +299,16 @@ def plain_text(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda b: b["marked"]), "\n")
 
 
+@built_once
+def page_body(
+    html: str, markup: bool, links: bool, images: bool, formatting: bool, tables: bool, comments: bool, deduplicate: bool, precise: bool
+) -> Column:
+    """Text of the kept blocks of the page in column ``html``."""
+    found = blocks(F.col(html), links, images, formatting)
+    kept = keep_blocks(found, tables, comments, images, deduplicate, precise)
+    return let(kept, markdown if markup else plain_text)
+
+
 def token_table(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, token)``: the markup stream of every page."""
     return pages.filter(F.col("html").isNotNull()).select(
@@ -360,9 +361,9 @@ def extract_pages(
     html = F.col("html")
     out = with_computed(
         source,
-        "_kept",
-        content_blocks(
-            "html", include_links, include_images, include_formatting,
+        "_body",
+        page_body(
+            "html", fmt == "markdown", include_links, include_images, include_formatting,
             include_tables, include_comments, deduplicate, favor_precision,
         ),
     )
@@ -370,12 +371,11 @@ def extract_pages(
         from leafpress.operators.images import page_images
 
         out = out.withColumn("images", page_images("html", "url"))
-    out = out.withColumn("_body", markdown(F.col("_kept")) if fmt == "markdown" else plain_text(F.col("_kept")))
     if target_lang:
         out = out.withColumn("_lang", page_language(html, F.col("_body")))
     if with_metadata:
         out = out.withColumn("metadata", metadata_of("html", "url" if "url" in pages.columns else None))
-    out = out.drop("html", "_kept")
+    out = out.drop("html")
     status = F.when(F.col("_body").isNull(), F.lit("no_page")).when(F.trim("_body") == "", F.lit("empty"))
     if target_lang:
         status = status.when(F.coalesce(F.col("_lang"), F.lit("")) != target_lang.lower(), F.lit("lang_mismatch"))

@@ -28,10 +28,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from the written copy.
+
+    With ``keep_partitioning`` later joins and groups on the columns ``df`` was
+    repartitioned by need no exchange.  An adaptive plan does not tell how its
+    result is partitioned, so this one write is planned without it.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -13,6 +13,7 @@ from leafpress.operators import report as R
 from leafpress.operators import robots as B
 from leafpress.operators import skew
 from leafpress.operators.politeness import polite_schedule
+from leafpress.session import cut_lineage
 
 
 def brute_force(graph, ok, seed, max_depth, max_pages, same_host):
@@ -57,6 +58,14 @@ def test_pages_with_content(spark):
     assert [(r.content, r.crawl_depth, r.crawl_order) for r in out] == [("Page 0", 0, 1), ("Page 1", 1, 2), ("Page 2", 2, 3)]
 
 
+def test_the_index_is_not_moved_again(spark):
+    small = spark.range(100).select(F.col("id").cast("string").alias("url"))
+    index = cut_lineage(small.repartition(8, "url"), keep_partitioning=True)
+    joined = small.distinct().join(index.hint("merge"), "url")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and joined.count() == 100
+
+
 ROBOTS = [
     "User-agent: *\nDisallow: /a\nAllow: /a/b\n", "User-agent: *\nAllow: /a/b\nDisallow: /a", "User-agent: x\nDisallow: /\n\nUser-agent: *\nDisallow: /b c",
     "User-agent: x\nUser-agent: *\nDisallow: /a%20b\n\nUser-agent: *\nDisallow: /", "Disallow: /\nUser-agent: *\n\nDisallow: /a", "User-agent: *\nDisallow:\nDisallow: /",
