@@ -95,6 +95,8 @@ def crawl(
         frontier = next_frontier(frontier, _union([x.select("seed_id", "url") for x in levels]))
         if robots is not None:
             frontier = allowed_only(frontier, robots)
+        # used for the lookup, for its heavy keys and for the join back
+        frontier = cut_lineage(frontier)
         done = _union([x.filter("counted").select("seed_id") for x in levels])
         if done is None or max_pages is None:
             frontier = frontier.withColumn("before", F.lit(0).cast("long"))

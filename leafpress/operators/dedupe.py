@@ -35,5 +35,9 @@ def host_boilerplate(table: DataFrame, min_pages: int = 3) -> DataFrame:
 
 
 def drop_host_boilerplate(table: DataFrame, min_pages: int = 3) -> DataFrame:
-    """Blocks whose text is no boilerplate of their host."""
+    """Blocks whose text is no boilerplate of their host.
+
+    ``table`` is read three times: write the blocks out before, cutting pages
+    into blocks costs far more than reading them back.
+    """
     return skew_join(table, host_boilerplate(table, min_pages).select("host", "key"), ["host", "key"], "left_anti")

@@ -18,7 +18,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     The heaviest keys of the left side (at most 1000, so they can be broadcast
     whatever the size of the input) are spread over 64 salts, and the right rows
     of just these keys are repeated per salt.  Any other key holds less than a
-    thousandth of the rows.  Left-side NULL keys match nothing, as usual.
+    thousandth of the rows.  Left-side NULL keys match nothing, as usual.  The
+    left side is read twice (once for its keys alone), so write it out first if
+    it is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -27,7 +29,9 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
         .orderBy(F.desc("_n"), *on).limit(HEAVY_KEYS)
         .filter(F.col("_n") > HEAVY_ROWS).select(*on, F.lit(True).alias("_heavy"))
     )
-    spread_key = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
+    # maps cannot be hashed
+    hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread_key = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     salted_left = left.join(F.broadcast(heavy), on, "left").withColumn(
         "_salt",
         F.when(F.col(on[0]).isNull(), -1 - spread_key).when(F.col("_heavy"), spread_key).otherwise(F.lit(0)),

@@ -22,9 +22,12 @@ def spread(pages: DataFrame, workers: int | None = None, key: str = "page_id") -
 def resolve_pages(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     """Give every seed the stored HTML of its URL; NULL html means no page.
 
-    A URL may be listed any number of times, so the join is safe for hot URLs.
+    Pages nobody asks for are left behind first, so their HTML is moved only
+    where the list itself is too large to broadcast.  A URL may be listed any
+    number of times: the join is safe for hot URLs.
     """
-    stored = pages.select("url", "page_id", "html")
+    asked = seeds.select("url").distinct()
+    stored = pages.select("url", "page_id", "html").join(asked, "url", "left_semi")
     return skew_join(seeds, stored, ["url"], "left").withColumn(
         "status", F.when(F.col("html").isNull(), F.lit("no_page")).otherwise(F.lit("ok"))
     )
