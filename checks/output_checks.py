@@ -92,14 +92,12 @@ def rewrite_html(spark, sf):
 
 
 def rewritten_sql(markdown):
-    base = CONTENT.replace("concat(", "", 1)
     first = "coalesce(a.value, k.u)"
     if markdown:
         text = f"'Before ![' || p_name || '](' || {first} || ' \"big one\") mid ![n](' || coalesce(l.value, '/pics/logo') || ') and ![u](/unknown.png \"t\") <img src=\"/pics/logo\" data-x=\"/pics/logo\"> <img class=''k'' src=''../up.tar.gz''> <img src=\"/other.png\"> end'"
     else:
         logo = "coalesce(l.value, '/pics/logo')"
         text = f"'Before ![' || p_name || '](' || k.u || ' \"big one\") mid ![n](/pics/logo) and ![u](/unknown.png \"t\") <img src=\"' || {logo} || '\" data-x=\"' || {logo} || '\"> <img class=''k'' src=''' || coalesce(t.value, '../up.tar.gz') || '''> <img src=\"/other.png\"> end'"
-    del base
     return f"""WITH {MAP_ROWS}, k AS (SELECT p_partkey AS page_id, p_name, 'https://cdn.example.com/a/' || p_partkey || '.JPG?w=1' AS u FROM part)
 SELECT k.page_id, {text} AS content FROM k LEFT JOIN maps a ON a.page_id = k.page_id AND a.key = k.u
 LEFT JOIN maps l ON l.page_id = k.page_id AND l.key = '/pics/logo' LEFT JOIN maps t ON t.page_id = k.page_id AND t.key = '../up.tar.gz'"""

@@ -48,4 +48,7 @@ def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Slices to cut data into: the shuffle partitions, in local mode a few per core."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = spark.sparkContext
+    return min(width, 2 * sc.defaultParallelism) if sc.master.startswith("local") else width
