@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import sharding
+from leafpress.llm import bpe, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,19 @@ def op6_consistent_ring(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.ring_shards(rows, "doc_id", 24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf, "documents"), path, keep=["doc_id"], packed=True)
+    decoded = bpe.decode(encoded, path, keep=["doc_id", "token_ids", "packed_ids"])
+    return decoded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
