@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, sharding, token_counts
+from leafpress.llm import bpe, mixing, sharding, token_counts
+from leafpress.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,57 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    scratch = Scratch(spark, "op2")
+    plan = mixing.mix_plan(table(spark, sf, "documents"), scratch=scratch)
+    return scratch.result(plan.select("doc_id", "size", "source_size", "target", "taken"))
+
+
+ORACLES["op2_source_mix"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sizes
+), sorted AS (
+  SELECT *, row_number() OVER o AS nth, coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
+  FROM weighed WINDOW o AS (ORDER BY 2.0 * source_size / weight, place)
+), level AS (
+  SELECT min_by(lifted, nth) AS lifted FROM (
+    SELECT nth, weight, source_size, (1.5 * (SELECT sum(source_size) FROM sizes) - full_before) / weight_left AS lifted FROM sorted
+  ) WHERE 2.0 * source_size > weight * lifted
+), targets AS (
+  SELECT *, least(2.0 * source_size, weight * (SELECT lifted FROM level)) AS target, CAST(ceil(source_size / 32.0) AS BIGINT) AS blocks FROM weighed
+), seats AS (
+  SELECT place, target / (2 * k + 1) AS quotient, k FROM targets, generate_series(0, CAST(ceil(target / 32) AS BIGINT) + 40) AS g(k)
+), won AS (
+  SELECT place, count(*) AS quota FROM (
+    SELECT place FROM seats ORDER BY quotient DESC, place, k LIMIT (SELECT CAST(round(sum(target) / 32) AS BIGINT) FROM targets)
+  ) GROUP BY place
+), taken AS (
+  SELECT t.*, least(coalesce(quota, 0), 2 * blocks) // greatest(blocks, 1) AS copies, least(coalesce(quota, 0), 2 * blocks) % greatest(blocks, 1) AS rest,
+    ('0x' || substr(md5('7|' || place), 1, 15))::BIGINT % greatest(blocks, 1) AS start_at
+  FROM targets t LEFT JOIN won USING (place)
+), ordered AS (
+  SELECT doc_id, size, place, sum(size) OVER (
+    PARTITION BY place ORDER BY ('0x' || substr(md5('7|' || doc_id), 1, 15))::BIGINT, doc_id ROWS UNBOUNDED PRECEDING) - size AS begins
+  FROM docs JOIN sizes ON docs.source IS NOT DISTINCT FROM sizes.source
+), parts AS (
+  SELECT doc_id, place, least(begins + size, (b + 1) * 32) - greatest(begins, b * 32) AS words, b
+  FROM ordered, generate_series(CAST(begins // 32 AS BIGINT), CAST((begins + size - 1) // 32 AS BIGINT)) AS g(b) WHERE size > 0
+), more AS (
+  SELECT doc_id, sum(words) AS words FROM parts JOIN taken USING (place)
+  WHERE (b + 1 + start_at) * rest // greatest(blocks, 1) > (b + start_at) * rest // greatest(blocks, 1) GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, CAST(copies * size + coalesce(words, 0) AS BIGINT) AS taken
+FROM ordered JOIN taken USING (place) LEFT JOIN more USING (doc_id)
+"""
+
+
 @query
 def op6_consistent_ring(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
