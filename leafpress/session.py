@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,22 @@ def shuffle_width(spark: SparkSession) -> int:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sc = spark.sparkContext
     return min(width, 2 * sc.defaultParallelism) if sc.master.startswith("local") else width
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context.
+
+    Functions that run in workers import the package there.  The archive is made
+    in the driver's own folder of this Spark context, and Spark hands it to the
+    executors, so nothing has to be installed on them.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if not root.is_dir() or getattr(sc, "_leafpress_shipped", False):
+        return  # read from an archive itself, or sent before
+    archive = Path(sc._temp_dir) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._leafpress_shipped = True
