@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from leafpress.llm import scan
-from leafpress.llm.common import slices, small_batches
+from leafpress.llm.common import slices, arrow_ready
 
 #: Pieces kept in each of the two generations of the cache.
 CACHED = 200_000
@@ -190,7 +190,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
     null or empty text has no tokens.  Columns with the names of the new ones are
     replaced.
     """
-    small_batches(df.sparkSession)
+    arrow_ready(df.sparkSession)
     new = ["token_ids", "token_offsets", *["packed_ids"] * packed]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new and (keep is not None or c != text)]
     file = _vocabulary(df, path)
@@ -223,7 +223,7 @@ def decode(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame
     The offsets of a row must fit its ids.  ``keep`` names the columns to hand on
     (all, if not given); a column named ``decoded`` is replaced.
     """
-    small_batches(df.sparkSession)
+    arrow_ready(df.sparkSession)
     kept = [c for c in (df.columns if keep is None else keep) if c != "decoded"]
     file = _vocabulary(df, path)
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("decoded", T.BinaryType())])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.session import ensure_checkpoint_dir
+from leafpress.session import ensure_checkpoint_dir, ship_package
 
 #: A word is a run of bytes other than these; ``bytes.split()`` cuts at the same ones.
 SPACES = r"\x20\x09-\x0D"
@@ -25,8 +25,12 @@ def n_words(text: Column) -> Column:
     return F.length(F.translate(edges, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as a batch of long texts has to fit in a Python worker."""
+def arrow_ready(spark: SparkSession) -> None:
+    """Get ready for functions over Arrow batches: the workers have the package, and batches few rows.
+
+    A batch of long texts has to fit in a Python worker.
+    """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

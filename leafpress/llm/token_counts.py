@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafpress.llm import scan
-from leafpress.llm.common import slices, small_batches
+from leafpress.llm.common import slices, arrow_ready
 
 MOST_STATES = 60_000
 LONG = 256
@@ -310,7 +310,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 2048
     token each, as the tokenizer's own default has it.  Columns with the names of
     the new ones are replaced.
     """
-    small_batches(df.sparkSession)
+    arrow_ready(df.sparkSession)
     new = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
     names = [f.name for f in new]
     kept = [c for c in (df.columns if keep is None else keep) if c not in names and (keep is not None or c != text)]
