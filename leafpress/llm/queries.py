@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, mixing, quality, sharding, token_counts
+from leafpress.llm import bpe, lattice, mixing, quality, sharding, token_counts
 from leafpress.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op5_lattice_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op6_consistent_ring(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
