@@ -4,13 +4,15 @@ Texts are cut without a regular expression.  The characters of many texts are
 one array of classes, refined by what follows (the last of a run of white space,
 an apostrophe that begins a contraction); a small automaton over the classes,
 run by an associative scan (``scan``), tells before which characters a piece
-begins.  Each distinct piece is merged once by rank and kept in a bounded cache.
+begins.  Distinct pieces are merged by rank, many side by side, and kept in a
+bounded cache.
 Every token's byte offset is kept beside its id, and decoding checks it.
 """
 
 from __future__ import annotations
 
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,11 @@ from pyspark.sql import types as T
 from leafpress.llm import scan
 from leafpress.llm.common import slices, arrow_ready
 
-#: Pieces kept in each of the two generations of the cache.
-CACHED = 200_000
-#: Pieces of up to so many bytes are merged by searching a list, longer ones with a heap.
+#: The cache of pieces is emptied when it has more than so many.
+CACHED = 300_000
+#: Pieces of up to so many bytes are merged side by side, so many at once; longer ones by themselves with a heap.
 SHORT = 64
+TOGETHER = 4096
 
 # Symbols: letter, number, other, contraction of one and of two letters, white space
 # within a run and at its end before a word (the space, other), each also as a text's first.
@@ -88,17 +91,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     parts = [piece[i : i + 1] for i in range(len(piece))]
     never = len(ranks) + 256
-    if len(parts) <= SHORT:
-        rank = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
-        while rank and (low := min(rank)) < never:
-            i = rank.index(low)
-            parts[i] += parts.pop(i + 1)
-            del rank[i]
-            if i < len(rank):
-                rank[i] = ranks.get(parts[i] + parts[i + 1], never)
-            if i:
-                rank[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
-        return [ranks[p] for p in parts]
     left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
     heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], never)) < never]
     heapq.heapify(heap)
@@ -118,21 +110,92 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-class PieceCache(dict):
-    """Piece to its ids as 32-bit little-endian bytes; the older half goes when the newer is full."""
+class PairRanks:
+    """Rank of the token that two neighbouring tokens make, for arrays of pairs: a hash table in arrays."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.older = ranks, {}
+    BITS = 20
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.older.get(piece)
-        if made is None:
-            made = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = made
-        return made
+    def __init__(self, ranks: dict[bytes, int]):
+        self.never = max(ranks.values()) + 1
+        found = [(ranks[a], ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks]
+        first, second, rank = (np.array(c, np.int64) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        keys = first * self.never + second
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.ranks = np.full(1 << self.BITS, self.never, np.int32)
+        self.probes, slot, left = 0, self._slot(keys), np.arange(len(keys))
+        while len(left):  # each round, one of the keys that want a free slot gets it
+            self.probes += 1
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            got = free[self.keys[slot[free]] == keys[free]]
+            self.ranks[slot[got]] = rank[got]
+            left = np.setdiff1d(left, got)
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """``never`` where two tokens make none, or one of them is missing (-1)."""
+        keys = np.where((first < 0) | (second < 0), -2, first.astype(np.int64) * self.never + second)
+        slot = self._slot(keys)
+        out = np.where(self.keys[slot] == keys, self.ranks[slot], self.never)
+        left = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] >= 0) & (keys >= 0))
+        for _ in range(self.probes):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            here = self.keys[slot[left]]
+            hit = here == keys[left]
+            out[left[hit]] = self.ranks[slot[left[hit]]]
+            left = left[~hit & (here >= 0)]
+        return out
+
+
+def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[bytes]:
+    """Ids of each piece as little-endian 32-bit integers; pieces of up to ``SHORT`` bytes are merged side by side."""
+    out: list[bytes] = [b""] * len(pieces)
+    order = []
+    for i, p in enumerate(pieces):
+        if p in ranks:
+            out[i] = struct.pack("<I", ranks[p])
+        elif len(p) > SHORT:
+            out[i] = np.array(merge(p, ranks), "<u4").tobytes()
+        else:
+            order.append(i)
+    order.sort(key=lambda i: len(pieces[i]))
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+    for at in range(0, len(order), TOGETHER):
+        own = order[at : at + TOGETHER]
+        width = len(pieces[own[-1]])
+        lengths = np.array([len(pieces[i]) for i in own])
+        data = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in own), np.uint8).reshape(len(own), width)
+        columns = np.arange(width)
+        ids = np.where(columns < lengths[:, None], single[data], -1)
+        ids = np.hstack([ids, np.full((len(own), 1), -1, np.int32)])
+        rank = pairs(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(own), width)
+        live = np.arange(len(own))
+        while len(live):
+            best = rank[live].argmin(1)
+            low = rank[live, best]
+            open_ = low < pairs.never
+            live, best, low = live[open_], best[open_], low[open_]
+            # the pair at ``best`` becomes one token, what is right of it moves up
+            source = np.minimum(columns + (columns > best[:, None]), width)
+            ids[live, :-1] = np.take_along_axis(ids[live], source, 1)
+            ids[live, best] = low
+            moved = np.take_along_axis(np.hstack([rank[live], np.full((len(live), 1), pairs.never, rank.dtype)]), source, 1)
+            moved[np.arange(len(live)), best] = pairs(ids[live, best], ids[live, best + 1])
+            left = np.maximum(best - 1, 0)
+            to_left = pairs(ids[live, left], ids[live, left + 1])
+            moved[np.arange(len(live)), left] = np.where(best > 0, to_left, moved[np.arange(len(live)), left])
+            rank[live] = moved
+        tokens = (ids >= 0).sum(1)
+        packed = ids[ids >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(tokens)).tolist()
+        for i, a, b in zip(own, [0, *ends], ends):
+            out[i] = packed[a:b]
+    return out
 
 
 class Codec:
@@ -141,11 +204,12 @@ class Codec:
     _made: dict[int, Codec] = {}
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.split, self.cache = Splitter(), PieceCache(ranks)
-        self.vocabulary = {i: b for b, i in ranks.items()}
-        self.lengths = np.zeros(max(self.vocabulary) + 1, np.int32)
-        for i, b in self.vocabulary.items():
-            self.lengths[i] = len(b)
+        self.split, self.ranks, self.pairs = Splitter(), ranks, PairRanks(ranks)
+        self.cache: dict[str, bytes] = {}
+        self.vocabulary = [b""] * (max(ranks.values()) + 1)
+        for b, i in ranks.items():
+            self.vocabulary[i] = b
+        self.lengths = np.array([len(b) for b in self.vocabulary], np.int32)
 
     @classmethod
     def of(cls, file: bytes) -> Codec:
@@ -160,13 +224,24 @@ class Codec:
         joined, codes, starts = scan.code_points(texts)
         at = self.split(codes, starts)
         edges = [*at.tolist(), len(joined)]
-        made = list(map(self.cache.__getitem__, [joined[a:b] for a, b in zip(edges, edges[1:])]))
+        pieces = [joined[a:b] for a, b in zip(edges, edges[1:])]
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        fresh = list(set(pieces) - self.cache.keys())
+        self.cache.update(zip(fresh, merge_many([p.encode("utf-8", "surrogatepass") for p in fresh], self.ranks, self.pairs)))
+        made = list(map(self.cache.__getitem__, pieces))
         sizes = np.zeros(len(made) + 1, np.int64)
-        np.cumsum([len(m) >> 2 for m in made], out=sizes[1:])
+        np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) >> 2, out=sizes[1:])
         return np.frombuffer(b"".join(made), "<u4").astype(np.int32), sizes[np.searchsorted(at, starts)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+    def offsets(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of each token in its own text, and where each text's bytes begin (and the last end)."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        return ends[1:] - lengths - np.repeat(ends[at[:-1]], np.diff(at)), ends[at]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
 
 
 def read_ranks(file: bytes) -> dict[bytes, int]:
@@ -202,10 +277,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         codec = Codec.of(file.value)
         for part in slices(batches, "_text"):
             ids, at = codec.encode([t or "" for t in part.column("_text").to_pylist()])
-            lengths = codec.lengths[ids]
-            ends = np.cumsum(lengths, dtype=np.int64)
-            begun = np.concatenate([[0], ends])[at[:-1]]
-            offsets = ends - lengths - np.repeat(begun, np.diff(at))
+            offsets, _ = codec.offsets(ids, at)
             lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(a, pa.int32())) for a in (ids, offsets)]
             if packed:
                 data = ids.astype("<u4").tobytes()
@@ -231,13 +303,14 @@ def decode(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file.value)
         for batch in batches:
-            ids, offsets = batch.column("_ids"), batch.column("_offsets")
-            made = []
-            for row, at in zip(ids, offsets):
-                row, at = row.as_py() or [], at.as_py() or []
-                made.append(codec.decode(row))
-                if len(row) != len(at) or (row and at[-1] + codec.lengths[row[-1]] != len(made[-1])):
-                    raise ValueError("the offsets do not fit the token ids")
+            lists = batch.column("_ids").fill_null([]) if batch.column("_ids").null_count else batch.column("_ids")
+            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            offsets, edges = codec.offsets(ids, at)
+            if not np.array_equal(offsets, batch.column("_offsets").flatten().to_numpy(zero_copy_only=False)):
+                raise ValueError("the offsets do not fit the token ids")
+            data = codec.decode(ids)
+            made = [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
             columns = [*(batch.column(i) for i in range(len(kept))), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "decoded"])
 

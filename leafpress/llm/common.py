@@ -15,7 +15,7 @@ from leafpress.session import ensure_checkpoint_dir, ship_package
 SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
 #: Characters of text that a task holds at once, and rows in one Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 BATCH_ROWS = 1000
 
 
