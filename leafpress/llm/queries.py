@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, lattice, mixing, quality, sharding, token_counts
+from leafpress.llm import bpe, lattice, mixing, quality, sharding, simhash, token_counts
 from leafpress.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_vantage_prints(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
