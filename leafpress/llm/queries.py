@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, lattice, mixing, quality, sharding, simhash, token_counts
+from leafpress.llm import bpe, lattice, mixing, quality, sharding, simhash, substrings, token_counts
 from leafpress.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,27 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+@query
+def op9_recompression(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.find_repeats(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op9_recompression"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM words, generate_series(1, len(w) - 49) AS g(s)
+), gone AS (
+  SELECT doc_id, s FROM windows JOIN (SELECT h, min(doc_id) AS low FROM windows GROUP BY h) USING (h) WHERE low < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, s + k AS place FROM gone, generate_series(0, 49) AS g(k)
+), listed AS (
+  SELECT doc_id, list(place) AS ats FROM covered GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ats IS NULL THEN w
+    ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(ats, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN listed USING (doc_id)
+"""
