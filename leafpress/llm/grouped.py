@@ -90,3 +90,44 @@ def over_groups(
             yield flush()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+class Forest:
+    """Gathers links that span the groups of ``n`` things, from parts of the table of who is near whom."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.links: list[tuple[int, int]] = []
+
+    def _top(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def add(self, near: np.ndarray, a: int, first: int) -> None:
+        """``near`` has the things from ``a`` on as rows and those from ``first`` <= a on, the rows among them, as columns.
+
+        The smallest label spreads over rows and columns until it is still, so a
+        dense part gives a link for each thing and not for each pair.
+        """
+        rows, columns = near.shape
+        own = slice(a - first, a - first + rows)
+        used = near.any(0)
+        used[own] |= near.any(1)
+        place = np.flatnonzero(used)
+        if not len(place):
+            return
+        part, labels = near[:, place], np.arange(columns)
+        while True:
+            new = labels.copy()
+            new[place] = np.minimum(new[place], np.where(part, labels[own, None], columns).min(0))
+            new[own] = np.minimum(new[own], np.where(part, new[None, place], columns).min(1))
+            if np.array_equal(new, labels):
+                break
+            labels = new
+        for i, label in zip(place.tolist(), labels[place].tolist()):
+            p, q = self._top(first + i), self._top(first + label)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                self.links.append((first + label, first + i))

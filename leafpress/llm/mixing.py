@@ -116,7 +116,7 @@ def mix_plan(
     repeated rows are documents like any other.  An empty table gives an empty
     plan, and a table without words one in which nothing is taken.
     """
-    own = scratch or Scratch(df.sparkSession, "mix")
+    own = scratch or Scratch(df.sparkSession, "mix")  # the caller's, to be dropped once the plan is written
     rows = df.select(
         F.col(f"`{id_}`").alias("id"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"),
         _key(id_, source, text).alias("key"),
@@ -170,8 +170,9 @@ def mixed_documents(df: DataFrame, id_: str = "doc_id", text: str = "text", sour
     stretches of its text that are taken beyond that; white space within a stretch
     stays as it is.  Rows of which nothing is taken are left out.
     """
-    plan = mix_plan(df, id_, text, source, **options).filter("taken > 0").select("key", "copy", "copies", "blocks")
-    plan = plan.checkpoint(eager=True)
+    scratch = Scratch(df.sparkSession, "mix")
+    plan = mix_plan(df, id_, text, source, scratch=scratch, **options).filter("taken > 0")
+    plan = scratch.result(plan.select("key", "copy", "copies", "blocks"))
     numbered = df.withColumn("_key", _key(id_, source, text))
     numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1)
     taken = numbered.join(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]), ["_key", "_copy"])

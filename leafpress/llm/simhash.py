@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from leafpress.llm.common import Scratch, arrow_ready, slices
 from leafpress.llm.components import components
-from leafpress.llm.grouped import in_blocks, over_groups
+from leafpress.llm.grouped import Forest, in_blocks, over_groups
 
 #: Words in a shingle, seed of its hash.
 WORDS = 4
@@ -111,15 +111,7 @@ def forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray] | Non
     distance = np.bitwise_count(prints ^ prints[0]).astype(np.int64)
     order = np.argsort(distance, kind="stable")
     x, d = prints[order], distance[order]
-    parent = list(range(n))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    linked = []
+    found = Forest(n)
     chunk = max(16, min(512, (1 << 21) // n))
     for a in range(0, n, chunk):
         b = min(n, a + chunk)
@@ -127,31 +119,11 @@ def forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray] | Non
         near = np.bitwise_count(x[a:b, None] ^ x[None, a:stop]) <= bits
         rows = np.arange(b - a)
         near[rows, rows] = False
-        if not near.any():
-            continue
-        # the smallest label spreads over rows and columns of this part until it is still
-        labels = np.arange(stop - a)
-        used = near.any(0)
-        used[: b - a] |= near.any(1)
-        part = near[:, used]
-        place = np.flatnonzero(used)
-        while True:
-            to_columns = np.where(part, labels[: b - a, None], n).min(0)
-            new = labels.copy()
-            new[place] = np.minimum(new[place], to_columns)
-            to_rows = np.where(part, new[None, place], n).min(1)
-            new[: b - a] = np.minimum(new[: b - a], to_rows)
-            if np.array_equal(new, labels):
-                break
-            labels = new
-        for i, label in zip(place.tolist(), labels[place].tolist()):
-            p, q = top(a + i), top(a + label)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                linked.append((a + label, a + i))
-    if not linked:
+        if near.any():
+            found.add(near, a, a)
+    if not found.links:
         return None
-    one, two = np.array(linked).T
+    one, two = np.array(found.links).T
     return x[one], x[two]
 
 
