@@ -42,7 +42,7 @@ def over_groups(
     """Apply ``f`` to the columns (name to array) of each group of rows with equal keys, none of them null.
 
     ``f`` gives the columns of its result, or None.  Many small groups share a
-    task, its batches and its output; ``read`` says how columns become arrays.
+    task, its batches and its output; ``read`` says how a group's part of a column becomes an array.
     """
     names = [part.split()[0] for part in schema.split(",")]
     columns = rows.columns
@@ -71,7 +71,7 @@ def over_groups(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = {c: read[c](batch.column(c)) if c in read else batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            own = {c: batch.column(c) if c in read else batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
             changed = np.zeros(batch.num_rows, bool)
             for k in keys:
                 changed[1:] |= own[k][1:] != own[k][:-1]
@@ -80,7 +80,7 @@ def over_groups(
             for i, (a, b) in enumerate(zip(edges, edges[1:])):
                 if held and (i or not goes_on):
                     close()
-                held.append({c: v[a:b] for c, v in own.items()})
+                held.append({c: read[c](v.slice(a, b - a)) if c in read else v[a:b] for c, v in own.items()})
             last = [own[k][-1] for k in keys]
             if size > 50_000:
                 yield flush()
