@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 from leafpress.llm.common import Scratch, arrow_ready
 
 #: Bytes of text in a batch of documents.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 32 << 20
 #: Added to a rank when a vocabulary's scores are ranks of merges: the weight is 1 / (rank + this).
 RANK_SHIFT = 100.0
 #: Share of the first weights that is kept when the weights are re-estimated.
 KEPT_PRIOR = 0.02
+#: Words of up to so many bytes are counted in plain probabilities, longer ones by their logs.
+SHORT = 24
 MARK = "▁".encode()
 END = b""
 
@@ -75,6 +77,8 @@ class Lattice:
         self.first = {p[len(MARK) :]: w for p, w in weights.items() if p.startswith(MARK)}
         self.other = {p: w for p, w in weights.items() if not p.startswith(MARK)}
         self.longest = max(map(len, [*self.first, *self.other]))
+        self.first_p = {p: math.exp(w) for p, w in self.first.items()}
+        self.other_p = {p: math.exp(w) for p, w in self.other.items()}
 
     def _arcs(self, word: bytes) -> list[list[tuple[int, float, bool]]]:
         """For each end, the arcs that reach it: begin, log weight, whether the piece carries the mark."""
@@ -105,6 +109,9 @@ class Lattice:
 
     def add_expected(self, word: bytes, counts: dict[bytes, float], times: float = 1.0) -> None:
         """Add the expected number of uses of each piece in the word."""
+        if len(word) <= SHORT:
+            self._add_expected_short(word, counts, times)
+            return
         arcs = self._arcs(word)
         ahead = self.forward(word, arcs)
         n = len(word)
@@ -123,6 +130,35 @@ class Lattice:
                 back[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
+    def _add_expected_short(self, word: bytes, counts: dict[bytes, float], times: float) -> None:
+        """The same in plain probabilities, which a short word does not take out of range."""
+        n, first, other, longest = len(word), self.first_p, self.other_p, self.longest
+        arcs = []
+        ahead = [0.0] * (n + 1)
+        ahead[0] = first[b""]
+        for i in range(1, min(n, longest) + 1):
+            if (w := first.get(word[:i])) is not None:
+                ahead[i] = w
+        for j in range(n):
+            reached = ahead[j]  # all arcs into j come from before it
+            for i in range(j + 1, min(n, j + longest) + 1):
+                piece = word[j:i]
+                if (w := other.get(piece)) is not None:
+                    arcs.append((j, i, w, piece))
+                    ahead[i] += reached * w
+        back = [0.0] * (n + 1)
+        back[n] = times / ahead[n]
+        for j, i, w, piece in reversed(arcs):
+            use = w * back[i]
+            back[j] += use
+            counts[piece] = counts.get(piece, 0.0) + ahead[j] * use
+        counts[MARK] = counts.get(MARK, 0.0) + first[b""] * back[0]
+        for i in range(1, min(n, longest) + 1):
+            if (w := first.get(word[:i])) is not None:
+                piece = MARK + word[:i]
+                counts[piece] = counts.get(piece, 0.0) + w * back[i]
+
+
 def _batches(df: DataFrame, id_: str, text: str) -> DataFrame:
     """One row for each batch of documents: its distinct words with counts in training, and its documents."""
     kind = df.schema[id_].dataType
