@@ -153,7 +153,7 @@ def test_repeats(spark, window):
     assert got == brute_repeats(texts, window)
 
 
-def test_lattice_sums_all_segmentations():
+def test_lattice_sums_all_segmentations(monkeypatch):
     weights = {b"a": -1.0, b"b": -2.0, b"ab": -1.5, lattice.MARK + b"a": -0.7, lattice.MARK + b"aba": -3.0, lattice.MARK: -0.2}
     own = lattice.Lattice(weights)
 
@@ -170,6 +170,10 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(own.log_probability(word), math.log(sum(map(math.exp, every))))
     counts = {}
     own.add_expected(word, counts)
+    monkeypatch.setattr(lattice, "SHORT", 0)
+    by_logs = {}
+    own.add_expected(word, by_logs)
+    assert all(math.isclose(counts.get(p, 0), by_logs.get(p, 0), abs_tol=1e-12) for p in weights)
     spelled = sum(n * (len(p) - 3 if p.startswith(lattice.MARK) else len(p)) for p, n in counts.items())
     assert math.isclose(spelled, len(word))
 
