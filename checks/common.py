@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,7 +14,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
     from leafpress.sources.pages import spread
 
-    return spread(table(spark, sf, name), key=key)
+    t = table(spark, sf, name)
+    return t if t.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else spread(t, key=key)
+
+
+def with_folder(query):
+    """Give a local session a folder for checkpoints, if it names none; clusters have to."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        sc = spark.sparkContext
+        if sc.master.startswith("local[") and not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="leafpress-"))
+        return query(spark, sf)
+
+    return run
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +35,4 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
     On large inputs a scan has more splits than cores and nothing is moved.
     """
-    from leafpress.sources.pages import spread
-
-    return spread(table(spark, sf, "pages"))
+    return spread_table(spark, sf, "pages", "page_id")

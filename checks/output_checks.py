@@ -151,8 +151,7 @@ def as_record(fmt):
 
 
 def file_names(spark, sf):
-    good = pages(spark, sf).filter(~F.col("html").contains("zzzz")).select("page_id", "url")
-    n = ranked(good, [], ["page_id"], "n")
+    n = ranked(pages(spark, sf).select("page_id", "url"), [], ["page_id"], "n")
     fmt = F.element_at(F.array(*map(F.lit, ("markdown", "text", "xml", "json", "csv", "md"))), (F.col("page_id") % 6 + 1).cast("int"))
     return n.select("page_id", output_filename(F.col("n") - 1, F.col("url"), fmt).alias("filename"))
 
@@ -208,7 +207,16 @@ def dropped(spark, sf):
     return drop_failed(extract_pages(src)).select("page_id", "url", F.length("content").alias("n"))
 
 
+HIDDEN = "concat('<noscript><img src=\"/ns', page_id, '.png\"></noscript><template><img src=\"/t.png\"></template><!-- <img src=\"/c.png\"> -->', html)"
+
+
+def noscript_images(spark, sf):
+    src = pages(spark, sf).withColumn("html", F.expr(HIDDEN))
+    return I.image_table(src).filter(F.col("pos") < 2).select("page_id", "pos", "original_src")
+
+
 QUERIES = {
+    "noscript_images": noscript_images,
     "page_images": lambda s, sf: I.image_table(image_pages(s, sf)),
     "image_base_url": image_base_url,
     "images_dedupe": lambda s, sf: I.image_table(image_pages(s, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_images")),
@@ -245,6 +253,7 @@ def node(name, x):
 
 NAMES = """CASE o_orderkey % 5 WHEN 0 THEN 'a/' || repeat('long name ', 8) || '.PnG' WHEN 1 THEN 'é_ü-1.jpeg?x=1' WHEN 2 THEN 'dir/' WHEN 3 THEN 'a.b.c!d' ELSE CAST(o_custkey AS VARCHAR) END"""
 ORACLES = {
+    "noscript_images": "SELECT page_id, pos, CASE pos WHEN 0 THEN '/ns' || page_id || '.png' ELSE '/t.png' END AS original_src FROM pages CROSS JOIN (SELECT unnest([0, 1]) AS pos)",
     "page_images": image_rows(),
     "image_base_url": "SELECT o_orderkey, (['https://h.example.com/', 'https://h.example.com/d/', 'https://h.example.com/d/', 'https://h.example.com/p.htm?q=1', 'https://h.example.com/p.php', 'https://h.example.com/d?q=x.html/'])[o_orderkey % 6 + 1] AS base FROM orders",
     "images_dedupe": "SELECT p_partkey AS page_id, 4 AS n_images FROM part",
@@ -261,8 +270,8 @@ ORACLES = {
     "render_csv": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, {csv(TITLE)} || ',,,,,' || {csv(HOSTNAME)} || ',' || {LANG} || ',,,' || {csv('url')} || ',' || {csv('content')} AS content FROM content JOIN pages USING (page_id)",
     "render_xml": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, '<doc>' || chr(10) || {node('title', TITLE)} || {node('hostname', HOSTNAME)} || {node('language', LANG)} || {node('url', 'url')} || {node('text', 'content')} || '</doc>' AS content FROM content JOIN pages USING (page_id)",
     "output_filename": """SELECT page_id, substr(lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || '_' || replace(host, 'www.', '') || CASE WHEN p = '' THEN '' ELSE '_' || replace(regexp_replace(p, '[^\\p{L}\\p{N}_./-]', '_', 'g'), '/', '_') END, 1, 150)
- || (['.md', '.txt', '.xml', '.json', '.csv', '.txt'])[page_id % 6 + 1] AS filename
-FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n, regexp_extract(url, '//([^/?#]*)', 1) AS host, trim(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/') AS p FROM pages WHERE html NOT LIKE '%zzzz%')""",
+ || (['.md', '.txt', '.xml', '.json', '.csv', '.md'])[page_id % 6 + 1] AS filename
+FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n, regexp_extract(url, '//([^/?#]*)', 1) AS host, trim(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/') AS p FROM pages)""",
     "combined_document": f"WITH {content_sql()} SELECT row_number() OVER (ORDER BY page_id) AS part_no, CASE WHEN row_number() OVER (ORDER BY page_id) = 1 THEN '' ELSE chr(10) || chr(10) || repeat('=', 60) || chr(10) || chr(10) END || content AS part FROM content",
     "resolve_pages": f"WITH {ASKED} SELECT o_orderkey, page_id, CASE WHEN page_id IS NULL THEN 'no_page' ELSE 'ok' END AS status, length(html) AS n FROM asked LEFT JOIN pages ON page_id = wanted",
     "batch_run": f"""WITH {content_sql()}, {ASKED} SELECT o_orderkey % 7 AS file, o_orderkey AS line_no, coalesce(url, 'https://gone.example.com/' || wanted) AS url, CASE WHEN content IS NULL THEN 'no_page' ELSE 'ok' END AS status, md5(content) AS content_md5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.common import spread_table, table
 from leafpress.functions import urls as U
 from leafpress.operators import globs as G
+from leafpress.plans.batch import run_list
 from leafpress.sources import url_lists as L
 
 # one small list file per order, with all three line ends
@@ -96,7 +97,29 @@ def batch_expand_counts(spark, sf):
     return G.expansion_counts(G.expand_list(batch_lines(spark, sf)), ["line_no"])
 
 
+def glob_repeats(spark, sf):
+    """Equal rows stay apart, whichever way a product is expanded."""
+    src = globs(spark, sf, "cross")
+    src = src.unionByName(src)
+    out = None
+    for in_row in (1, 4, 4096):
+        part = G.expand_globs(src, in_row=in_row).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("ordinal").alias("ordinals"))
+        part = part.withColumn("in_row", F.lit(in_row))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+REJECTS = "CASE p_partkey % 5 WHEN 0 THEN 'https://b.example.com/[1-9:0]' WHEN 1 THEN 'https://b.example.com/[1-2]' WHEN 2 THEN 'no url' WHEN 3 THEN 'https://b.example.com/[99999999999999999998-99999999999999999999]' ELSE '/data/[1-3].html' END"
+
+
+def batch_rejects(spark, sf):
+    lines = table(spark, sf, "part").select(F.lit("f").alias("file"), F.col("p_partkey").alias("line_no"), F.expr(REJECTS).alias("line"))
+    return run_list(lines, table(spark, sf, "pages")).select("line_no", "ordinal", "url", "status")
+
+
 QUERIES = {
+    "glob_repeats": glob_repeats,
+    "batch_rejects": batch_rejects,
     "url_list_clean": lambda s, sf: L.url_lines(L.lines_of(list_files(s, sf))),
     "url_list_rejects": lambda s, sf: L.rejected_lines(L.lines_of(list_files(s, sf))),
     "url_list_summary": lambda s, sf: L.list_summary(L.lines_of(list_files(s, sf))),
@@ -118,6 +141,10 @@ H = "'http://p' || p_partkey || '.example.com/'"
 LARGE = """SELECT s_suppkey AS seed_id, min((a - 1) * 99 + b - 1) AS ordinal, 'http://s' || s_suppkey || '.example.com/' || a || b AS url
 FROM (SELECT s_suppkey, unnest(range(1, 10)) AS a FROM supplier) CROSS JOIN (SELECT unnest(range(1, 100)) AS b) GROUP BY s_suppkey, a || b"""
 ORACLES = {
+    "glob_repeats": "SELECT p_partkey AS seed_id, 16 AS n_urls, 56 AS ordinals, in_row FROM part CROSS JOIN (SELECT unnest([1, 4, 4096]) AS in_row)",
+    "batch_rejects": """SELECT p_partkey AS line_no, 0 AS ordinal, CASE p_partkey % 5 WHEN 0 THEN 'https://b.example.com/[1-9:0]' WHEN 2 THEN 'no url' ELSE '/data/[1-3].html' END AS url, 'rejected' AS status FROM part WHERE p_partkey % 5 IN (0, 2, 4)
+UNION ALL SELECT p_partkey, i, 'https://b.example.com/' || (i + 1), 'no_page' FROM part CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 5 = 1
+UNION ALL SELECT p_partkey, i, 'https://b.example.com/9999999999999999999' || (8 + i), 'no_page' FROM part CROSS JOIN (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 5 = 3""",
     "url_list_clean": f"WITH {LINES_SQL} SELECT * FROM good",
     "url_list_rejects": f"WITH {LINES_SQL} SELECT file, line_no, line FROM lines WHERE line <> '' AND line NOT LIKE '#%' AND NOT regexp_matches(line, '^(https?://|file://|/)')",
     "url_list_summary": f"WITH {LINES_SQL} SELECT file, count(url) > 0 AS ok, CASE WHEN count(url) > 0 THEN 'Found ' || count(url) || ' URLs in batch file' ELSE 'Batch file contains no valid URLs' END AS message FROM lines LEFT JOIN good USING (file, line_no) GROUP BY file",

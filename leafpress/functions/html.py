@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from leafpress.functions.arrays import let
 # Inside of a tag: quoted values may hold '>', everything is matched possessively.
 _INSIDE = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+"""
 
-# Named character references that are decoded.
+# The character references met most, looked up first.  Blanks of fixed
+# width become plain ones, and soft hyphens go.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
     "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
@@ -30,6 +33,21 @@ ENTITIES = {
     "Uuml": "Ü", "oelig": "œ", "OElig": "Œ", "ensp": " ", "emsp": " ", "thinsp": " ", "shy": "",
 }
 
+#: All references of HTML5, with the semicolon where they need one, and those that may go without.
+_EVERY = {name: ENTITIES.get(name.rstrip(";"), char) for name, char in html.entities.html5.items()}
+_OPEN_ENDED = "|".join(sorted((n for n in _EVERY if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+def _windows_1252(byte: int) -> str:
+    try:
+        return bytes([byte]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(byte)
+
+
+#: Numbers that pages use for the characters of the old Windows code page.
+_RENUMBERED = {n: ord(_windows_1252(n)) for n in range(0x80, 0xA0)}
+
 # Tags that start or end a block of text.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt",
@@ -55,6 +73,7 @@ def _hidden_pattern(names: tuple[str, ...]) -> str:
 
 _HIDDEN = _hidden_pattern(("script", "style", "noscript", "template"))
 _UNSEEN = _hidden_pattern(("script", "style", "noscript", "template", "title", "textarea", "iframe"))
+_INERT = _hidden_pattern(("script", "style"))
 _ANY_TAG = rf"<[A-Za-z/!?]{_INSIDE}>"
 _BLOCKS = "|".join(BLOCK_TAGS)
 _SIMPLE = "p|li|h[1-6]|tr|dt|dd|pre|figcaption|tbody|thead|tfoot"
@@ -69,6 +88,11 @@ def strip_hidden(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, "")
 
 
+def strip_inert(html: Column) -> Column:
+    """Drop comments, scripts and styles; noscript and template elements stay."""
+    return F.regexp_replace(html, _INERT, "")
+
+
 def strip_unseen(html: Column) -> Column:
     """As :func:`strip_hidden`, also without the title, text areas and frames."""
     return F.regexp_replace(html, _UNSEEN, "")
@@ -90,27 +114,38 @@ def _code_point(cp: Column) -> Column:
     ).otherwise(F.lit("�"))
 
 
+def _literal_map(pairs: dict[str, str]) -> Column:
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode character references in one pass; unknown names stay as they are."""
-    table = "\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())
-    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))
-
-    def put(p: Column, n: Column) -> Column:
-        number = F.when(
-            n.rlike("^#[xX]"), F.conv(F.substr(n, F.lit(3)), 16, 10).cast("long")
-        ).otherwise(F.substr(n, F.lit(2)).try_cast("long"))
-        char = F.when(n.startswith("#"), let(number, _code_point)).otherwise(F.try_element_at(names, n))
-        return let(
-            char,
-            lambda c: F.when((n == "") | c.isNull(), F.concat(F.lit("&"), p)).otherwise(
-                F.concat(c, F.substr(p, F.length(n) + 2))
-            ),
-        )
+    """Decode character references in one pass; unknown names stay as they are.
+
+    As browsers do: all names of HTML5, the old ones also without a semicolon, numbers
+    of any length, and those of the Windows code page as its characters.
+    """
+    common, every = _literal_map(ENTITIES), _literal_map(_EVERY)
+    renumbered = F.create_map(*[F.lit(x).cast("long") for pair in _RENUMBERED.items() for x in pair])
+
+    def number(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^#0*([0-9]{1,12})", 1)
+        hexed = F.regexp_extract(p, r"^#[xX]0*([0-9a-fA-F]{1,9})", 1)
+        value = F.when(hexed != "", F.conv(hexed, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        char = let(let(value, lambda n: F.coalesce(F.try_element_at(renumbered, n), n, F.lit(0))), _code_point)
+        return F.concat(char, F.regexp_replace(p, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", ""))
+
+    def named(p: Column, name: Column) -> Column:
+        known = F.coalesce(F.try_element_at(common, F.rtrim(name, F.lit(";"))), F.try_element_at(every, name))
+        whole = F.when(name.endswith(";"), known)
+        prefix = F.regexp_extract(p, f"^(?:{_OPEN_ENDED})", 0)
+        cut = F.concat(F.try_element_at(every, prefix), F.substr(p, F.length(prefix) + 1))
+        return F.coalesce(F.concat(whole, F.substr(p, F.length(name) + 1)), cut, F.concat(F.lit("&"), p))
 
     def piece(p: Column) -> Column:
-        return let(
-            F.regexp_extract(p, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1),
-            lambda n: put(p, n),
+        return (
+            F.when(p.rlike(r"^#(?:[0-9]|[xX][0-9a-fA-F])"), number(p))
+            .when(p.rlike("^[A-Za-z]"), let(F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;?", 0), lambda n: named(p, n)))
+            .otherwise(F.concat(F.lit("&"), p))
         )
 
     def decode(t: Column) -> Column:

@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from leafpress.functions import urls as U
 from leafpress.functions.arrays import let
 
-# File ending per output format, '.txt' for any other.
-ENDINGS = {"markdown": ".md", "text": ".txt", "xml": ".xml", "json": ".json", "csv": ".csv"}
+# Accepted format names, and the file ending of each format.
+FORMATS = {
+    "markdown": "markdown", "md": "markdown", "text": "txt", "txt": "txt",
+    "xml": "xml", "json": "json", "csv": "csv",
+}
+ENDINGS = {"markdown": ".md", "txt": ".txt", "xml": ".xml", "json": ".json", "csv": ".csv"}
 
 _NOT_WORD = r"[^\p{L}\p{N}_.\-]"
 
 
+def format_name(name: str) -> str:
+    """Output format for a name or alias; an unknown name means markdown."""
+    return FORMATS.get(name.lower(), "markdown")
+
+
+def canonical_format(name: Column) -> Column:
+    """As :func:`format_name`, for a column of names."""
+    table = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit("markdown"))
+
+
 def image_filename(url: Column) -> Column:
     """``name_<8 hex digits>.ext`` from the URL's last path part and its md5."""
 
@@ -36,12 +51,12 @@ def image_filename(url: Column) -> Column:
 
 
 def output_filename(index: Column, url: Column, output_format: Column) -> Column:
-    """``NNN_host_path.ext``: at most 150 characters before the ending."""
+    """``NNN_host_path.ext``: at most 150 characters before the ending, ``.txt`` for an unknown format."""
     host = F.replace(U.netloc(url), F.lit("www."), F.lit(""))
     path = F.regexp_replace(U.path(url), r"^/+|/+$", "")
     flat = F.replace(F.regexp_replace(path, r"[^\p{L}\p{N}_./\-]", "_"), F.lit("/"), F.lit("_"))
     digits = index.cast("string")
     number = F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), "0")
     base = F.concat(number, F.lit("_"), host, F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("_"), flat)))
-    endings = F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair])
-    return F.concat(F.substr(base, F.lit(1), F.lit(150)), F.coalesce(F.try_element_at(endings, output_format), F.lit(".txt")))
+    endings = F.create_map(*[F.lit(x) for name, fmt in FORMATS.items() for x in (name, ENDINGS[fmt])])
+    return F.concat(F.substr(base, F.lit(1), F.lit(150)), F.coalesce(F.try_element_at(endings, F.lower(output_format)), F.lit(".txt")))

@@ -57,9 +57,12 @@ def source_kind(source: Column) -> Column:
 
 
 def defragment(url: Column) -> Column:
-    """Drop the fragment (and an empty query), keep query and parameters."""
+    """Drop the fragment (and an empty query), keep query and parameters.
+
+    A query is empty if the first ``?`` is the last character.
+    """
     bare = F.substring_index(url, "#", 1)
-    return F.when(bare.endswith("?"), F.substr(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    return F.when((bare != "") & (F.instr(bare, "?") == F.length(bare)), F.substr(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
 
 
 def is_crawlable(url: Column) -> Column:

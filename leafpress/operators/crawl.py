@@ -14,6 +14,7 @@ over DataFrames.  The driver only sees whether a level is empty.  Rules:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ from leafpress.operators.links import page_links
 from leafpress.operators.robots import allowed_only
 from leafpress.operators.skew import running, skew_join, sliced
 from leafpress.session import cut_lineage, shuffle_width
+from leafpress.sources.pages import one_per_url
 
 
 def page_index(pages: DataFrame, **options) -> DataFrame:
@@ -60,18 +62,22 @@ def follow(level: DataFrame, same_domain_only: bool = True) -> DataFrame:
     return out.filter(U.netloc(F.col("url")) == F.col("seed_host")) if same_domain_only else out
 
 
-def _look_up(frontier: DataFrame, index: DataFrame) -> DataFrame:
+Index = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _look_up(frontier: DataFrame, index: Index) -> DataFrame:
     """Join the frontier with the index: each URL once, then back to the seeds.
 
     The index is by far the larger side and stays where it is (it is partitioned
     by URL); URLs wanted by many seeds only meet the few rows of this level.
     """
-    wanted = frontier.select("url").distinct().join(index, "url")
+    urls = frontier.select("url").distinct()
+    wanted = index(urls) if callable(index) else urls.join(index, "url")
     return skew_join(frontier, wanted, ["url"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
 def crawl(
-    index: DataFrame,
+    index: Index,
     seeds: DataFrame,
     max_depth: int = 1,
     max_pages: int | None = 10,
@@ -80,12 +86,13 @@ def crawl(
 ) -> DataFrame:
     """Every visited URL: ``(seed_id, url, crawl_depth, crawl_order, status)``.
 
-    ``index`` comes from :func:`page_index`; ``seeds`` is ``(seed_id, url)``.
+    ``index`` comes from :func:`page_index`, or is a function that gives the rows of
+    one for a table of distinct URLs; ``seeds`` is ``(seed_id, url)``.
     ``crawl_order`` counts the extracted pages of a seed from 1 and is NULL for
     status 'failed'.
     """
-    spark = index.sparkSession
-    index = cut_lineage(index.repartition(shuffle_width(spark), "url"), keep_partitioning=True)
+    if not callable(index):
+        index = cut_lineage(index.repartition(shuffle_width(index.sparkSession), "url"), keep_partitioning=True)
     frontier = seeds.select(
         "seed_id", U.netloc(F.col("url")).alias("seed_host"), "url",
         F.lit(0).cast("long").alias("parent_order"), F.lit(0).alias("pos"),
@@ -158,14 +165,22 @@ def crawl_pages(
 ) -> DataFrame:
     """Extraction results of a crawl, with ``crawl_depth`` and ``crawl_order``.
 
-    Pages are extracted and their links read once; the walk itself only handles
-    URLs, and content is joined at the end.
+    A level extracts the stored pages of its own URLs that no earlier level has
+    extracted, so the work follows what the walk reaches and not the store.
+    Results are written level by level, and joined with the visited URLs at the
+    end.  Of pages stored twice one is read (``one_per_url``).
     """
-    with_links = pages.withColumn("links", page_links("html", "url"))
-    results = cut_lineage(extract_pages(with_links, **options))
-    index = results.select("url", (F.col("status") == "ok").alias("ok"), "links")
-    walked = crawl(index, seeds, max_depth, max_pages, same_domain_only, robots).filter("status = 'ok'").drop("status")
-    return skew_join(walked, results.drop("links"), ["url"], "inner")
+    parts: list[DataFrame] = []
+
+    def extracted(urls: DataFrame) -> DataFrame:
+        known = _union(parts)
+        new = urls if known is None else urls.join(known.select("url"), "url", "left_anti")
+        stored = one_per_url(pages.join(new, "url", "left_semi"))
+        parts.append(cut_lineage(extract_pages(stored.withColumn("links", page_links("html", "url")), **options)))
+        return urls.join(_union(parts).select("url", (F.col("status") == "ok").alias("ok"), "links"), "url")
+
+    walked = crawl(extracted, seeds, max_depth, max_pages, same_domain_only, robots).filter("status = 'ok'").drop("status")
+    return skew_join(walked, _union(parts).drop("links").join(walked.select("url").distinct(), "url", "left_semi"), ["url"], "inner")
 
 
 def drop_failures(visited: DataFrame) -> DataFrame:

@@ -23,18 +23,13 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions.arrays import built_once, collapse_spaces, first_by, let, replace_each, scan, with_computed
-from leafpress.operators.language import page_language
+from leafpress.functions.names import format_name
+from leafpress.operators.language import page_language, primary_tag
 from leafpress.operators.metadata import metadata_of
 
 MIN_PRECISE_CHARS = 25
 MAX_LINK_SHARE = 0.5
 
-# Accepted format names.
-FORMATS = {
-    "markdown": "markdown", "md": "markdown", "text": "txt", "txt": "txt",
-    "xml": "xml", "json": "json", "csv": "csv",
-}
-
 _CONTAINERS = ("nav", "footer", "aside", "form", "header", "article", "table", "blockquote")
 _FLAGGABLE = "div|section|aside|ul|ol|article|figure"
 _STATEFUL = [s + t for t in (*_CONTAINERS, "main", *_FLAGGABLE.split("|")) for s in ("", "/")]
@@ -44,12 +39,6 @@ _BIT = {name: 1 << i for i, name in enumerate((*_CONTAINERS, "ad", "comments", "
 _LINK = H.tag_pattern("a")
 
 
-def canonical_format(name: Column) -> Column:
-    """Output format for a name or alias; an unknown name means markdown."""
-    table = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit("markdown"))
-
-
 def _flags(tag: Column) -> Column:
     """Whether an opening tag's class or id marks it as an ad or as comments."""
 
@@ -316,15 +305,11 @@ def token_table(pages: DataFrame) -> DataFrame:
     )
 
 
-def _marks(links: bool = False, images: bool = False, formatting: bool = False) -> tuple[bool, bool, bool]:
-    return links, images, formatting
-
-
-def block_table(pages: DataFrame, **marks: bool) -> DataFrame:
+def block_table(pages: DataFrame, links: bool = False, images: bool = False, formatting: bool = False) -> DataFrame:
     """One row per text block with its kind, flags and character counts."""
     return (
         pages.filter(F.col("html").isNotNull())
-        .select("page_id", F.posexplode(all_blocks("html", *_marks(**marks))).alias("block_no", "b"))
+        .select("page_id", F.posexplode(all_blocks("html", links, images, formatting)).alias("block_no", "b"))
         .select("page_id", "block_no", "b.*")
     )
 
@@ -351,7 +336,7 @@ def extract_pages(
     status (no_page, empty, lang_mismatch); :func:`drop_failed` removes those.
     Row-local throughout: partitions are worked on independently.
     """
-    fmt = FORMATS.get(output_format.lower(), "markdown")
+    fmt = format_name(output_format)
     include_images = include_images or extract_images
     source = pages
     if process_math:
@@ -378,7 +363,7 @@ def extract_pages(
     out = out.drop("html")
     status = F.when(F.col("_body").isNull(), F.lit("no_page")).when(F.trim("_body") == "", F.lit("empty"))
     if target_lang:
-        status = status.when(F.coalesce(F.col("_lang"), F.lit("")) != target_lang.lower(), F.lit("lang_mismatch"))
+        status = status.when(F.coalesce(F.col("_lang"), F.lit("")) != primary_tag(target_lang), F.lit("lang_mismatch"))
     out = out.withColumn("status", status.otherwise(F.lit("ok"))).withColumn("format", F.lit(output_format))
     ok = F.col("status") == "ok"
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import urls as U
 from leafpress.functions.arrays import first_by, let
+from leafpress.session import cut_lineage
 
 # The three pattern forms.
 NUMBERS = r"\[(\d+)-(\d+)(?::(\d+))?\]"
@@ -19,6 +20,8 @@ LETTERS = r"\[[a-z]-[a-z]\]|\[[A-Z]-[A-Z]\]"
 LISTS = r"\{([^}]+)\}"
 
 IN_ROW = 4096
+#: Numbers of a range; longer ones cannot be counted.
+NUMBER = "decimal(37,0)"
 
 
 def has_glob(url: Column) -> Column:
@@ -62,18 +65,20 @@ def glob_patterns(url: Column) -> Column:
 
 def pattern_size(p: Column) -> Column:
     """How many values a pattern has; NULL for a range that cannot be counted."""
-    start, end = p["start"].try_cast("long"), p["end"].try_cast("long")
+    start, end, step = p["start"].try_cast(NUMBER), p["end"].try_cast(NUMBER), p["step"].cast(NUMBER)
+    # without the remainder the division is exact
+    steps = F.try_divide((end - start) - (end - start) % step, step)
     return (
         F.when(p["type"] == "list", F.size(p["items"]).cast("long"))
         .when(p["type"] == "alpha_range", F.greatest(F.ascii(p["end"]) - F.ascii(p["start"]) + 1, F.lit(0)).cast("long"))
         .when((p["step"] > 0) & (start > end), F.lit(0).cast("long"))
-        .when(p["step"] > 0, F.expr("0L") + F.floor((end - start) / p["step"]) + 1)
+        .when(p["step"] > 0, F.try_add(steps.cast("decimal(38,0)"), F.lit(1)).try_cast("long"))
     )
 
 
 def pattern_value(p: Column, i: Column) -> Column:
     """The i-th value (from 0) of a pattern; numbers padded to the start's width."""
-    number = (p["start"].try_cast("long") + i * p["step"]).cast("string")
+    number = (p["start"].try_cast(NUMBER) + i.cast("decimal(19,0)") * p["step"].cast("decimal(19,0)")).cast("string")
     return (
         F.when(p["type"] == "list", F.get(p["items"], i.cast("int")))
         .when(p["type"] == "alpha_range", F.char(F.ascii(p["start"]) + i))
@@ -103,8 +108,9 @@ def _nth(url: Column, places: Column, n: Column) -> Column:
 def prepared(df: DataFrame, url: str = "url") -> DataFrame:
     """Add patterns, their sizes and the number of combinations.
 
-    ``glob_total`` is NULL if a range cannot be counted (step 0, or a number
-    beyond 18 digits): such a URL is rejected rather than ending the run.
+    ``glob_total`` is NULL if a range cannot be counted (step 0, a number of over
+    37 digits, or more URLs than a 64-bit number counts): such a URL is rejected
+    rather than ending the run.
     """
     sizes = F.transform("glob_patterns", pattern_size)
     places = F.transform(
@@ -127,6 +133,7 @@ def prepared(df: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rejected_globs(df: DataFrame, url: str = "url") -> DataFrame:
+    """The rows whose URL has a pattern that cannot be counted."""
     return prepared(df, url).filter("glob_total IS NULL").select(*df.columns)
 
 
@@ -136,7 +143,10 @@ def expand_globs(df: DataFrame, url: str = "url", in_row: int = IN_ROW) -> DataF
     ``ordinal`` is the place of a URL's first occurrence in the product.  Small
     products are unrolled and made distinct inside the row.  A large product is
     cut into pieces that go to different tasks, and made distinct by grouping,
-    so one URL may stand for more rows than a task could hold.
+    so one URL may stand for more rows than a task could hold.  The few rows with
+    large products are written with a number first, so that equal rows stay apart
+    and their other columns may be of any kind.  Rows that cannot be counted are
+    in ``rejected_globs``.
     """
     ready = prepared(df, url)
     others = [c for c in df.columns if c != url]
@@ -153,20 +163,23 @@ def expand_globs(df: DataFrame, url: str = "url", in_row: int = IN_ROW) -> DataF
         .select(*others, F.explode(first_by(unrolled, lambda e: e["url"])).alias("e"))
         .select(*others, F.col("e.url").alias(url), F.col("e.ordinal").alias("ordinal"))
     )
-    big = ready.filter(F.col("glob_total") > in_row)
+    big = cut_lineage(ready.filter(F.col("glob_total") > in_row).withColumn("_row", F.monotonically_increasing_id()))
 
     def pieces(size: int, begin: Column, end: Column) -> Column:
         return F.explode(F.sequence(begin, F.least(end, last), F.lit(size).cast("long")))
 
     zero = F.lit(0).cast("long")
     step1, step2 = in_row * in_row, in_row
-    cut = big.withColumn("_a", pieces(step1, zero, last)).withColumn("_b", pieces(step2, F.col("_a"), F.col("_a") + step1 - 1))
+    cut = big.select("_row", url, "glob_places", "glob_total")
+    cut = cut.withColumn("_a", pieces(step1, zero, last)).withColumn("_b", pieces(step2, F.col("_a"), F.col("_a") + step1 - 1))
     rows = (
-        cut.repartition(F.col(url), F.col("_b"))
+        cut.repartition("_row", "_b")
         .withColumn("ordinal", pieces(1, F.col("_b"), F.col("_b") + step2 - 1))
-        .select(*others, numbered(F.col("ordinal")).alias("_url"), F.col(url).alias("_from"), "ordinal")
+        .select("_row", numbered(F.col("ordinal")).alias("_url"), "ordinal")
     )
-    distinct = rows.groupBy(*others, "_from", "_url").agg(F.min("ordinal").alias("ordinal"))
+    distinct = rows.groupBy("_row", "_url").agg(F.min("ordinal").alias("ordinal"))
+    if others:
+        distinct = distinct.join(big.select("_row", *others), "_row")
     return small.unionByName(distinct.select(*others, F.col("_url").alias(url), "ordinal"))
 
 
@@ -177,14 +190,27 @@ def expand_urls(df: DataFrame, url: str = "url", ignore_glob: bool = False) -> D
     return expand_globs(df, url).filter(U.has_scheme_and_host(F.col(url)))
 
 
-def expand_list(lines: DataFrame, url: str = "url") -> DataFrame:
+def expand_list(lines: DataFrame, url: str = "url", ignore_glob: bool = False, keep_rejected: bool = False) -> DataFrame:
     """A whole URL list: pattern lines expanded and validated, others as they are.
 
-    URLs are made distinct within a line only, not across lines.
+    URLs are made distinct within a line only, not across lines.  With
+    ``ignore_glob`` patterns are URLs like any other.  With ``keep_rejected`` a
+    column ``status`` tells ``ok`` from ``rejected``: a pattern line that cannot be
+    counted, or gives no URL with a scheme and a host, stays as it is, with ordinal 0.
     """
+    zero = F.lit(0).cast("long")
+    if ignore_glob:
+        every = lines.withColumn("ordinal", zero)
+        return every.withColumn("status", F.lit("ok")) if keep_rejected else every
     is_glob = has_glob(F.col(url))
-    plain = lines.filter(~is_glob).withColumn("ordinal", F.lit(0).cast("long"))
-    return plain.unionByName(expand_urls(lines.filter(is_glob), url))
+    found = lines.filter(~is_glob).withColumn("ordinal", zero).unionByName(expand_urls(lines.filter(is_glob), url))
+    if not keep_rejected:
+        return found
+    # scheme and host are as in the pattern, unless a list stands before the path
+    first = _nth(F.col(url), F.col("glob_places"), zero)
+    none = F.col("glob_total").isNull() | ((F.col("glob_total") > 0) & ~U.has_scheme_and_host(first))
+    bad = prepared(lines.filter(is_glob), url).filter(none).select(*lines.columns).withColumn("ordinal", zero)
+    return found.withColumn("status", F.lit("ok")).unionByName(bad.withColumn("status", F.lit("rejected")))
 
 
 def expansion_counts(expanded: DataFrame, by: list[str]) -> DataFrame:

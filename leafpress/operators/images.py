@@ -20,7 +20,8 @@ TAG_SOURCE = r"""src=["']([^"']+)["']"""
 def images_of(html: Column, page_url: Column) -> Column:
     """Images of a page in order: url, alt, title, local_filename, original_src.
 
-    Sources without text and data URLs are left out; the first of several images
+    Images in noscript and template elements count, as lazily loaded ones often
+    stand there.  Sources without text and data URLs are left out; the first of several images
     with one URL is kept.
     """
 
@@ -42,7 +43,7 @@ def images_of(html: Column, page_url: Column) -> Column:
         return let(H.attributes(tag), build)
 
     def find(parts: Column) -> Column:
-        found = F.transform(H.elements(H.strip_hidden(html), "img"), lambda t: image(parts, t))
+        found = F.transform(H.elements(H.strip_inert(html), "img"), lambda t: image(parts, t))
         usable = F.filter(
             found, lambda i: i["original_src"].isNotNull() & (i["original_src"] != "") & ~i["url"].startswith("data:")
         )

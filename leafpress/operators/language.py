@@ -1,7 +1,13 @@
-"""Language of a page: the declared one, else a vote of common words."""
+"""Language of a page: the declared one, else a vote of common words.
+
+Votes go to the languages of ``STOPWORDS`` only; a page in another language that
+does not declare it may be taken for one of them.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +29,12 @@ def declared_language(html: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(H.attribute(tag, "lang"), r"^\s*([A-Za-z]{2,3})", 1)), F.lit(""))
 
 
+def primary_tag(language: str) -> str:
+    """What a language name is compared by: ``en`` for ``en-US``."""
+    found = re.match(r"\s*([A-Za-z]{2,3})", language)
+    return found[1].lower() if found else ""
+
+
 def voted_language(text: Column) -> Column:
     """Language whose frequent words occur most, NULL if none occurs."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
@@ -41,4 +53,4 @@ def voted_language(text: Column) -> Column:
 
 
 def page_language(html: Column, text: Column) -> Column:
-    return F.coalesce(declared_language(html), voted_language(text))
+    return F.coalesce(declared_language(H.strip_hidden(html)), voted_language(text))

@@ -11,9 +11,12 @@ from leafpress.functions.arrays import built_once, let, strip
 
 
 def hrefs(html: Column) -> Column:
-    """Anchor targets in page order; empty, '#', javascript and mailto left out."""
+    """Anchor targets in page order; empty, '#', javascript and mailto left out.
+
+    Anchors in noscript and template elements count.
+    """
     raw = F.transform(
-        H.elements(H.strip_hidden(html), "a"), lambda t: strip(H.decode_entities(H.attribute(t, "href")))
+        H.elements(H.strip_inert(html), "a"), lambda t: strip(H.decode_entities(H.attribute(t, "href")))
     )
     skipped = ("#", "javascript:", "mailto:")
     return F.filter(

@@ -18,6 +18,7 @@ from leafpress.functions import html as H
 from leafpress.functions import tex as X
 from leafpress.functions.arrays import built_once, let, replace_each, scan, with_computed
 from leafpress.functions.mathml import mathml_to_tex
+from leafpress.session import ship_package
 
 _OPAQUE = r"<!--.*?(?:-->|\z)|<script(?:\s[^>]*)?>.*?(?:</script[^>]*>|\z)|<style(?:\s[^>]*)?>.*?(?:</style[^>]*>|\z)"
 _PIECES = rf"(?is){_OPAQUE}|<[A-Za-z/!?][^>]*>|[^<]+|<"
@@ -227,6 +228,7 @@ def normalize_math(pages: DataFrame, fallback: bool = True) -> DataFrame:
         ),
     )
     if fallback:
+        ship_package(pages.sparkSession)
         left = F.transform(
             F.regexp_extract_all("_h", F.lit(_MATH_OR_OPAQUE), F.lit(0)), lambda h: F.when(h.rlike("(?i)^<math"), h)
         )

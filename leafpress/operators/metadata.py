@@ -46,16 +46,16 @@ def page_metadata(html: Column, url: Column | None = None) -> Column:
     """Struct of the nine fields, NULL where absent and NULL if all are.
 
     Only the part of the page before ``<body>`` is searched for meta tags if
-    there is such a tag, so a long body is not scanned again.
+    there is such a tag, so a long body is not scanned again.  A ``<body>`` within a
+    script or comment is none.
     """
-    visible = H.strip_hidden(F.regexp_replace(html, r"(?is)<body[\s>].*\z", ""))
 
-    def build(head: Column, metas: Column) -> Column:
+    def build(whole: Column, head: Column, metas: Column) -> Column:
         def first(*names: str) -> Column:
             return F.coalesce(*[F.try_element_at(metas, F.lit(n)) for n in names])
 
         title = F.regexp_extract(head, rf"(?is){H.tag_pattern('title')}(.*?)(?:</title|\z)", 1)
-        heading = F.regexp_extract(html, rf"(?is){H.tag_pattern('h1')}(.*?)</h1", 1)
+        heading = F.regexp_extract(whole, rf"(?is){H.tag_pattern('h1')}(.*?)</h1", 1)
         raw = F.array(
             title, first("og:title", "twitter:title"), H.strip_tags(heading),
             *[first(*names) for names in META_NAMES.values()],
@@ -74,7 +74,11 @@ def page_metadata(html: Column, url: Column | None = None) -> Column:
             *[_items(named[f]).alias(f) for f in ("categories", "tags")],
         )
 
-    full = let(visible, lambda head: let(_meta_map(head), lambda metas: build(head, metas)))
+    def read(whole: Column) -> Column:
+        before = F.regexp_replace(whole, r"(?is)<body[\s>].*\z", "")
+        return let(before, lambda head: let(_meta_map(head), lambda metas: build(whole, head, metas)))
+
+    full = let(H.strip_hidden(html), read)
     return let(full, lambda m: F.when(F.coalesce(*[m[f].cast("string") for f in FIELDS]).isNotNull(), m))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafpress.functions.names import output_filename
+from leafpress.functions.names import format_name, output_filename
 from leafpress.operators.images import localize_images
 from leafpress.operators.skew import ranked
+from leafpress.session import cut_lineage
 
 # Order and labels of the metadata lines.
 FRONT_MATTER = (
@@ -58,10 +59,10 @@ def render(results: DataFrame, output_format: str = "markdown", with_metadata: b
     """Add the text to write for each result.
 
     JSON, XML and CSV content is final already.  Markdown gets local image links
-    where ``image_mappings`` is there, and front matter; any other format gets
-    the header of the text form.
+    where ``image_mappings`` is there, and front matter; text gets its header.
+    Aliases mean the same format everywhere, an unknown name Markdown.
     """
-    fmt = output_format.lower()
+    fmt = format_name(output_format)
     content = F.col("content")
     meta = F.col("metadata") if with_metadata and "metadata" in results.columns else None
     if fmt in ("json", "xml", "csv"):
@@ -73,10 +74,19 @@ def render(results: DataFrame, output_format: str = "markdown", with_metadata: b
     return results.withColumn(out, as_text(content, meta) if meta is not None else content)
 
 
+def _numbered(results: DataFrame, order: list[str], also: list[str], output_format: str, with_metadata: bool, number: str) -> DataFrame:
+    """The documents with their place in ``order``, which is unique and not null.
+
+    They are written once; only the order columns are ranked, and the number is joined back.
+    """
+    rendered = render(results.filter("status = 'ok'"), output_format, with_metadata)
+    written = cut_lineage(rendered.select(*dict.fromkeys([*order, *also]), "document"))
+    return written.join(ranked(written.select(*order), [], order, number), order)
+
+
 def named_documents(results: DataFrame, order: list[str], output_format: str = "markdown", with_metadata: bool = True) -> DataFrame:
     """``(filename, document)`` per successful page, numbered from 0 in ``order``."""
-    rendered = render(results.filter("status = 'ok'"), output_format, with_metadata)
-    numbered = ranked(rendered.select(*order, "url", "document"), [], order, "_n")
+    numbered = _numbered(results, order, ["url"], output_format, with_metadata, "_n")
     name = output_filename(F.col("_n") - 1, F.col("url"), F.lit(output_format))
     return numbered.select(name.alias("filename"), "document")
 
@@ -87,7 +97,6 @@ def combined_document(results: DataFrame, order: list[str], output_format: str =
     Put together in order the parts are the document; every part but the first
     starts with the line of 60 '='.  It stays a distributed table.
     """
-    rendered = render(results.filter("status = 'ok'"), output_format, with_metadata)
-    numbered = ranked(rendered.select(*order, "document"), [], order, "part_no")
+    numbered = _numbered(results, order, [], output_format, with_metadata, "part_no")
     lead = F.when(F.col("part_no") == 1, F.lit("")).otherwise(F.lit("\n\n" + "=" * 60 + "\n\n"))
     return numbered.select("part_no", F.concat(lead, "document").alias("part"))

@@ -28,7 +28,9 @@ def _line(raw: Column) -> Column:
             .when(key.isin("crawl-delay", "request-rate"), F.lit("pace"))
             .otherwise(F.lit("none"))
         )
-        return F.struct(kind.alias("kind"), value.alias("value"))
+        # as the standard parser has it, an empty query of a path goes
+        bare = F.when(kind.isin("allow", "disallow") & (F.instr(value, "?") == F.length(value)), F.rtrim(value, F.lit("?")))
+        return F.struct(kind.alias("kind"), F.coalesce(bare, value).alias("value"))
 
     return let(F.trim(F.regexp_replace(raw, "#.*$", "")), build)
 
@@ -44,7 +46,7 @@ def _step(state: Column, line: Column) -> Column:
         .otherwise(at)
     )
     kept_star = star & ~fresh_group
-    new_star = kept_star | ((kind == "agent") & (line["value"] == "*"))
+    new_star = kept_star | ((kind == "agent") & line["value"].isin("*", ""))
     return F.struct(
         new_at.alias("at"),
         F.when(fresh_group, group + 1).otherwise(group).alias("group"),

@@ -10,28 +10,40 @@ from leafpress.operators.globs import expand_list
 from leafpress.operators.render import named_documents
 from leafpress.operators.skew import skew_join
 from leafpress.session import cut_lineage
-from leafpress.sources.pages import spread
+from leafpress.sources.pages import one_per_url
 from leafpress.sources.sinks import write_documents
-from leafpress.sources.url_lists import url_lines
+from leafpress.sources.url_lists import classify_lines
 
 
-def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, **options) -> DataFrame:
+def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, ignore_glob: bool = False, **options) -> DataFrame:
     """Results for every URL of the lists, in list order by (file, line_no, ordinal).
 
     The expanded list is written once, since it is used in three places.  A URL
     asked for many times is extracted once, and its result is joined back
-    in a skew-safe way.  URLs without a stored page have status no_page.
+    in a skew-safe way.  URLs without a stored page have status no_page; lines that
+    are no URL, and patterns that cannot be counted, have status rejected and stand
+    in ``url`` as they are.  Of pages stored twice, one is read (``one_per_url``).
+    With ``workers``, extraction runs in at most so many tasks.
     """
-    asked = cut_lineage(expand_list(url_lines(lines)))
-    wanted = pages.join(asked.select("url").distinct(), "url", "left_semi")
+    marked = classify_lines(lines).filter(F.col("status").isin("ok", "rejected"))
+    listed = marked.select("file", "line_no", F.col("line").alias("url"), F.col("status").alias("_line"))
+    good = expand_list(listed.filter("_line = 'ok'").drop("_line"), ignore_glob=ignore_glob, keep_rejected=True)
+    bad = listed.filter("_line = 'rejected'").select("file", "line_no", "url", F.lit(0).cast("long").alias("ordinal"), F.lit("rejected").alias("status"))
+    asked = cut_lineage(good.unionByName(bad).withColumnRenamed("status", "_asked"))
+    wanted = one_per_url(pages.join(asked.filter("_asked = 'ok'").select("url").distinct(), "url", "left_semi"))
     if workers:
-        wanted = spread(wanted, workers, "url")
+        wanted = wanted.repartition(workers)
     results = extract_pages(wanted, **options)
-    return skew_join(asked, results, ["url"], "left").withColumn("status", F.coalesce("status", F.lit("no_page")))
+    status = F.when(F.col("_asked") == "rejected", F.col("_asked")).otherwise(F.coalesce("status", F.lit("no_page")))
+    return skew_join(asked, results, ["url"], "left").withColumn("status", status).drop("_asked")
 
 
 def run_batch(lines: DataFrame, pages: DataFrame, out: str, output_format: str = "markdown", with_metadata: bool = True, **options) -> DataFrame:
-    """Run a list and write one named document per page; returns the good results."""
-    good = drop_failed(run_list(lines, pages, output_format=output_format, with_metadata=with_metadata, **options))
+    """Run a list and write one named document per page; returns the good results.
+
+    The results are written once to the checkpoint folder, and both the documents
+    and what the caller does with them are made from that copy.
+    """
+    good = cut_lineage(drop_failed(run_list(lines, pages, output_format=output_format, with_metadata=with_metadata, **options)))
     write_documents(named_documents(good, ["file", "line_no", "ordinal"], output_format, with_metadata), out)
     return good

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zipfile
 from pathlib import Path
 
@@ -12,10 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the folder checkpoints go to.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
-    session without that setting gets a scratch folder of its own; on a cluster
-    a missing setting is an error, since executors could not read each other's
-    files.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; without that
+    setting nothing can be written that all executors can read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -23,9 +20,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="leafpress-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(named)
     return named
 

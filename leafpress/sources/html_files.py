@@ -11,10 +11,13 @@ from leafpress.operators.extract import extract_pages
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, file, url, html)``, one row per file; a missing path raises.
 
-    ``file`` is the absolute path.  ``url`` is NULL: a file has no address.
+    ``file`` is the absolute path, decoded.  ``url`` is NULL: a file has no address.
+    ``page_id`` is a 64-bit hash of the path, for joins among some millions of
+    files; where there are billions, ``file`` is the key.
     """
     files = spark.read.text(path, wholetext=True)
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    path_ = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    name = F.url_decode(F.replace(path_, F.lit("+"), F.lit("%2B")))
     return files.select(
         F.xxhash64(name).alias("page_id"), name.alias("file"), F.lit(None).cast("string").alias("url"), F.col("value").alias("html")
     )

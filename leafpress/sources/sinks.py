@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafpress.functions.names import format_name
 from leafpress.session import shuffle_width
 
 
@@ -32,6 +33,7 @@ def write_records(results: DataFrame, path: str, output_format: str = "json") ->
         "content",
     )
     writer = flat.write.mode("overwrite")
+    output_format = format_name(output_format)
     if output_format == "json":
         writer.json(path)
     elif output_format == "csv":

@@ -146,3 +146,31 @@ def test_progress(spark):
     assert (row.total, row.completed, row.failed, round(row.success_rate, 2), row.percentage) == (10, 3, 1, 66.67, 30.0)
     none = R.progress(spark.createDataFrame([(None,)], "status string")).first()
     assert (none.success_rate, none.percentage) == (0.0, 0.0)
+
+
+def test_pages_stored_twice_are_one_page(spark):
+    from leafpress.sources.pages import one_per_url, resolve_pages
+
+    html = "<html><body><article><p>Fetch {} of the page, long enough to be kept.</p><a href='/b'>b</a></article></body></html>"
+    rows = [(1, "https://e.com/a", html.format(1)), (2, "https://e.com/a", html.format(2)), (3, "https://e.com/b", html.format(3)), (3, "https://e.com/b", html.format(3))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(r.page_id for r in one_per_url(pages).collect()) == [2, 3]
+    seeds = spark.createDataFrame([(7, "https://e.com/a")], "seed_id long, url string")
+    got = C.crawl_pages(pages, seeds, max_depth=1).orderBy("crawl_order").collect()
+    assert [(r.page_id, r.crawl_order, r.crawl_depth) for r in got] == [(2, 1, 0), (3, 2, 1)]
+    assert C.crawl_pages(pages, seeds, max_depth=0).count() == 1
+    assert resolve_pages(seeds, pages).count() == 1
+
+
+def test_robots_corners_as_the_standard_parser(spark):
+    files = ["User-agent:\nDisallow: /x", "User-agent: *\nDisallow: /p?", "User-agent: *\nDisallow: /p?q", "User-agent: *\nAllow: /x/y\nDisallow: /x"]
+    urls = [f"https://e.com{p}" for p in ("/x", "/x/y", "/p", "/p?q=1", "/", "/px")]
+    robots = spark.createDataFrame([(f"https://h{i}.com", 200, t) for i, t in enumerate(files)], "origin string, status int, text string")
+    asked = spark.createDataFrame([(i, u.replace("e.com", f"h{i}.com")) for i in range(len(files)) for u in urls], "i int, url string")
+    allowed = {(r.i, r.url) for r in B.allowed_only(asked, robots).collect()}
+    for i, text in enumerate(files):
+        parser = RobotFileParser()
+        parser.parse(text.splitlines())
+        for u in urls:
+            own = u.replace("e.com", f"h{i}.com")
+            assert ((i, own) in allowed) == parser.can_fetch("*", own), (text, own)
