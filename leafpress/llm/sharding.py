@@ -68,8 +68,9 @@ def _overflow(arcs: DataFrame, room: DataFrame) -> DataFrame:
                           st.out)),
             st -> named_struct('room', st.room, 'out', st.out)),
         acc -> acc.out)"""
-    listed = arcs.agg(F.sort_array(F.collect_list(F.struct("arc", "left", "met"))).alias("arcs"))
-    one = listed.withColumn("one", F.lit(1)).join(room.withColumn("one", F.lit(1)), "one")
+    entries = arcs.select(F.struct("arc", "left", "met").alias("a"), F.lit(None).cast("array<bigint>").alias("room"))
+    entries = entries.unionByName(room.select(F.lit(None).cast(entries.schema["a"].dataType).alias("a"), "room"))
+    one = entries.agg(F.sort_array(F.collect_list("a")).alias("arcs"), F.first("room", True).alias("room"))
     return one.select(F.posexplode(F.expr(walk)).alias("step", "t")).select("step", "t.arc", "t.shard", "t.take")
 
 
