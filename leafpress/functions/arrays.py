@@ -1,7 +1,8 @@
 """Array helpers built from higher-order functions.
 
 They let a page be worked on inside its own row, so that per-page jobs need no
-shuffle.  All are linear (or n log n) in the array length.
+shuffle.  All are linear (or n log n) in the array length but ``scan``, whose outer
+fold copies what it has put out once for each chunk.
 """
 
 from __future__ import annotations
