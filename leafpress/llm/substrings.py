@@ -15,7 +15,7 @@ window holds.  So a repeated window shares a high-level symbol with its other
 occurrence, always, and unrelated texts hardly ever share one.
 
 The names that two documents share go back to their documents.  Only the windows
-that hold such a symbol are compared, by 128-bit hashes of their words; the
+whose own high-level symbol is shared are compared, by 128-bit hashes of their words; the
 smallest id with a window decides.  Exact copies are told by a digest of their
 words first, and need no windows.
 """
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafpress.llm.common import Scratch, arrow_ready, slices
 
@@ -147,32 +148,53 @@ def hash_words(texts: list[list[bytes]], seed: int, cache: dict[bytes, int]) ->
     return np.array([cache[w] for words in texts for w in words], np.uint64)
 
 
-def high_symbols(hashes: np.ndarray, sizes: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The high-level symbols of texts given by their word hashes: name, text, first and last + 1 word with reach.
+class HighSymbols:
+    """The high-level symbols of texts given by their word hashes.
 
-    Words are counted over all texts of the batch.
+    ``name``, ``text``: of each symbol; the words it stands for, with those within
+    reach, are words of its text.  Words are counted over all texts of the batch.
     """
-    gap = plan.window + 1
-    n = int(sizes.sum())
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    name, start, span = _mix(hashes), np.arange(n) + text * gap, np.ones(n, np.int64)
-    if not n:
-        return (np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
-    if plan.run:
-        name, start, span = _runs(name, start, span, plan.run)
-        for number, limit in enumerate(plan.pairs):
-            name, start, span = _pairs(name, start, span, limit, number)
-    stop = np.searchsorted(start + span, start + plan.inner, side="right")
-    chosen = np.unique(_least(_mix(name, 500), np.maximum(stop, np.arange(len(name)) + 1)))
-    starts, spans = start[chosen], span[chosen]
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    # back from places with gaps to places in the batch
-    of = np.searchsorted(begins[1:] + np.arange(len(sizes)) * gap, starts, side="right")
-    first, last = starts - of * gap - plan.reach, starts - of * gap + spans + plan.reach
-    inside = (first >= begins[of]) & (last <= begins[of + 1])
-    first, last, of = first[inside], last[inside], of[inside]
-    names = _mix(Rolling(hashes, FACTORS[0])(first, last) + (last - first).astype(np.uint64), 600)
-    return names, of, first, last
+
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, plan: Plan):
+        self.plan, self.gap, self.sizes = plan, plan.window + 1, sizes
+        self.begins = np.concatenate([[0], np.cumsum(sizes)])
+        self.name, self.text = np.empty(0, np.uint64), np.empty(0, np.int64)
+        n = len(hashes)
+        if not n:
+            return
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        name, start, span = _mix(hashes), np.arange(n) + text * self.gap, np.ones(n, np.int64)
+        if plan.run:
+            name, start, span = _runs(name, start, span, plan.run)
+            for number, limit in enumerate(plan.pairs):
+                name, start, span = _pairs(name, start, span, limit, number)
+        stop = np.searchsorted(start + span, start + plan.inner, side="right")
+        self.start = start
+        self.least = _least(_mix(name, 500), np.maximum(stop, np.arange(len(name)) + 1))
+        chosen = np.unique(self.least)
+        # back from places with gaps between texts to places in the batch
+        of = np.searchsorted(self.begins[1:] + np.arange(len(sizes)) * self.gap, start[chosen], side="right")
+        first = start[chosen] - of * self.gap - plan.reach
+        last = first + span[chosen] + 2 * plan.reach
+        inside = (first >= self.begins[of]) & (last <= self.begins[of + 1])
+        self.symbol, self.text = chosen[inside], of[inside]
+        first, last = first[inside], last[inside]
+        self.name = _mix(Rolling(hashes, FACTORS[0])(first, last) + (last - first).astype(np.uint64), 600)
+
+    def windows(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and texts of the windows whose own high-level symbol is ``known`` (one flag for each symbol).
+
+        A window's own is the least of the symbols in its inner part, from the first that begins there.
+        """
+        if not known.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        number = np.maximum(self.sizes - self.plan.window + 1, 0)
+        text = np.repeat(np.arange(len(number)), number)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number) + self.begins[text]
+        own = self.least[np.searchsorted(self.start, place + text * self.gap + self.plan.reach, side="left")]
+        wanted = np.zeros(len(self.start), bool)
+        wanted[self.symbol[known]] = True
+        return place[wanted[own]], text[wanted[own]]
 
 
 def _words(column: pa.Array) -> list[list[bytes]]:
@@ -180,8 +202,8 @@ def _words(column: pa.Array) -> list[list[bytes]]:
 
 
 def _symbols(df: DataFrame, plan: Plan) -> DataFrame:
-    """For each row (o, t, text): words, digest of the words and the names of the high-level symbols."""
-    schema = df.select("o", "t").withColumns({"n_words": F.lit(0).cast("long"), "digest": F.lit("").cast("string"), "names": F.array().cast("array<long>")}).schema
+    """For each row (id, o, t, text): words, digest of the words and the names of the high-level symbols."""
+    schema = df.select("id", "o", "t").withColumns({"n_words": F.lit(0).cast("long"), "digest": F.lit("").cast("string"), "names": F.array().cast("array<long>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -191,21 +213,22 @@ def _symbols(df: DataFrame, plan: Plan) -> DataFrame:
             sizes = np.array([len(w) for w in texts])
             long = sizes >= plan.window
             some = [w for w, x in zip(texts, long) if x]
-            names, of, _, _ = high_symbols(hash_words(some, SEEDS[0], cache), sizes[long], plan)
-            edges = np.searchsorted(of, np.arange(len(some) + 1))
+            found = HighSymbols(hash_words(some, SEEDS[0], cache), sizes[long], plan)
+            names, edges = found.name, np.searchsorted(found.text, np.arange(len(some) + 1))
             lists: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
             for i, a, b in zip(np.flatnonzero(long), edges, edges[1:]):
                 lists[i] = np.unique(names[a:b]).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("o"), part.column("t"), pa.array(sizes, pa.int64()), pa.array(digests), column], names=schema.names)
+            kept = [part.column(c) for c in ("id", "o", "t")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), column], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def _windows(df: DataFrame, plan: Plan) -> DataFrame:
-    """The windows (h1, h2, o, t, start) of rows (o, t, text, shared) that hold one of the shared symbols."""
+    """The windows (h1, h2, o, t, start) of rows (o, t, text, shared) whose own high-level symbol is shared."""
     schema = df.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "o", "t", F.lit(0).alias("start")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +237,14 @@ def _windows(df: DataFrame, plan: Plan) -> DataFrame:
             texts = _words(part.column("text"))
             sizes = np.array([len(w) for w in texts])
             hashes = [hash_words(texts, seed, cache) for seed, cache in zip(SEEDS, caches)]
-            names, of, first, last = high_symbols(hashes[0], sizes, plan)
+            symbols = HighSymbols(hashes[0], sizes, plan)
             shared = part.column("shared")
             owner = np.repeat(np.arange(len(texts)), shared.value_lengths().to_numpy(zero_copy_only=False))
             flat = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             # a name counts in its own text only
-            known = np.isin(_mix(names) + of.astype(np.uint64), _mix(flat) + owner.astype(np.uint64))
-            of, first, last = of[known], first[known], last[known]
-            begins = np.concatenate([[0], np.cumsum(sizes)])
-            low = np.maximum(begins[of], last - plan.window)
-            high = np.minimum(begins[of + 1] - plan.window, first) + 1
-            change = np.zeros(len(hashes[0]) + 2, np.int64)
-            some = high > low
-            np.add.at(change, low[some], 1)
-            np.add.at(change, high[some], -1)
-            starts = np.flatnonzero(np.cumsum(change) > 0)
-            text = np.searchsorted(begins, starts, side="right") - 1
+            known = np.isin(_mix(symbols.name) + symbols.text.astype(np.uint64), _mix(flat) + owner.astype(np.uint64))
+            starts, text = symbols.windows(known)
+            begins = symbols.begins
             hashed = [_mix(Rolling(h, f)(starts, starts + plan.window)).view(np.int64) for h, f in zip(hashes, FACTORS)]
             columns = [*map(pa.array, hashed), part.column("o").take(pa.array(text)), part.column("t").take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -255,18 +270,25 @@ def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", window:
     plan = Plan(window)
     arrow_ready(df.sparkSession)
     scratch = Scratch(df.sparkSession, "repeats")
-    order = F.struct(F.col(f"`{id_}`").isNull().alias("none"), F.col(f"`{id_}`").alias("id"))
-    texts = df.select(order.alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+    id_column = F.col(f"`{id_}`")
+    if isinstance(df.schema[id_].dataType, T.IntegralType):
+        order = F.coalesce(id_column.cast("long"), F.lit(2**63 - 1))
+    else:  # any other ordered type
+        order = F.struct(id_column.isNull().alias("none"), id_column.alias("id"))
+    texts = df.select(id_column.alias("id"), order.alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     rows = scratch.write(_symbols(texts, plan), "rows")
     first = rows.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("o").alias("first"))
-    marked = rows.select("o", "t", "n_words", "digest").join(first, "digest", "left")
-    marked = scratch.write(marked.select("o", "t", "n_words", "digest", (F.col("first") < F.col("o")).alias("copy")), "marked")
-    names = rows.join(marked.filter("copy").select("o", "t").distinct(), ["o", "t"], "left_anti").select("o", F.explode("names").alias("name"))
+    marked = rows.select("id", "o", "t", "n_words", "digest").join(first, "digest", "left")
+    marked = scratch.write(marked.select("id", "o", "t", "n_words", "digest", F.coalesce(F.col("first") < F.col("o"), F.lit(False)).alias("copy")), "marked")
+    originals = marked.filter(~F.col("copy") & (F.col("n_words") >= window)).select("o", "t").distinct()
+    names = rows.select("o", "t", "names").join(originals, ["o", "t"], "left_semi").select("o", F.explode("names").alias("name"))
     names = scratch.write(names, "names")
+    scratch.drop("rows")
     shared = names.groupBy("name").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select("name")
     wanted = names.join(shared, "name").groupBy("o").agg(F.collect_set("name").alias("shared"))
-    copies = marked.filter("copy").select("o", "t").distinct()
-    asked = scratch.write(texts.join(wanted, "o").join(copies, ["o", "t"], "left_anti").select("o", "t", "text", "shared").distinct(), "asked")
+    wanted = originals.join(wanted, "o")
+    asked = scratch.write(texts.select("o", "t", "text").join(wanted, ["o", "t"]), "asked")
+    scratch.drop("names")
     windows = scratch.write(_windows(asked, plan), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select("h1", "h2", "low")
     gone = windows.join(least, ["h1", "h2"]).filter("low < o").groupBy("o", "t").agg(F.collect_list("start").alias("starts"))
@@ -288,12 +310,12 @@ def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", window:
             columns = [part.column("o"), part.column("t"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    done = scratch.write(cut.mapInArrow(kept, schema), "done")
+    done = scratch.write(cut.mapInArrow(kept, schema).dropDuplicates(["o", "t"]), "done")
     scratch.drop("windows")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("stop")))
     none = F.array().cast(spans_type)
     result = marked.join(done, ["o", "t"], "left").select(
-        F.col("o.id").alias(id_), "t", "n_words",
+        F.col("id").alias(id_), "t", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left", "digest")).alias("kept_sha256"),
         F.when(F.col("copy"), whole.cast(spans_type)).otherwise(F.coalesce("spans", none)).alias("spans"),
