@@ -215,7 +215,15 @@ def noscript_images(spark, sf):
     return I.image_table(src).filter(F.col("pos") < 2).select("page_id", "pos", "original_src")
 
 
+def stored_images(spark, sf):
+    """Bytes of the images that were landed, here of every other URL."""
+    images = I.image_table(image_pages(spark, sf))
+    blobs = images.select("url").distinct().filter(F.length("url") % 2 == 0).withColumn("bytes", F.md5("url").cast("binary"))
+    return I.stored_images(images, blobs).select("local_filename", F.col("bytes").cast("string").alias("bytes"))
+
+
 QUERIES = {
+    "stored_images": stored_images,
     "noscript_images": noscript_images,
     "page_images": lambda s, sf: I.image_table(image_pages(s, sf)),
     "image_base_url": image_base_url,
@@ -253,6 +261,7 @@ def node(name, x):
 
 NAMES = """CASE o_orderkey % 5 WHEN 0 THEN 'a/' || repeat('long name ', 8) || '.PnG' WHEN 1 THEN 'é_ü-1.jpeg?x=1' WHEN 2 THEN 'dir/' WHEN 3 THEN 'a.b.c!d' ELSE CAST(o_custkey AS VARCHAR) END"""
 ORACLES = {
+    "stored_images": f"SELECT DISTINCT local_filename, md5(url) AS bytes FROM ({image_rows()}) WHERE length(url) % 2 = 0",
     "noscript_images": "SELECT page_id, pos, CASE pos WHEN 0 THEN '/ns' || page_id || '.png' ELSE '/t.png' END AS original_src FROM pages CROSS JOIN (SELECT unnest([0, 1]) AS pos)",
     "page_images": image_rows(),
     "image_base_url": "SELECT o_orderkey, (['https://h.example.com/', 'https://h.example.com/d/', 'https://h.example.com/d/', 'https://h.example.com/p.htm?q=1', 'https://h.example.com/p.php', 'https://h.example.com/d?q=x.html/'])[o_orderkey % 6 + 1] AS base FROM orders",

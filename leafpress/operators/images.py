@@ -117,6 +117,23 @@ def image_mapping(images: DataFrame, outcome: DataFrame | None = None) -> DataFr
     return per_page.select("page_id", mapping_of(F.col("i")).alias("image_mappings"))
 
 
+def found_images(results: DataFrame) -> DataFrame:
+    """The image table of extraction results that carry ``images``."""
+    return results.select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.*")
+
+
+def with_image_mappings(results: DataFrame, outcome: DataFrame | None = None) -> DataFrame:
+    """Add ``image_mappings`` to extraction results that carry ``images``.
+
+    Without ``outcome`` every image counts as fetched, and the map is made in the
+    page's row.  Else only the narrow image table meets the outcomes, and each page
+    gets its map back.
+    """
+    if outcome is None:
+        return results.withColumn("image_mappings", mapping_of(F.col("images")))
+    return results.join(image_mapping(found_images(results), outcome), "page_id", "left")
+
+
 def localize_markdown(content: Column, mapping: Column) -> Column:
     """Point ``![alt](url "title")`` at the local file where the URL is mapped."""
 

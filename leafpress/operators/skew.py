@@ -9,36 +9,41 @@ from leafpress.session import cut_lineage, shuffle_width
 
 HEAVY_KEYS = 1000
 HEAVY_ROWS = 100_000
-SALTS = 64
+
+
+def _key_hash(on: list[str]) -> Column:
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in on]))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of a large left side with a right side that is unique per key.
 
-    The heaviest keys of the left side (at most 1000, so they can be broadcast
-    whatever the size of the input) are spread over 64 salts, and the right rows
-    of just these keys are repeated per salt.  Any other key holds less than a
-    thousandth of the rows.  Left-side NULL keys match nothing, as usual.  The
+    The heaviest keys of the left side (at most 1000, so their list is small
+    whatever the size of the input) get a salt for each 100,000 rows, and the right
+    rows of just these keys are repeated per salt, so a task's share of a key does
+    not grow with the key.  Any other key holds less than a thousandth of the rows,
+    and is left to the adaptive plan.  The list is joined by 128-bit hashes of the keys.  Left-side NULL keys match nothing, as usual.  The
     left side is read twice (once for its keys alone), so write it out first if
     it is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     heavy = (
-        left.select(*on).dropna().groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), *on).limit(HEAVY_KEYS)
-        .filter(F.col("_n") > HEAVY_ROWS).select(*on, F.lit(True).alias("_heavy"))
+        left.select(*on).dropna().select(_key_hash(on).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        .orderBy(F.desc("_n"), "_key").limit(HEAVY_KEYS)
+        .filter(F.col("_n") > HEAVY_ROWS).select("_key", F.ceil(F.col("_n") / HEAVY_ROWS).cast("int").alias("_salts"))
     )
     # maps cannot be hashed
     hashed = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
-    spread_key = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
-    salted_left = left.join(F.broadcast(heavy), on, "left").withColumn(
+    own = F.xxhash64(*hashed)
+    # rows without a key match nothing: they are dealt out by themselves
+    salted_left = left.withColumn("_key", _key_hash(on)).join(F.broadcast(heavy), "_key", "left").withColumn(
         "_salt",
-        F.when(F.col(on[0]).isNull(), -1 - spread_key).when(F.col("_heavy"), spread_key).otherwise(F.lit(0)),
+        F.when(F.col(on[0]).isNull(), -1 - F.pmod(own, F.lit(1 << 20))).otherwise(F.pmod(own, F.coalesce("_salts", F.lit(1)))).cast("int"),
     )
-    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
-    return salted_left.drop("_heavy").join(salted_right, [*on, "_salt"], how).drop("_salt")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.withColumn("_key", _key_hash(on)).join(F.broadcast(heavy), "_key", "left").withColumn("_salt", F.explode(copies))
+    return salted_left.drop("_salts", "_key").join(salted_right.drop("_salts", "_key"), [*on, "_salt"], how).drop("_salt")
 
 
 def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafpress.operators.extract import drop_failed, extract_pages
 from leafpress.operators.globs import expand_list
+from leafpress.operators.images import found_images, save_images, with_image_mappings
 from leafpress.operators.render import named_documents
 from leafpress.operators.skew import skew_join
 from leafpress.session import cut_lineage
@@ -15,7 +16,9 @@ from leafpress.sources.sinks import write_documents
 from leafpress.sources.url_lists import classify_lines
 
 
-def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, ignore_glob: bool = False, **options) -> DataFrame:
+def run_list(
+    lines: DataFrame, pages: DataFrame, workers: int | None = None, ignore_glob: bool = False, outcome: DataFrame | None = None, **options
+) -> DataFrame:
     """Results for every URL of the lists, in list order by (file, line_no, ordinal).
 
     The expanded list is written once, since it is used in three places.  A URL
@@ -23,7 +26,9 @@ def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, ign
     in a skew-safe way.  URLs without a stored page have status no_page; lines that
     are no URL, and patterns that cannot be counted, have status rejected and stand
     in ``url`` as they are.  Of pages stored twice, one is read (``one_per_url``).
-    With ``workers``, extraction runs in at most so many tasks.
+    With ``workers``, extraction runs in at most so many tasks.  With
+    ``extract_images``, results carry ``images`` and ``image_mappings`` of those that
+    ``outcome`` (from ``fetch_outcome``) has as fetched.
     """
     marked = classify_lines(lines).filter(F.col("status").isin("ok", "rejected"))
     listed = marked.select("file", "line_no", F.col("line").alias("url"), F.col("status").alias("_line"))
@@ -34,16 +39,25 @@ def run_list(lines: DataFrame, pages: DataFrame, workers: int | None = None, ign
     if workers:
         wanted = wanted.repartition(workers)
     results = extract_pages(wanted, **options)
+    if "images" in results.columns:
+        results = with_image_mappings(cut_lineage(results), outcome)
     status = F.when(F.col("_asked") == "rejected", F.col("_asked")).otherwise(F.coalesce("status", F.lit("no_page")))
     return skew_join(asked, results, ["url"], "left").withColumn("status", status).drop("_asked")
 
 
-def run_batch(lines: DataFrame, pages: DataFrame, out: str, output_format: str = "markdown", with_metadata: bool = True, **options) -> DataFrame:
+def run_batch(
+    lines: DataFrame, pages: DataFrame, out: str, output_format: str = "markdown", with_metadata: bool = True,
+    blobs: DataFrame | None = None, images_out: str | None = None, **options,
+) -> DataFrame:
     """Run a list and write one named document per page; returns the good results.
 
     The results are written once to the checkpoint folder, and both the documents
-    and what the caller does with them are made from that copy.
+    and what the caller does with them are made from that copy.  With
+    ``extract_images`` the documents point at local images, and with ``blobs`` and
+    ``images_out`` the images themselves are written as a table.
     """
     good = cut_lineage(drop_failed(run_list(lines, pages, output_format=output_format, with_metadata=with_metadata, **options)))
+    if blobs is not None and images_out and "images" in good.columns:
+        save_images(found_images(good), blobs, images_out)
     write_documents(named_documents(good, ["file", "line_no", "ordinal"], output_format, with_metadata), out)
     return good

@@ -197,3 +197,17 @@ def test_many_script_tags_are_read_in_one_pass(spark):
     start = time.time()
     assert df.select(X.has_math(F.col("html"))).first()[0] is False
     assert time.time() - start < 5
+
+
+def test_batch_with_images(spark, tmp_path):
+    html = "<p>Words before the picture.</p><p><img src='/a.png' alt='A'> and <img src='/b.png' alt='B'></p>"
+    pages = spark.createDataFrame([(1, "https://e.com/1", html)], "page_id long, url string, html string")
+    lines = spark.createDataFrame([("l", 1, "https://e.com/1"), ("l", 2, "no url")], "file string, line_no long, line string")
+    tries = spark.createDataFrame([("https://e.com/a.png", 1, 200), ("https://e.com/b.png", 3, 404)], "url string, attempt int, status int")
+    blobs = spark.createDataFrame([("https://e.com/a.png", bytearray(b"x"))], "url string, bytes binary")
+    good = run_batch(lines, pages, str(tmp_path / "out"), extract_images=True, outcome=I.fetch_outcome(tries), blobs=blobs, images_out=str(tmp_path / "img"))
+    name = one(spark, image_filename(F.lit("https://e.com/a.png")))
+    assert set(good.first().image_mappings.values()) == {f"img/{name}"}
+    document = spark.read.parquet(str(tmp_path / "out")).first().document
+    assert f"](img/{name})" in document and "b.png)" in document
+    assert [bytes(r.bytes) for r in spark.read.parquet(str(tmp_path / "img")).collect()] == [b"x"]
