@@ -243,7 +243,7 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
 
     ``base_score`` is the log10 probability under smoothed word counts, ``score``
     that under the lattice model.  ``path`` is a vocabulary file that the driver can
-    read.  A null text is an empty one, of one token, its end.  Null ids are not
+    read.  A null text is an empty one, of one token, its end.  Null ids are
     held out; repeated rows are scored and learned from as often as they stand.
     An empty table gives an empty result; where all documents are held out, words
     are spelled with probability 1/2 and texts end with 1/2.

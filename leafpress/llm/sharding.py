@@ -8,7 +8,8 @@ clockwise, arc by arc, to the next shard that has room.  So only the overflow
 leaves its home shard.
 
 Which row goes where follows from counts per cell, a table bounded by the ring
-and not by the data.  Rows themselves move once, to be numbered within their cell.
+and not by the data.  Rows move as ids and carried columns only: once to count equal
+ones, after which they are written, and once to be numbered within their cell.
 """
 
 from __future__ import annotations
