@@ -228,8 +228,13 @@ def _symbols(df: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _windows(df: DataFrame, plan: Plan) -> DataFrame:
-    """The windows (h1, h2, o, t, start) of rows (o, t, text, shared) whose own high-level symbol is shared."""
-    schema = df.select(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "o", "t", F.lit(0).alias("start")).schema
+    """The windows of rows (o, t, text, shared) whose own high-level symbol is shared: h1, h2, o, t, start, more.
+
+    Equal windows of one text, as a repeated line gives many, are one row with the
+    first start; the others are in ``more``, which is null where there are none.
+    """
+    longs = [F.lit(0).cast("long").alias(c) for c in ("h1", "h2")]
+    schema = df.select(*longs, "o", "t", F.lit(0).alias("start"), F.lit(None).cast("array<int>").alias("more")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches: tuple[dict[bytes, int], ...] = ({}, {})
@@ -245,8 +250,16 @@ def _windows(df: DataFrame, plan: Plan) -> DataFrame:
             known = np.isin(_mix(symbols.name) + symbols.text.astype(np.uint64), _mix(flat) + owner.astype(np.uint64))
             starts, text = symbols.windows(known)
             begins = symbols.begins
-            hashed = [_mix(Rolling(h, f)(starts, starts + plan.window)).view(np.int64) for h, f in zip(hashes, FACTORS)]
-            columns = [*map(pa.array, hashed), part.column("o").take(pa.array(text)), part.column("t").take(pa.array(text)), pa.array((starts - begins[text]).astype(np.int32))]
+            h1, h2 = (_mix(Rolling(h, f)(starts, starts + plan.window)).view(np.int64) for h, f in zip(hashes, FACTORS))
+            order = np.lexsort((starts, h2, h1, text))
+            h1, h2, text, starts = h1[order], h2[order], text[order], (starts - begins[text]).astype(np.int32)[order]
+            first = np.ones(len(starts), bool)
+            first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (text[1:] != text[:-1])
+            others = np.diff(np.append(np.flatnonzero(first), len(starts))) - 1
+            ends = np.concatenate([[0], np.cumsum(others)])
+            more = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(starts[~first]), mask=pa.array(others == 0))
+            at = pa.array(text[first])
+            columns = [pa.array(h1[first]), pa.array(h2[first]), part.column("o").take(at), part.column("t").take(at), pa.array(starts[first]), more]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -291,7 +304,8 @@ def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", window:
     scratch.drop("names")
     windows = scratch.write(_windows(asked, plan), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min("o").alias("low"), F.max("o").alias("high")).filter("low < high").select("h1", "h2", "low")
-    gone = windows.join(least, ["h1", "h2"]).filter("low < o").groupBy("o", "t").agg(F.collect_list("start").alias("starts"))
+    starts = F.concat(F.collect_list("start"), F.flatten(F.collect_list("more")))
+    gone = windows.join(least, ["h1", "h2"]).filter("low < o").groupBy("o", "t").agg(starts.alias("starts"))
     cut = asked.select("o", "t", "text").join(gone, ["o", "t"])
     spans_type = "array<struct<first:int,stop:int>>"
     schema = cut.select("o", "t", F.lit(0).cast("long").alias("gone"), F.lit("").alias("left"), F.lit(None).cast(spans_type).alias("spans")).schema
