@@ -72,7 +72,8 @@ def quotas(sources: DataFrame, block: int, shards: int) -> DataFrame:
     quotas end at two takes of each of its blocks.
     """
     total, n = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
-    seats = round(total / block)
+    # sums of doubles depend on their order in the last places: these must not decide a half
+    seats = int(round(total, 3) / block + 0.5)
 
     def held(x: Column) -> Column:
         share = F.col("target") * x / F.lit(max(2 * total, 1.0))

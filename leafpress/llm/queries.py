@@ -59,7 +59,7 @@ WITH docs AS (
   SELECT place, target / (2 * k + 1) AS quotient, k FROM targets, generate_series(0, CAST(ceil(target / 32) AS BIGINT) + 40) AS g(k)
 ), won AS (
   SELECT place, count(*) AS quota FROM (
-    SELECT place FROM seats ORDER BY quotient DESC, place, k LIMIT (SELECT CAST(round(sum(target) / 32) AS BIGINT) FROM targets)
+    SELECT place FROM seats ORDER BY quotient DESC, place, k LIMIT (SELECT CAST(round(round(sum(target), 3) / 32) AS BIGINT) FROM targets)
   ) GROUP BY place
 ), taken AS (
   SELECT t.*, least(coalesce(quota, 0), 2 * blocks) // greatest(blocks, 1) AS copies, least(coalesce(quota, 0), 2 * blocks) % greatest(blocks, 1) AS rest,
