@@ -15,10 +15,14 @@ shard are needed: seats are never listed, but for those about a threshold.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafpress.llm.common import SPACES, WORD, Scratch, n_words
+from leafpress.llm.common import Scratch, arrow_ready, n_words, slices
 from leafpress.operators.skew import ranked, running, sliced
 
 #: Weights by the place of a source in code-point order, repeating.
@@ -177,10 +181,26 @@ def mixed_documents(df: DataFrame, id_: str = "doc_id", text: str = "text", sour
     numbered = df.withColumn("_key", _key(id_, source, text))
     numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1)
     taken = numbered.join(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]), ["_key", "_copy"])
-    pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(f"({WORD}[{SPACES}]*)"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("_blocks", lambda b: F.slice("_pieces", b["first"] + 1, b["words"]))), "")
-    whole = F.array_repeat(F.col(f"`{text}`"), F.col("_copies"))
-    some = F.when(F.size("_blocks") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
-    taken = taken.withColumn("_pieces", F.when(F.size("_blocks") > 0, pieces)).withColumn("_texts", F.concat(whole, some))
-    taken = taken.withColumn("_text", F.explode("_texts"))
-    return taken.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    arrow_ready(df.sparkSession)
+    schema = df.schema
+    place = df.columns.index(text)
+    names = [f"c{i}" for i in range(len(schema))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = re.compile(r"[^ \t-\r]+[ \t-\r]*")
+        for part in slices(batches, names[place]):
+            at, texts = [], []
+            rows = zip(part.column(place).to_pylist(), part.column("copies").to_pylist(), part.column("blocks").to_pylist())
+            for i, (own, copies, blocks) in enumerate(rows):
+                stands = [own] * copies
+                if blocks:
+                    pieces = piece.findall(own)
+                    stands.append("".join(p for b in blocks for p in pieces[b["first"] : b["first"] + b["words"]]))
+                texts += stands
+                at += [i] * len(stands)
+            index = pa.array(at, pa.int64())
+            columns = [pa.array(texts, part.column(i).type) if i == place else part.column(i).take(index) for i in range(len(schema))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    sent = taken.select(*[F.col(f"`{c}`") for c in df.columns], "_copies", "_blocks").toDF(*names, "copies", "blocks")
+    return sent.mapInArrow(run, schema)
