@@ -6,8 +6,8 @@ level has a vantage point, and a node's children are the shells of equal Hamming
 distance to it.  By the triangle inequality fingerprints that agree on the field
 lie in the same shell on every level, so all other branches are pruned and a leaf
 is one shard.  Leaves are parted further by the distance of whole fingerprints to
-a last vantage point, in shells of ``SHELL``: a fingerprint whose distance is
-within ``bits`` of a shell's lower border is also sent to the shell below, as the
+a last vantage point, in shells of ``SHELL``, or of ``bits`` where that is more: a
+fingerprint whose distance is within ``bits`` of a shell's lower border is also sent to the shell below, as the
 links across that border are looked for there.
 
 Within a shard the exact pairs are found among fingerprints in the order of their
@@ -34,7 +34,7 @@ from leafpress.llm.grouped import Forest, in_blocks, over_groups
 #: Words in a shingle, seed of its hash.
 WORDS = 4
 SEED = 42
-#: Levels of a tree, and the width of the last shells.
+#: Levels of a tree, and the least width of the last shells.
 LEVELS = 10
 SHELL = 8
 #: Hashes whose bits are added at once.
@@ -97,8 +97,9 @@ def shards(prints: DataFrame, bits: int, seed: int = 7) -> DataFrame:
             path = path.bitwiseXOR(F.shiftleft(far(field, rng.getrandbits(64) & mask).cast("long"), 6 * level))
         trees.append(F.struct(F.lit(t).alias("tree"), path.alias("leaf")))
     distance = far(F.col("print"), rng.getrandbits(64))
-    own = F.floor(distance / SHELL).cast("int")
-    shells = F.when((distance % SHELL < bits) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    width = max(SHELL, bits)  # a link crosses one border at most
+    own = F.floor(distance / width).cast("int")
+    shells = F.when((distance % width < bits) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     spread = prints.select("print", F.explode(F.array(*trees)).alias("t"), shells.alias("shells"))
     return spread.select("t.tree", "t.leaf", F.explode("shells").alias("shell"), "print")
 

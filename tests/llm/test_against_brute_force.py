@@ -99,6 +99,29 @@ def test_forest_spans_what_is_near():
     assert len(links[0]) < len(x)
 
 
+@pytest.mark.parametrize("bits", [0, 4, 9, 16, 31])
+def test_near_prints_share_a_shard(spark, bits):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(bits)
+    prints = []
+    for _ in range(30):
+        p = rng.getrandbits(64)
+        for _ in range(5):
+            prints.append(p)
+            for b in rng.sample(range(64), bits):
+                p ^= 1 << b
+    x = np.unique(np.array(prints, np.uint64))
+    df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "print bigint")
+    at = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    meet = np.eye(len(x), dtype=bool)
+    for r in simhash.shards(df, bits).groupBy("tree", "leaf", "shell").agg(F.collect_set("print").alias("own")).collect():
+        own = [at[v] for v in r.own]
+        meet[np.ix_(own, own)] = True
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= bits
+    assert meet[near].all()
+
+
 def test_prints_and_components(spark):
     import xxhash
 
