@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafpress.llm import jaccard
 from leafpress.llm.common import Scratch, arrow_ready, slices
 from leafpress.llm.components import components
 from leafpress.llm.grouped import Forest, in_blocks, over_groups
@@ -162,16 +163,23 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", bits
     return scratch.result(result)
 
 
-def keep_one(df: DataFrame, id_: str = "doc_id", text: str = "text", bits: int = 4, words: int = WORDS) -> DataFrame:
+def keep_one(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", bits: int = 4, words: int = WORDS, similarity: float | None = None,
+) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id (a null id last), with all columns of ``df``.
 
-    Of rows with equal id and text one stays.
+    With ``similarity``, near duplicates are not those of near fingerprints but of
+    shingles with that Jaccard similarity or more (``jaccard``), and ``bits`` does
+    not count.  Of rows with equal id and text one stays.
     """
-    digest = F.xxhash64(F.col(f"`{text}`"), F.col(f"`{text}`").isNull())
-    found = near_duplicates(df, id_, text, bits, words, {"_digest": digest})
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_print")).agg(
-        F.min(F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), "_digest")).alias("best")
-    )
+    digest = jaccard.digest(text)
+    if similarity is None:
+        found = near_duplicates(df, id_, text, bits, words, {"_digest": digest}).withColumnRenamed(id_, "id")
+        groups = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_print")]
+    else:
+        found = jaccard.near_duplicates(df, id_, text, words, similarity).withColumnRenamed("digest", "_digest")
+        groups = ["root"]
+    best = found.groupBy(*groups).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), "_digest")).alias("best"))
     kept = best.select(F.col("best.id").alias("_id"), F.col("best._digest").alias("_kept")).checkpoint(eager=True)
     key = [F.col(f"`{id_}`").eqNullSafe(F.col("_id")), F.col("_digest") == F.col("_kept")]
     rows = df.withColumn("_digest", digest).join(kept, key, "left_semi")
