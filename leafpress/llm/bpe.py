@@ -11,6 +11,7 @@ Every token's byte offset is kept beside its id, and decoding checks it.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -256,21 +257,36 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, whatever the data
 
 
-def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, packed: bool = False) -> DataFrame:
+def _decoded(codec: Codec, ids: pa.ListArray, offsets: pa.ListArray) -> list[bytes]:
+    """The bytes of the text of each row of ids, whose offsets have to fit them."""
+    ids = ids.fill_null([]) if ids.null_count else ids
+    at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    first, edges = codec.offsets(flat, at)
+    if not np.array_equal(first, offsets.flatten().to_numpy(zero_copy_only=False)):
+        raise ValueError("the offsets do not fit the token ids")
+    data = codec.decode(flat)
+    return [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+
+
+def encode(
+    df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, packed: bool = False, digest: bool = False,
+) -> DataFrame:
     """Add ``token_ids`` and ``token_offsets`` (first byte of each token in the UTF-8 text), arrays of int.
 
     ``path`` is a rank file that the driver can read; ``keep`` names the columns
     to hand on (all but the text, if not given).  With ``packed``, the ids also
-    come as ``packed_ids``, binary of little-endian unsigned 32-bit integers.  A
-    null or empty text has no tokens.  Columns with the names of the new ones are
+    come as ``packed_ids``, binary of little-endian unsigned 32-bit integers.  With
+    ``digest``, the ids and offsets of each row are decoded in the same worker, and
+    ``decoded_sha256`` is the SHA-256 of the bytes that they give.  A null or empty text has no tokens.  Columns with the names of the new ones are
     replaced.
     """
     arrow_ready(df.sparkSession)
-    new = ["token_ids", "token_offsets", *["packed_ids"] * packed]
+    new = ["token_ids", "token_offsets", *["packed_ids"] * packed, *["decoded_sha256"] * digest]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new and (keep is not None or c != text)]
     file = _vocabulary(df, path)
     ints = T.ArrayType(T.IntegerType(), False)
-    kinds = [ints, ints, T.BinaryType()]
+    kinds = [ints, ints, *[T.BinaryType()] * packed, *[T.StringType()] * digest]
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(c, k) for c, k in zip(new, kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +298,8 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             if packed:
                 data = ids.astype("<u4").tobytes()
                 lists.append(pa.array([data[4 * a : 4 * b] for a, b in zip(at, at[1:])], pa.binary()))
+            if digest:
+                lists.append(pa.array([hashlib.sha256(d).hexdigest() for d in _decoded(codec, lists[0], lists[1])], pa.string()))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *lists], names=[*kept, *new])
 
     from pyspark.sql import functions as F
@@ -303,14 +321,7 @@ def decode(df: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(file.value)
         for batch in batches:
-            lists = batch.column("_ids").fill_null([]) if batch.column("_ids").null_count else batch.column("_ids")
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            offsets, edges = codec.offsets(ids, at)
-            if not np.array_equal(offsets, batch.column("_offsets").flatten().to_numpy(zero_copy_only=False)):
-                raise ValueError("the offsets do not fit the token ids")
-            data = codec.decode(ids)
-            made = [data[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+            made = _decoded(codec, batch.column("_ids"), batch.column("_offsets"))
             columns = [*(batch.column(i) for i in range(len(kept))), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "decoded"])
 

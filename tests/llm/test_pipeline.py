@@ -1,8 +1,15 @@
 """Stages of the corpus pipeline beside plain versions of themselves."""
 
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
+
+import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +68,83 @@ def test_a_group_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(base)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()} == one_of_each(rows)
+
+
+PIECE = re.compile(r"[^ \t-\r]+[ \t-\r]*")
+
+
+def without_passages(texts, window=50):
+    words = {i: PIECE.findall(t) for i, t in texts.items()}
+    plain = {i: [p.strip(" \t\n\x0b\x0c\r") for p in own] for i, own in words.items()}
+    first, out = {}, {}
+    for i in sorted(words):
+        for s in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(plain[i][s : s + window]), i)
+    for i, own in words.items():
+        gone = {s + k for s in range(len(own) - window + 1) if first[tuple(plain[i][s : s + window])] < i for k in range(window)}
+        if not gone:
+            out[i] = texts[i]
+        elif len(gone) < len(own):
+            out[i] = "".join(p for k, p in enumerate(own) if k not in gone)
+    return out
+
+
+def mixed(texts, source, block=32):
+    """Ids and texts of the mix, by the statement of ``op2_source_mix``."""
+    seeded = lambda x: int(hashlib.md5(f"7|{x}".encode()).hexdigest()[:15], 16)
+    words = {i: PIECE.findall(t) for i, t in texts.items()}
+    size = Counter()
+    for i, own in words.items():
+        size[source[i]] += len(own)
+    names = sorted(size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    full, left = 0, sum(weight.values())
+    for s in sorted(names, key=lambda s: 2 * size[s] / weight[s]):
+        level = (1.5 * sum(size.values()) - full) / left
+        if 2 * size[s] > weight[s] * level:
+            break
+        full, left = full + 2 * size[s], left - weight[s]
+    target = {s: min(2.0 * size[s], weight[s] * level) for s in names}
+    blocks = {s: math.ceil(size[s] / block) for s in names}
+    seats = sorted((-target[s] / (2 * k + 1), p, k) for p, s in enumerate(names) for k in range(math.ceil(target[s] / block) + 40))
+    quota = Counter(p for _, p, _ in seats[: round(round(sum(target.values()), 3) / block)])
+    out = []
+    for p, s in enumerate(names):
+        n = blocks[s]
+        taken = min(quota[p], 2 * n)
+        copies, rest, offset, begins = taken // n, taken % n, seeded(p + 1) % n, 0
+        for i in sorted((i for i in texts if source[i] == s), key=lambda i: (seeded(i), i)):
+            own = words[i]
+            out += [(i, texts[i])] * copies if own else []
+            more = [w for k, w in enumerate(own, begins) if ((b := k // block) + 1 + offset) * rest // n > (b + offset) * rest // n]
+            out += [(i, "".join(more))] if more else []
+            begins += len(own)
+    return out
+
+
+def test_run_as_the_plain_stages(spark):
+    import tiktoken
+
+    from leafpress.llm.bpe import read_ranks
+
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    passed = {r.doc_id for r in entry.queries()["op4_quality"](spark, SF).collect() if r.predicted == 1}
+    kept = one_of_each([(i, rows[i].text) for i in passed])
+    cut = without_passages({i: rows[i].text for i in kept})
+    stand = mixed(cut, {i: rows[i].source for i in cut})
+    assert len(rows) > len(passed) > len(kept) and sum(map(len, cut.values())) < sum(len(rows[i].text) for i in kept)
+    with open(public_tokenizers.path(corpus_pipeline.RANKS), "rb") as f:
+        codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(f.read()), special_tokens={})
+    want = Counter()
+    for i, text in stand:
+        ids, offsets, at = codec.encode_ordinary(text), [], 0
+        for t in ids:
+            offsets.append(at)
+            at += len(codec.decode_single_token_bytes(t))
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        want[i, rows[i].source, len(text), tuple(ids), tuple(offsets), len(ids), sha, sha] += 1
+    got = Counter(
+        (r.doc_id, r.source, r.n_chars, tuple(r.token_ids), tuple(r.token_offsets), r.n_tokens, r.text_sha256, r.decoded_sha256)
+        for r in corpus_pipeline.run(spark, SF).collect()
+    )
+    assert got == want
