@@ -26,7 +26,7 @@ def one_per_url(pages: DataFrame, url: str = "url", latest: str = "page_id") ->
     """
     repeated = pages.groupBy(url).agg(F.max(latest).alias("_latest"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     single = pages.join(repeated.select(url), url, "left_anti")
-    chosen = pages.join(repeated, url).filter(F.col(latest) == F.col("_latest")).drop("_latest").dropDuplicates([url])
+    chosen = pages.join(repeated, url).filter(F.col(latest).eqNullSafe(F.col("_latest"))).drop("_latest").dropDuplicates([url])
     return single.unionByName(chosen)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from leafpress.sources import html_files, url_lists as L
+from leafpress.sources import html_files, pages as P, url_lists as L
 
 
 def test_line_ends_and_numbers(spark, tmp_path):
@@ -43,3 +43,11 @@ def test_html_files(spark, tmp_path):
     assert (row.content, row.metadata.title, row.status) == ("Text é 1", "T1", "ok")
     with pytest.raises(AnalysisException):
         html_files.read_html_files(spark, str(tmp_path / "missing.html"))
+
+
+def test_fetches_without_page_ids(spark):
+    stored = [("a", None, "<p>x</p>"), ("a", None, "<p>x</p>"), ("b", None, "<p>y</p>"), ("c", None, "<p>z</p>"), ("c", 3, "<p>w</p>")]
+    pages = spark.createDataFrame(stored, "url string, page_id long, html string")
+    seeds = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string")
+    got = {(r.url, r.html, r.status) for r in P.resolve_pages(seeds, pages).collect()}
+    assert got == {("a", "<p>x</p>", "ok"), ("b", "<p>y</p>", "ok"), ("c", "<p>w</p>", "ok"), ("d", None, "no_page")}
