@@ -86,6 +86,37 @@ def test_language_vote(spark):
     assert df.filter(~voted_language(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
 
 
+OTHER_LANGUAGES = {
+    "it": "Il comune ha detto che la strada non sarà aperta fino al mese di maggio, e i lavori sono fermi per una frana.",
+    "pt": "A câmara disse que a estrada não abre até maio e que os trabalhos na ponte foram parados por causa de uma cheia.",
+    "nl": "De gemeente heeft gezegd dat de weg niet voor mei open gaat en dat het werk aan de brug nog van een bedrijf is.",
+    "ru": "Город сообщил, что дорога не откроется до мая и что работы на мосту остановлены из-за паводка, но это не всё.",
+    "uk": "Місто повідомило, що дорога не відкриється до травня і що роботи на мосту зупинено, але це не все.",
+    "pl": "Miasto podało, że droga nie będzie otwarta do maja i że prace na moście są wstrzymane, ale to nie wszystko.",
+    "sv": "Kommunen sade att vägen inte öppnar för bilar och att arbetet på bron är stoppat, men det är en av många.",
+    "fi": "Kaupunki sanoi, että tie ei ole auki ennen kesää ja että työ on kesken, mutta se jatkuu kun vesi laskee.",
+    "tr": "Belediye, yolun mayıs ayına kadar açılmayacağını ve köprü için çok daha büyük bir bütçe olduğunu söyledi, ama bu son değil.",
+    "ar": "قال رئيس البلدية إن الطريق لن يفتح قبل مايو على أن العمل في الجسر توقف بعد الفيضان من دون خطة",
+    "hi": "नगर ने कहा है कि सड़क मई तक नहीं खुलेगी और पुल पर काम बाढ़ के बाद रुका है",
+    "el": "Ο δήμος είπε ότι ο δρόμος δεν θα ανοίξει.",
+    "ja": "市は道路が五月まで開通しないと発表した。",
+    "zh": "市政府表示道路五月之前不会开放。",
+    "ko": "시는 도로가 오월까지 열리지 않는다고 밝혔다.",
+    "th": "เทศบาลแจ้งว่าถนนจะไม่เปิดจนถึงเดือนพฤษภาคม",
+}
+
+
+def test_undeclared_pages_of_other_languages(spark):
+    rows = [(lang, f"<html><body><article><p>{text}</p></article></body></html>") for lang, text in OTHER_LANGUAGES.items()]
+    df = spark.createDataFrame([(i, want, html) for i, (want, html) in enumerate(rows)], "page_id long, url string, html string")
+    for lang in ("it", "pt", "nl", "ru", "ja", "es", "fr"):
+        kept = {r.url for r in X.extract_pages(df, target_lang=lang).filter("status = 'ok'").select("url").collect()}
+        assert kept == {lang} & OTHER_LANGUAGES.keys()
+    texts = [*((t, lang) for lang, t in OTHER_LANGUAGES.items()), ("Eroski Bilbao que Donostia Gasteiz Iruña Baiona", None), ("le zzz yyy xxx", None), ("", None), ("12 — 34", None), (None, None)]
+    wrong = spark.createDataFrame(texts, "t string, want string").select("want", voted_language(F.col("t")).alias("got")).filter("not (want <=> got)")
+    assert wrong.collect() == []
+
+
 def test_no_shuffle_in_extraction(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
     plan = X.drop_failed(X.extract_pages(df))._jdf.queryExecution().executedPlan().toString()
