@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafpress.llm import bpe, caps, lattice, mixing, quality, sharding, simhash, substrings, token_counts, topk
+from leafpress.llm import audit, bpe, caps, lattice, manifest, mixing, quality, sharding, simhash, substrings, suffixes, token_counts, topk
 from leafpress.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +183,140 @@ FROM scored QUALIFY rank <= 5
 """
 
 
+@query
+def op11_prefix_doubling(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.find_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLES["op11_prefix_doubling"] = """
+WITH texts AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents
+), pieces AS (
+  SELECT doc_id, b * 256 AS base, substr(x, b * 512 + 1, 910) AS piece FROM texts, generate_series(0, CAST(len(x) // 512 AS BIGINT)) AS g(b)
+), windows AS (
+  SELECT doc_id, base + j AS s, md5(substr(piece, CAST(2 * j + 1 AS BIGINT), 400)) AS h
+  FROM pieces, generate_series(0, least(255, len(piece) // 2 - 200)) AS g(j) WHERE len(piece) >= 400
+), gone AS (
+  SELECT doc_id, s FROM windows JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)
+), marked AS (
+  SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM gone
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM marked) GROUP BY doc_id, n
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begins FROM spans
+), cut AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS n, string_agg(substr(x, 2 * begins + 1, 2 * (a - begins)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), told AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS f
+  FROM docs LEFT JOIN told USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), sets AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM fails GROUP BY part, f
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS BIGINT), 1) AS own, left(filter_order, CAST(step - 1 AS BIGINT)) AS seen
+  FROM orders, generate_series(1, 5) AS g(step)
+), told_steps AS (
+  SELECT part, filter_order, step, own, n, good, bad, f, contains(f, own) AS fails_own,
+    f <> '' AND len(list_filter(string_split(f, ''), lambda y: contains(seen, y))) > 0 AS gone
+  FROM sets, steps
+), counted AS (
+  SELECT part, filter_order, step, any_value(own) AS own, coalesce(sum(n) FILTER (NOT gone AND NOT fails_own), 0) AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails_own), 0) AS removed, coalesce(sum(n) FILTER (gone AND fails_own), 0) AS redundant,
+    coalesce(sum(n) FILTER (f = own), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fails_own), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (NOT gone AND fails_own), 0) AS toxic_lost
+  FROM told_steps GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+@query
+def op13_octopus_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree over ``documents``; where 7 divides the checksum of the id, the leaf that is folded counts a character too many."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.manifest(table(spark, sf, "documents"), changed=tampered, change=("n_chars", F.col("n_chars") + 1))
+
+
+ORACLES["op13_octopus_manifest"] = """
+WITH RECURSIVE written AS (
+  SELECT doc_id, lang, n_chars, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents
+), bits AS (
+  SELECT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UINTEGER) AS codes FROM documents WHERE doc_id IS NOT NULL
+), sums AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UINTEGER, codes), lambda crc, c: list_reduce(list_prepend(xor(crc, c), [1::UINTEGER, 2, 3, 4, 5, 6, 7, 8]),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UINTEGER) ELSE x >> 1 END)), 4294967295::UINTEGER) % 7 = 0 AS hit FROM bits
+), leaves AS (
+  SELECT w.doc_id, coalesce('1' || lang, '0') AS k, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN hit THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS other
+  FROM written w LEFT JOIN sums ON w.doc_id = sums.doc_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaves
+), grown AS (
+  SELECT k, 0 AS level, list(leaf ORDER BY i) AS nodes FROM placed GROUP BY k
+  UNION ALL
+  SELECT k, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda j: sha256(nodes[j] || coalesce(nodes[j + 1], ''))) FROM grown WHERE len(nodes) > 1
+), subroots AS (
+  SELECT k, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(k)) - 1 AS i FROM grown WHERE len(nodes) = 1
+), tops AS (
+  SELECT '' AS k, 0 AS level, list(subroot ORDER BY i) AS nodes FROM subroots
+  UNION ALL
+  SELECT k, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda j: sha256(nodes[j] || coalesce(nodes[j + 1], ''))) FROM tops WHERE len(nodes) > 1
+), lists AS (
+  SELECT k, list(nodes ORDER BY level) AS levels FROM grown GROUP BY k
+), climb AS (
+  SELECT p.k, p.i, p.i AS spot, 0 AS level, '' AS proof, coalesce(other, leaf) AS folded FROM placed p
+  UNION ALL
+  SELECT c.k, c.i, spot // 2, level + 1, proof || coalesce(levels[level + 1][xor(spot, 1) + 1], ''),
+    sha256(CASE WHEN spot % 2 = 1 THEN levels[level + 1][spot] || folded ELSE folded || coalesce(levels[level + 1][spot + 2], '') END)
+  FROM climb c JOIN lists USING (k) WHERE len(levels[level + 1]) > 1
+), own AS (
+  SELECT k, i, proof, folded FROM climb QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY level DESC) = 1
+), top_lists AS (
+  SELECT list(nodes ORDER BY level) AS levels FROM tops
+), over AS (
+  SELECT own.k, own.i, s.i AS spot, 0 AS level, proof, folded FROM own JOIN subroots s USING (k)
+  UNION ALL
+  SELECT k, i, spot // 2, level + 1, proof || coalesce(levels[level + 1][xor(spot, 1) + 1], ''),
+    sha256(CASE WHEN spot % 2 = 1 THEN levels[level + 1][spot] || folded ELSE folded || coalesce(levels[level + 1][spot + 2], '') END)
+  FROM over, top_lists WHERE len(levels[level + 1]) > 1
+), done AS (
+  SELECT k, i, proof, folded FROM over QUALIFY row_number() OVER (PARTITION BY k, i ORDER BY level DESC) = 1
+)
+SELECT doc_id, leaf, subroot, levels[len(levels)][1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = levels[len(levels)][1] AS verified
+FROM placed JOIN done USING (k, i) JOIN subroots USING (k), top_lists
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
