@@ -22,7 +22,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", ["op2_source_mix", "op3_spherical_caps", "op9_recompression", "op10_segment_search"])
+@pytest.mark.parametrize("name", ["op2_source_mix", "op3_spherical_caps", "op9_recompression", "op10_segment_search", "op11_prefix_doubling", "op12_filter_audit", "op13_octopus_manifest"])
 def test_sql(spark, con, name):
     ok, note = compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, note
@@ -232,17 +232,54 @@ def test_isotonic_rises():
     assert (np.diff(p) >= 0).all() and (np.diff(at) > 0).all()
 
 
-def test_caps_find_what_is_near():
-    rng = np.random.default_rng(4)
-    x = rng.standard_normal((400, 48))
+def near_pairs(dimension, n, cosine, seed=4):
+    rng = np.random.default_rng([seed, dimension])
+    x = rng.standard_normal((n, dimension))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z
-    code = caps.ProductCode(48, 7)
-    shared = [len(set(a) & set(b)) for a, b in zip(code.decode(x), code.decode(y))]
-    assert np.mean(np.array(shared) > 0) > 0.99
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("dimension", [12, 16, 33, 64, 256, 1024])
+@pytest.mark.parametrize("words", [128, 256])
+def test_recall_of_caps(dimension, words):
+    """Pairs at the least similarity and above share a cap: of 1,000 pairs one may be missed at most."""
+    code = caps.ProductCode.of(dimension, 7, words)
+    for cosine in (0.98, 0.99, 0.999):
+        x, y = near_pairs(dimension, 1000 if dimension < 1000 else 300, cosine)
+        missed = sum(not set(p[p >= 0]) & set(q[q >= 0]) for p, q in zip(code.decode(x), code.decode(y)))
+        assert missed <= 1
+
+
+@pytest.mark.parametrize("dimension", [1, 2, 3, 4, 5, 8, 11, 48])
+def test_cells_lose_nothing(dimension):
+    for least, cosine in ((0.98, 0.98), (0.98, 0.999), (0.8, 0.8), (1.0, 1.0)):
+        x, y = near_pairs(dimension, 1000, cosine) if dimension > 1 else (np.ones((5, 1)), np.ones((5, 1)))
+        for p, q in ((x, y), (y, x)):
+            own, reached = caps.cells(p, least, 7)[0], caps.cells(q, least, 7)[1]
+            assert all(i in row for i, row in zip(own, reached))
+
+
+@pytest.mark.parametrize("dimension, exact", [(2, False), (3, False), (4, False), (7, False), (16, False), (16, True)])
+def test_near_vectors_in_any_dimension(spark, dimension, exact):
+    x, y = near_pairs(dimension, 150, 0.985)
+    rows = np.concatenate([x, y]) * np.random.default_rng(1).uniform(0.1, 9, (300, 1))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, r.tolist(), i % 150 % 2) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+    label = np.arange(300) % 150 % 2
+    near &= label[:, None] == label[None, :]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in caps.near_vectors(df, exact=exact).collect()}
+    top = np.arange(300)
+    while True:
+        new = np.minimum(top, np.where(near, top[None, :], 300).min(1))
+        if (new == top).all():
+            break
+        top = new
+    assert got == {i: (int(near[i].sum()), int(top[i])) for i in range(300)}
 
 
 def test_search_prunes_nothing_that_counts():
