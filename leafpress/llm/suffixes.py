@@ -20,7 +20,7 @@ offset, and an anchor's strings start in one short range.
 
 Sorts are by ranges of all columns, so a group with a large share of the rows lies
 in many tasks.  What a task cannot decide, as the group goes on in the next one,
-it leaves to the following step.
+it leaves to the following step, at last to a count of single strings.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from leafpress.llm.common import Scratch, arrow_ready, slices
 from leafpress.operators.skew import ranked
-from leafpress.session import shuffle_width
 
 #: Bytes of one long text that are hashed at once, and sorted rows looked at together.
 PIECE = 2 << 20
@@ -149,13 +148,16 @@ def _place(at: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(at, 2 * RANGE_BITS), F.shiftright(at, RANGE_BITS).bitwiseAND(mask), at.bitwiseAND(mask)
 
 
-def in_runs(rows: DataFrame, by: list[str], f: Callable[[dict[str, np.ndarray], bool, bool], pa.RecordBatch | None], schema: str, binary: tuple[str, ...] = ()) -> DataFrame:
+def in_runs(rows: DataFrame, by: list[str], f: Callable[[dict[str, np.ndarray], bool, bool], pa.RecordBatch | None], schema: str, binary: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """Sort ``rows``, a written table, by the columns ``by`` over the cluster and apply ``f`` to chunks of the sorted rows.
 
     Chunks end where the first column changes if they can.  ``f`` is told whether the first and the
     last group may go on beyond the chunk: at the ends of a task, and in groups of more than a chunk.
+    With ``whole``, for groups of less than a chunk, rows are dealt by the first column and none does.
     """
     columns = rows.columns
+    # as many slices as the table has splits, which grow with it
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
 
     def arrays(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
         table = pa.Table.from_batches(batches)
@@ -163,7 +165,7 @@ def in_runs(rows: DataFrame, by: list[str], f: Callable[[dict[str, np.ndarray],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, open_before = 0, True
+        size, open_before = 0, not whole
 
         def done(parts: list[pa.RecordBatch], open_after: bool):
             return f(arrays(parts), open_before, open_after)
@@ -186,11 +188,12 @@ def in_runs(rows: DataFrame, by: list[str], f: Callable[[dict[str, np.ndarray],
             if out is not None:
                 yield out
         if held:
-            out = done(held, True)
+            out = done(held, not whole)
             if out is not None:
                 yield out
 
-    return rows.repartitionByRange(shuffle_width(rows.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    dealt = rows.repartition(by[0]) if whole else rows.repartitionByRange(n, *by)
+    return dealt.sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
 def _marked(anchors: DataFrame) -> DataFrame:
@@ -347,9 +350,14 @@ def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
     names = ["a", "start", "decided", "rank", "g", "w", "before", "after"]
     schema = "a long, start long, decided boolean, rank long, g long, w long, before binary, after binary"
     seen = scratch.write(in_runs(cells, ["rank", "before", "after", "a"], decide, schema, ("before", "after")), "seen")
-    # groups that lie in more than one chunk: a row for each string
+    # groups that lie in more than one task meet in one, if they are smaller than a chunk
+    left = seen.filter(~F.col("decided")).drop("start", "decided")
+    sizes = scratch.write(left.groupBy("rank").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    left = scratch.write(left.join(sizes, "rank"), "left")
+    met = in_runs(left.filter(F.col("n") < CHUNK).drop("n"), ["rank", "before", "after", "a"], decide, schema, ("before", "after"), whole=True)
+    # of larger ones, each string is a row
     j = F.explode(F.sequence(F.lit(1), F.lit(quarter - 1))).alias("j")
-    opened = seen.filter(~F.col("decided")).select("a", "rank", "g", "w", "before", "after", j)
+    opened = left.filter(F.col("n") >= CHUNK).select("a", "rank", "g", "w", "before", "after", j)
     opened = opened.filter((F.lit(quarter) - F.col("j") <= F.octet_length("before")) & (F.col("j") <= F.octet_length("after")))
     missing = F.lit(quarter) - F.octet_length("before")
     ends = F.concat(F.substring("before", (F.col("j") - missing + 1).cast("int"), F.lit(quarter)), F.substring("after", F.lit(1), F.col("j")))
@@ -357,7 +365,7 @@ def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
     keys = ["rank", "j", "ends"]
     repeated = scratch.write(opened.groupBy(*keys).agg(F.sum("w").alias("n")).filter("n > 1").select(*keys), "opened_names")
     more = opened.join(repeated, keys).select("a", (F.col("g") * quarter - quarter + F.col("j")).cast("long").alias("start"))
-    return seen.filter("decided").select("a", "start").union(more)
+    return seen.filter("decided").select("a", "start").union(met.select("a", "start")).union(more)
 
 
 def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
