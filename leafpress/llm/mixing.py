@@ -178,13 +178,15 @@ def mixed_documents(df: DataFrame, id_: str = "doc_id", text: str = "text", sour
     scratch = Scratch(df.sparkSession, "mix")
     plan = mix_plan(df, id_, text, source, scratch=scratch, **options).filter("taken > 0")
     plan = scratch.result(plan.select("key", "copy", "copies", "blocks"))
-    numbered = df.withColumn("_key", _key(id_, source, text))
-    numbered = numbered.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")) - 1)
-    taken = numbered.join(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]), ["_key", "_copy"])
+    # columns go by number, so none of the caller's can clash with ours
+    names = [f"c{i}" for i in range(len(df.columns))]
+    own = {c: names[df.columns.index(c)] for c in (id_, source, text)}
+    numbered = df.toDF(*names).withColumn("key", _key(own[id_], own[source], own[text]))
+    numbered = numbered.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1)
+    taken = numbered.join(plan, ["key", "copy"])
     arrow_ready(df.sparkSession)
     schema = df.schema
     place = df.columns.index(text)
-    names = [f"c{i}" for i in range(len(schema))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = re.compile(r"[^ \t-\r]+[ \t-\r]*")
@@ -202,5 +204,4 @@ def mixed_documents(df: DataFrame, id_: str = "doc_id", text: str = "text", sour
             columns = [pa.array(texts, part.column(i).type) if i == place else part.column(i).take(index) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    sent = taken.select(*[F.col(f"`{c}`") for c in df.columns], "_copies", "_blocks").toDF(*names, "copies", "blocks")
-    return sent.mapInArrow(run, schema)
+    return taken.select(*names, "copies", "blocks").mapInArrow(run, schema)

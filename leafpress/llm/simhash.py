@@ -172,16 +172,18 @@ def keep_one(
     shingles with that Jaccard similarity or more (``jaccard``), and ``bits`` does
     not count.  Of rows with equal id and text one stays.
     """
-    digest = jaccard.digest(text)
     if similarity is None:
-        found = near_duplicates(df, id_, text, bits, words, {"_digest": digest}).withColumnRenamed(id_, "id")
+        found = near_duplicates(df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", bits, words, {"_digest": jaccard.digest("text")})
         groups = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_print")]
     else:
         found = jaccard.near_duplicates(df, id_, text, words, similarity).withColumnRenamed("digest", "_digest")
         groups = ["root"]
     best = found.groupBy(*groups).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), "_digest")).alias("best"))
-    kept = best.select(F.col("best.id").alias("_id"), F.col("best._digest").alias("_kept")).checkpoint(eager=True)
-    key = [F.col(f"`{id_}`").eqNullSafe(F.col("_id")), F.col("_digest") == F.col("_kept")]
-    rows = df.withColumn("_digest", digest).join(kept, key, "left_semi")
-    first = F.row_number().over(Window.partitionBy(f"`{id_}`", "_digest").orderBy("_digest"))
-    return rows.withColumn("_nth", first).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = best.select(F.col("best.id").alias("kept_id"), F.col("best._digest").alias("kept_digest")).checkpoint(eager=True)
+    # columns go by number, so none of the caller's can clash with ours
+    own = [f"c{i}" for i in range(len(df.columns))]
+    at = own[df.columns.index(id_)]
+    rows = df.toDF(*own).withColumn("digest", jaccard.digest(own[df.columns.index(text)]))
+    rows = rows.join(kept, F.col(at).eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(at, "digest").orderBy("digest"))
+    return rows.withColumn("nth", first).filter("nth = 1").select(*own).toDF(*df.columns)

@@ -344,19 +344,21 @@ def without_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", wind
     as they are, empty ones too.
     """
     found = find_repeats(df, id_, text, window).filter("n_removed > 0").select(
-        F.col(id_).alias("_id"), F.col("t").alias("_t"), "spans", (F.col("n_removed") == F.col("n_words")).alias("_none")
-    ).dropDuplicates(["_id", "_t"])
-    cut = df.withColumn("_t0", F.xxhash64(F.col(f"`{text}`")))
-    on = [F.col(f"`{id_}`").eqNullSafe(F.col("_id")), F.col("_t0") == F.col("_t")]
-    cut = cut.join(found, on, "left").filter(~F.coalesce("_none", F.lit(False)))
+        F.col(id_).alias("found_id"), "t", "spans", (F.col("n_removed") == F.col("n_words")).alias("none")
+    ).dropDuplicates(["found_id", "t"])
+    # columns go by number, so none of the caller's can clash with ours
+    own = [f"c{i}" for i in range(len(df.columns))]
     schema = df.schema
     at = df.columns.index(text)
+    cut = df.toDF(*own).withColumn("hash", F.xxhash64(own[at]))
+    on = [F.col(own[df.columns.index(id_)]).eqNullSafe(F.col("found_id")), F.col("hash") == F.col("t")]
+    cut = cut.join(found, on, "left").filter(~F.coalesce("none", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         piece = re.compile(r"[^ \t-\r]+[ \t-\r]*")
-        for part in batches:
+        for part in slices(batches, own[at]):
             texts = part.column(at).to_pylist()
             for i, spans in enumerate(part.column(len(schema)).to_pylist()):
                 if spans:
@@ -366,5 +368,4 @@ def without_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", wind
             columns = [pa.array(texts, part.column(at).type) if i == at else part.column(i) for i in range(len(schema))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    named = cut.select(*[F.col(f"`{c}`") for c in df.columns], F.col("spans").alias("_spans"))
-    return named.toDF(*[f"c{i}" for i in range(len(schema))], "spans").mapInArrow(run, schema)
+    return cut.select(*own, "spans").mapInArrow(run, schema)

@@ -161,3 +161,55 @@ def test_top_k(spark):
     big = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 0.0])], "vec_id bigint, embedding array<double>")
     assert [r.score for r in topk.top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+CLASHES = (
+    "_digest", "_nth", "_id", "_kept", "_t", "_t0", "_none", "spans", "_spans", "_key", "_copy", "_copies", "_blocks", "_c0", "key", "copy",
+    "digest", "nth", "hash", "found_id", "none", "kept_id", "stats", "score", "c0", "c1", "component_id", "fingerprint", "blocks", "root",
+)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with a column of every name that the operators use inside."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(24):
+        t = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 50)) for _ in range(rng.choice([5, 80])))
+        rows.append((i, t if i % 4 else rows[-1][1] if rows else t, "en", f"s{i % 2}", len(t), *[f"{n}{i}" for n in CLASHES]))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in CLASHES)
+    return spark.createDataFrame(rows, schema).repartition(2).cache()
+
+
+STAGES = {
+    "prints": lambda d, labels: simhash.keep_one(d),
+    "similarity": lambda d, labels: simhash.keep_one(d, words=5, similarity=0.8),
+    "repeats": lambda d, labels: substrings.without_repeats(d),
+    "mix": lambda d, labels: mixing.mixed_documents(d),
+    "quality": lambda d, labels: quality.without_rejects(d, labels),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_no_column_clashes(clashing, labels, name):
+    left = STAGES[name](clashing, labels)
+    assert left.columns == clashing.columns
+    rows = left.collect()
+    assert rows or name == "quality"
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in CLASHES)
+
+
+def test_empty_tables_through_the_similarity_mode(none):
+    assert simhash.keep_one(none, words=5, similarity=0.8).count() == 0
+
+
+def test_pipeline_over_clashing_and_empty_documents(spark, clashing, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("clash", clashing), ("empty", clashing.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / name / "labels.parquet"))
+        done = corpus_pipeline.run(spark, str(tmp_path / name))
+        rows = done.collect()
+        assert all(r["text_sha256"] == r["decoded_sha256"] for r in rows)
+        assert not rows or name == "clash"
