@@ -277,7 +277,7 @@ def _pairs(ranks: DataFrame, offset: int) -> DataFrame:
 
 
 def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
-    """Repeated strings that start between grid positions: ``a`` and ``start``, an offset from the anchor.
+    """Repeated strings that start between grid positions: ``a`` and from ``first`` to ``last`` their starts, offsets from the anchor.
 
     ``cells`` has a core's ``rank``, the grid position ``g`` of the core, and the bytes before and after it
     that strings of the anchor can hold.
@@ -334,11 +334,14 @@ def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
         spread = np.zeros(alike[-1] + 1, np.int64)
         spread[alike[first]] = first
         found[own] = found[spread[alike[own]]]
-        at, j = np.nonzero(found)
+        # runs of starts that are all repeated, one row each
+        edges = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (at, begins), (_, ends) = np.nonzero(edges > 0), np.nonzero(edges < 0)
         rest = np.flatnonzero(left[group])
-        start = g[at] * quarter - quarter + j
+        none = np.zeros(len(rest), np.int64)
+        offset = g[at] * quarter - quarter
         columns = [
-            pa.array(np.concatenate([a[at], a[rest]])), pa.array(np.concatenate([start, np.zeros(len(rest), np.int64)])),
+            pa.array(np.concatenate([a[at], a[rest]])), pa.array(np.concatenate([offset + begins, none])), pa.array(np.concatenate([offset + ends - 1, none])),
             pa.array(np.concatenate([np.ones(len(at), bool), np.zeros(len(rest), bool)])),
             pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(rank[rest])]), pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(g[rest])]),
             pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(w[rest])]),
@@ -347,11 +350,11 @@ def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["a", "start", "decided", "rank", "g", "w", "before", "after"]
-    schema = "a long, start long, decided boolean, rank long, g long, w long, before binary, after binary"
+    names = ["a", "first", "last", "decided", "rank", "g", "w", "before", "after"]
+    schema = "a long, first long, last long, decided boolean, rank long, g long, w long, before binary, after binary"
     seen = scratch.write(in_runs(cells, ["rank", "before", "after", "a"], decide, schema, ("before", "after")), "seen")
     # groups that lie in more than one task meet in one, if they are smaller than a chunk
-    left = seen.filter(~F.col("decided")).drop("start", "decided")
+    left = seen.filter(~F.col("decided")).drop("first", "last", "decided")
     sizes = scratch.write(left.groupBy("rank").agg(F.count(F.lit(1)).alias("n")), "sizes")
     left = scratch.write(left.join(sizes, "rank"), "left")
     met = in_runs(left.filter(F.col("n") < CHUNK).drop("n"), ["rank", "before", "after", "a"], decide, schema, ("before", "after"), whole=True)
@@ -364,8 +367,8 @@ def _between(cells: DataFrame, quarter: int, scratch: Scratch) -> DataFrame:
     opened = scratch.write(opened.select("a", "w", "rank", "j", "g", ends.alias("ends")), "opened")
     keys = ["rank", "j", "ends"]
     repeated = scratch.write(opened.groupBy(*keys).agg(F.sum("w").alias("n")).filter("n > 1").select(*keys), "opened_names")
-    more = opened.join(repeated, keys).select("a", (F.col("g") * quarter - quarter + F.col("j")).cast("long").alias("start"))
-    return seen.filter("decided").select("a", "start").union(met.select("a", "start")).union(more)
+    more = opened.join(repeated, keys).select("a", (F.col("g") * quarter - quarter + F.col("j")).cast("long").alias("first"))
+    return seen.filter("decided").select("a", "first", "last").union(met.select("a", "first", "last")).union(more.withColumn("last", F.col("first")))
 
 
 def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
@@ -407,8 +410,9 @@ def find_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", length:
         _piece(core + 3 * quarter, (stop - core - 3 * quarter).cast("int")).alias("after"),
     )
     cells = scratch.write(cells, "cells")
-    starts = _between(cells, quarter, scratch).union(four.select("a", (F.col("g") * quarter).cast("long").alias("start")))
-    starts = starts.join(grids.select("a", "t", "u", "place"), "a").select("t", "u", (F.col("place") + F.col("start")).alias("first"), (F.col("place") + F.col("start")).alias("last"))
+    on_grid = (F.col("g") * quarter).cast("long")
+    starts = _between(cells, quarter, scratch).union(four.select("a", on_grid.alias("first"), on_grid.alias("last")))
+    starts = starts.join(grids.select("a", "t", "u", "place"), "a").select("t", "u", *[(F.col("place") + F.col(c)).alias(c) for c in ("first", "last")])
 
     place, near, far = _place(F.col("at"))
     whole = marked.filter("done").select("t", "u", (place - far).alias("first"), (place - near).alias("last"))
