@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import pages, spread_table, table
+from checks.extract_checks import TITLE, content_sql
 from leafpress.functions import urls as U
 from leafpress.operators import crawl as C
 from leafpress.operators import links as L
@@ -18,6 +19,7 @@ from leafpress.operators import robots as B
 from leafpress.operators.politeness import polite_schedule
 from leafpress.operators.skew import ranked, skew_join
 from leafpress.session import cut_lineage
+from leafpress.sources.store import write_store
 
 # href and the link it gives on a page at BASE; NULL where it is skipped
 BASE = "https://h.example.com/a/b/page.html?x=1#top"
@@ -91,9 +93,12 @@ def linked_pages(spark, sf):
     # at most four links per page
     links = edges.unionByName(across).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("l"))
     anchors = F.array_join(F.transform("l", lambda e: F.concat(F.lit('<a href="'), F.replace(e["dst"], F.lit("&"), F.lit("&amp;")), F.lit('">x</a>'))), "")
-    text = F.when(F.col("page_id") % 7 == 3, F.lit("")).otherwise(F.concat(F.lit("Text of page "), F.col("page_id")))
-    html = F.concat(F.lit("<html><head><title>T"), F.col("page_id"), F.lit("</title></head><body><nav>"), F.coalesce(anchors, F.lit("")), F.lit("</nav><article><p>"), text, F.lit("</p></article></body></html>"))
-    return cut_lineage(n.join(links, "page_id", "left").select("page_id", "url", "host", "n", html.alias("html")))
+    nav = F.concat(F.lit("<nav>"), F.coalesce(anchors, F.lit("")), F.lit("</nav>"))
+    # the stored page with the anchors of the tree put in; its own ones lead nowhere, and every seventh page has no content
+    stored = table(spark, sf, "pages").select("page_id", F.col("html").alias("stored"))
+    own = F.regexp_replace("stored", "<a href=", "<a data-href=")
+    html = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("<html><body>"), nav, F.lit("</body></html>"))).otherwise(F.replace(own, F.lit("<body>"), F.concat(F.lit("<body>"), nav)))
+    return cut_lineage(n.join(links, "page_id", "left").join(stored, "page_id").select("page_id", "url", "host", "n", html.alias("html")))
 
 
 def seeds_of(linked):
@@ -157,7 +162,37 @@ def crawl_results(spark, sf):
     return out.withColumn("title", F.col("metadata.title"))
 
 
-RESULTS = f"res AS (SELECT c.*, page_id, 'Text of page ' || page_id AS content, 'T' || page_id AS title FROM crawled c JOIN {LINKED} USING (url) WHERE status = 'ok')"
+def crawl_repeated_pages(spark, sf):
+    """Every third page is stored a second time, earlier and with another text, every fifth twice without an id: the latest is read, and counts once."""
+    linked = linked_pages(spark, sf).select("page_id", "url", "html")
+    old = linked.filter("page_id % 3 = 0").select((F.col("page_id") - 1_000_000).alias("page_id"), "url", F.lit("<html><body><p>old</p></body></html>").alias("html"))
+    bare = linked.filter("page_id % 5 = 0").select(F.lit(None).cast("long").alias("page_id"), "url", F.lit("<html><body><p>none</p></body></html>").alias("html"))
+    seeds = seeds_of(linked_pages(spark, sf))
+    return C.crawl_pages(linked.unionByName(old).unionByName(bare).unionByName(bare), seeds, max_depth=3, max_pages=None).select(
+        "seed_id", "page_id", "crawl_depth", "crawl_order", "content"
+    )
+
+
+def crawl_store(spark, sf):
+    """The walk over a bucketed store that is written once."""
+    linked = linked_pages(spark, sf)
+    store = write_store(linked.select("page_id", "url", "html"))
+    found = C.crawl_pages(store, seeds_of(linked), max_depth=3, max_pages=None).select("seed_id", "page_id", "crawl_depth", "crawl_order", "content")
+    done = cut_lineage(found)
+    store.drop()
+    return done
+
+
+NOSCRIPT = """concat('<noscript><a href="/ns', page_id, '">n</a></noscript><template><a href="/t">t</a></template><!-- <a href="/c">c</a> --><script>"<a href=\\"/s\\">"</script>', html)"""
+
+
+def noscript_links(spark, sf):
+    """Links within noscript and template elements count, those in comments and scripts do not."""
+    return L.raw_link_table(pages(spark, sf).withColumn("html", F.expr(NOSCRIPT))).select("page_id", "pos", "href")
+
+
+RESULTS = f"""{content_sql()},
+res AS (SELECT c.*, page_id, content, {TITLE} AS title FROM crawled c JOIN {LINKED} l USING (url) JOIN content USING (page_id) JOIN (SELECT page_id, html FROM pages) h USING (page_id) WHERE status = 'ok')"""
 SUMMARY = f"""{walk_sql(3)}, {RESULTS}
 SELECT seed_id, 'total_pages' AS item, CAST(NULL AS BIGINT) AS key, CAST(NULL AS VARCHAR) AS value, count(*) AS n FROM res GROUP BY 1
 UNION ALL SELECT seed_id, 'depth', crawl_depth, NULL, count(*) FROM res GROUP BY 1, 3
@@ -229,6 +264,9 @@ QUERIES = {
     "crawl_urls": lambda s, sf: R.crawl_urls(crawl_results(s, sf)),
     "crawl_by_depth": lambda s, sf: R.by_depth(crawl_results(s, sf), 1).select("seed_id", "url"),
     "crawl_summary": lambda s, sf: R.crawl_summary(crawl_results(s, sf)),
+    "crawl_repeated_pages": crawl_repeated_pages,
+    "crawl_store": crawl_store,
+    "noscript_links": noscript_links,
     "polite_schedule": schedule,
 }
 ORACLES = {
@@ -258,6 +296,10 @@ WHERE NOT old AND NOT EXISTS (SELECT 1 FROM l b WHERE b.old AND b.seed_id = a.se
     "crawl_urls": f"{walk_sql(3)} SELECT seed_id, crawl_order, url FROM crawled WHERE status = 'ok'",
     "crawl_by_depth": f"{walk_sql(3)} SELECT seed_id, url FROM crawled WHERE status = 'ok' AND crawl_depth = 1",
     "crawl_summary": SUMMARY,
+    "crawl_repeated_pages": f"{walk_sql(3)}, {RESULTS} SELECT seed_id, page_id, crawl_depth, crawl_order, content FROM res",
+    "crawl_store": f"{walk_sql(3)}, {RESULTS} SELECT seed_id, page_id, crawl_depth, crawl_order, content FROM res",
+    "noscript_links": """WITH l AS (SELECT page_id, list_concat(['/ns' || page_id, '/t'], regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS l FROM pages)
+SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS href FROM l""",
     "polite_schedule": """WITH r AS (SELECT user_id AS host, event_id AS request_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT host, request_id, n, max(a - 3600000000 * n) OVER (PARTITION BY host ORDER BY n) + 3600000000 * n AS start_us FROM r""",
 }

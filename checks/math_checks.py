@@ -149,6 +149,7 @@ QUERIES = {
     "math_totals": lambda s, sf: math_totals(normalize_math(math_pages(s, sf))),
     "math_content": math_content,
     "mathml_to_tex": mathml_to_tex,
+    "math_without_fallback": lambda s, sf: normalize_math(math_pages(s, sf), fallback=False).select("page_id", "math.*"),
 }
 
 SIGNS = " OR ".join("regexp_matches(html, '(?is)" + s.replace("'", "''") + "')" for s in X.MATH_SIGNS)
@@ -198,6 +199,8 @@ SELECT doc_id, CASE WHEN a <> '' THEN '$$' || a || '$$' WHEN b <> '' THEN '$$' |
     "math_normalize": normalized_html(),
     "math_stats": f"""SELECT p_partkey AS page_id, CASE WHEN p_partkey % {N} < 8 THEN 1 ELSE 0 END AS processed, CASE WHEN p_partkey % {N} >= 8 THEN 1 ELSE 0 END AS remaining_math,
   CASE WHEN p_partkey % {N} = 10 THEN 1 ELSE 0 END AS remaining_katex, 0 AS remaining_mathjax, CASE WHEN p_partkey % {N} IN (8, 9) THEN 1 ELSE 0 END AS fallback_processed FROM part""",
+    "math_without_fallback": f"""SELECT p_partkey AS page_id, CASE WHEN p_partkey % {N} < 8 THEN 1 ELSE 0 END AS processed, CASE WHEN p_partkey % {N} >= 8 THEN 1 ELSE 0 END AS remaining_math,
+  CASE WHEN p_partkey % {N} = 10 THEN 1 ELSE 0 END AS remaining_katex, 0 AS remaining_mathjax, 0 AS fallback_processed FROM part""",
     "math_totals": f"""SELECT count(*) FILTER (WHERE k < 10) AS pages_with_math, count(*) FILTER (WHERE k < 8) AS processed, count(*) FILTER (WHERE k >= 8) AS remaining_math, count(*) FILTER (WHERE k = 10) AS remaining_katex, 0 AS remaining_mathjax, count(*) FILTER (WHERE k IN (8, 9)) AS fallback_processed
 FROM (SELECT p_partkey % {N} AS k FROM part)""",
     "math_content": f"SELECT p_partkey AS page_id, {_content()} AS content FROM part",

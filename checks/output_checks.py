@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.common import pages, spread_table, table
@@ -15,7 +17,9 @@ from leafpress.operators.metadata import page_metadata
 from leafpress.operators.report import progress
 from leafpress.operators.skew import ranked
 from leafpress.plans.batch import run_list
-from leafpress.session import cut_lineage
+from leafpress.session import cut_lineage, ensure_checkpoint_dir
+from leafpress.sources.file_sink import read_files, write_files
+from leafpress.sources.html_files import extract_files, read_html_files
 from leafpress.sources.pages import resolve_pages
 
 BASE = "CASE p_partkey % 3 WHEN 0 THEN concat('https://i.example.com/d', p_size) WHEN 1 THEN concat('https://i.example.com/d', p_size, '/') ELSE concat('https://i.example.com/d', p_size, '/page.html') END"
@@ -127,6 +131,11 @@ def render_text(spark, sf):
     return R.render(meta_results(spark, sf), "text").select("page_id", "document")
 
 
+# Labels of the metadata lines, as the statements expect them.
+FRONT_MATTER = (("title", "title"), ("author", "author"), ("date", "date"), ("sitename", "site"), ("description", "description"), ("language", "language"), ("tags", "tags"))
+HEADER = (("title", "Title"), ("author", "Author"), ("date", "Date"), ("sitename", "Site"), ("description", "Description"), ("language", "Language"), ("tags", "Tags"))
+
+
 def head_sql(rule, labels, brackets):
     cols = {"title": "title", "author": "author", "date": "date", "sitename": "sitename", "description": "description", "language": "language"}
     lines = [f"'{label}: ' || {cols[f]}" for f, label in labels if f in cols]
@@ -135,10 +144,11 @@ def head_sql(rule, labels, brackets):
 
 
 def render_dispatch(spark, sf):
+    """Whole documents of every format."""
     base = meta_results(spark, sf).filter("status = 'ok'")
     out = None
     for fmt in ("markdown", "text", "json", "XML", "csv"):
-        part = R.render(base, fmt).select("page_id", F.lit(fmt).alias("fmt"), (F.col("document") == F.col("content")).alias("bare"), F.substring("document", 1, 3).alias("start"))
+        part = R.render(base, fmt).select("page_id", F.lit(fmt).alias("fmt"), "document")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -194,12 +204,15 @@ STATUS = "st AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS host, CASE WHEN
 PROGRESS = """count(*) AS total, count(status) AS completed, count(*) FILTER (WHERE status <> 'ok') AS failed,
   CASE WHEN count(status) > 0 THEN (count(status) - count(*) FILTER (WHERE status <> 'ok')) / count(status) * 100 ELSE 0.0 END AS success_rate, count(status) / count(*) * 100 AS percentage FROM st"""
 
-BROKEN = "CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('<p><b <i>', substring(html, 1, 40)) WHEN 3 THEN '<<<>>> & &#99999999; &#xD800; <p' ELSE html END"
+#: Kinds of page: none, empty, broken twice, boilerplate alone, MathML that the Arrow step raises on (twice), too long, sound.
+BROKEN = """CASE page_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('<p><b <i>', substring(html, 1, 40)) WHEN 3 THEN '<<<>>> & &#99999999; &#xD800; <p'
+  WHEN 4 THEN concat('<nav>', html, '</nav>') WHEN 5 THEN concat('<p>Odd ', page_id, '</p><math><![odd[x]]><mi>y</mi></math><math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>', html)
+  WHEN 6 THEN concat('<math>', repeat('<mrow>', 1200), '<mi>x</mi></math>', html) WHEN 7 THEN concat(html, repeat('<p>more</p>', 20000)) ELSE html END"""
 
 
 def failure_isolation(spark, sf):
-    out = extract_pages(pages(spark, sf).withColumn("html", F.expr(BROKEN)))
-    return out.select("page_id", F.when(F.col("page_id") % 6 > 1, F.lit("kept")).otherwise(F.col("status")).alias("status"))
+    out = extract_pages(pages(spark, sf).withColumn("html", F.expr(BROKEN)), process_math=True, max_chars=200_000)
+    return out.select("page_id", "status", "error", "content")
 
 
 def dropped(spark, sf):
@@ -212,7 +225,7 @@ HIDDEN = "concat('<noscript><img src=\"/ns', page_id, '.png\"></noscript><templa
 
 def noscript_images(spark, sf):
     src = pages(spark, sf).withColumn("html", F.expr(HIDDEN))
-    return I.image_table(src).filter(F.col("pos") < 2).select("page_id", "pos", "original_src")
+    return I.image_table(src).select("page_id", "pos", "original_src")
 
 
 def stored_images(spark, sf):
@@ -222,7 +235,74 @@ def stored_images(spark, sf):
     return I.stored_images(images, blobs).select("local_filename", F.col("bytes").cast("string").alias("bytes"))
 
 
+def _through_files(spark, files):
+    """Written to files of their own and read back; the files go."""
+    path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    write_files(files, path)
+    back = cut_lineage(read_files(spark, path).select("folder", "filename", F.col("bytes").cast("string").alias("text")))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return back
+
+
+def documents_in_files(spark, sf):
+    return _through_files(spark, R.document_files(extract_pages(pages(spark, sf)), ["page_id"], with_metadata=False))
+
+
+def images_in_files(spark, sf):
+    images = I.image_table(image_pages(spark, sf))
+    blobs = images.select("url").distinct().filter(F.length("url") % 2 == 0).withColumn("bytes", F.md5("url").cast("binary"))
+    return _through_files(spark, I.image_files(images, blobs))
+
+
+def _html_folder(spark, sf, read):
+    """Every stored page as a file of its own, read by ``read``; the files go."""
+    path = f"{ensure_checkpoint_dir(spark)}/html-{uuid.uuid4().hex}"
+    name = F.concat("page_id", F.lit(" ü+%.html"))
+    write_files(table(spark, sf, "pages").select(F.lit("").alias("folder"), name.alias("filename"), F.col("html").cast("binary").alias("bytes")), path)
+    back = cut_lineage(read(path))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return back.withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
+
+
+def html_files(spark, sf):
+    return _html_folder(spark, sf, lambda path: read_html_files(spark, f"{path}/*.html")).select("name", "url", "html")
+
+
+def html_files_content(spark, sf):
+    return _html_folder(spark, sf, lambda path: extract_files(spark, f"{path}/*.html")).select("name", F.col("metadata.title").alias("title"), "content")
+
+
+#: Two images and a comment section in front of every page; every other page has no id.
+WITH_MEDIA = "concat('<p>Pictures <img src=\"/a', page_id % 10, '.png\" alt=\"A\"> and <img src=\"/b.gif\" alt=\"B\"></p><div class=\"comments\"><p>Comment on ', page_id, '</p></div>', html)"
+
+
+def media_pages(spark, sf):
+    return pages(spark, sf).withColumn("html", F.expr(WITH_MEDIA))
+
+
+def images_and_comments(spark, sf):
+    """The switches that keep images and comment sections, both on."""
+    return extract_pages(media_pages(spark, sf), include_images=True, include_comments=True).select("page_id", "content")
+
+
+def batch_with_images(spark, sf):
+    """A list run, in four tasks at most, over pages of which every other has no id; one of the two images was fetched."""
+    src = media_pages(spark, sf).withColumn("page_id", F.when(F.col("page_id") % 2 == 0, F.col("page_id")))
+    tries = src.select(F.concat(U.origin(F.col("url")), F.lit("/b.gif")).alias("url")).distinct().select("url", F.lit(1).alias("attempt"), F.lit(200).alias("status"))
+    out = run_list(list_lines(spark, sf), src, workers=4, extract_images=True, outcome=I.fetch_outcome(tries))
+    done = R.render(out.filter("status = 'ok'"), "markdown", with_metadata=False)
+    return done.select("file", "line_no", "url", F.array_join(F.sort_array(F.map_keys("image_mappings")), " ").alias("mapped"), F.md5("document").alias("document_md5"))
+
+
 QUERIES = {
+    "documents_in_files": documents_in_files,
+    "images_in_files": images_in_files,
+    "images_and_comments": images_and_comments,
+    "html_files": html_files,
+    "html_files_content": html_files_content,
+    "batch_with_images": batch_with_images,
     "stored_images": stored_images,
     "noscript_images": noscript_images,
     "page_images": lambda s, sf: I.image_table(image_pages(s, sf)),
@@ -260,7 +340,17 @@ def node(name, x):
 
 
 NAMES = """CASE o_orderkey % 5 WHEN 0 THEN 'a/' || repeat('long name ', 8) || '.PnG' WHEN 1 THEN 'é_ü-1.jpeg?x=1' WHEN 2 THEN 'dir/' WHEN 3 THEN 'a.b.c!d' ELSE CAST(o_custkey AS VARCHAR) END"""
+ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
 ORACLES = {
+    "documents_in_files": f"""WITH {content_sql()}, f AS (SELECT content, page_id, row_number() OVER (ORDER BY page_id) - 1 AS n, {HOSTNAME} AS host, trim(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/') AS p FROM content JOIN pages USING (page_id))
+SELECT host AS folder, substr(lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') || '_' || replace(host, 'www.', '') || CASE WHEN p = '' THEN '' ELSE '_' || replace(regexp_replace(p, '[^\\p{{L}}\\p{{N}}_./-]', '_', 'g'), '/', '_') END, 1, 150) || '.md' AS filename, content AS text FROM f""",
+    "images_in_files": f"SELECT DISTINCT 'img' AS folder, local_filename AS filename, md5(url) AS text FROM ({image_rows()}) WHERE length(url) % 2 = 0",
+    "html_files": "SELECT page_id || ' ü+%.html' AS name, CAST(NULL AS VARCHAR) AS url, html FROM pages",
+    "html_files_content": f"WITH {content_sql()} SELECT page_id || ' ü+%.html' AS name, {TITLE} AS title, content FROM content JOIN pages USING (page_id)",
+    "images_and_comments": f"WITH {content_sql()} SELECT page_id, 'Pictures ![A](/a' || page_id % 10 || '.png) and ![B](/b.gif)' || chr(10) || chr(10) || 'Comment on ' || page_id || chr(10) || chr(10) || content AS content FROM content",
+    "batch_with_images": f"""WITH {content_sql()}, {ASKED}, d AS (SELECT page_id AS wanted, url, '/b.gif ' || {ORIGIN} || '/b.gif' AS mapped,
+  'Pictures ![A](/a' || page_id % 10 || '.png) and ![B](img/b_' || substr(md5({ORIGIN} || '/b.gif'), 1, 8) || '.gif)' || chr(10) || chr(10) || content AS document FROM content JOIN pages USING (page_id))
+SELECT o_orderkey % 7 AS file, o_orderkey AS line_no, url, mapped, md5(document) AS document_md5 FROM asked JOIN d USING (wanted) WHERE o_orderkey % 10 <> 0""",
     "stored_images": f"SELECT DISTINCT local_filename, md5(url) AS bytes FROM ({image_rows()}) WHERE length(url) % 2 = 0",
     "noscript_images": "SELECT page_id, pos, CASE pos WHEN 0 THEN '/ns' || page_id || '.png' ELSE '/t.png' END AS original_src FROM pages CROSS JOIN (SELECT unnest([0, 1]) AS pos)",
     "page_images": image_rows(),
@@ -272,9 +362,10 @@ ORACLES = {
     "image_mapping": f"WITH {MAP_ROWS} SELECT * FROM maps",
     "rewrite_md_images": rewritten_sql(True),
     "rewrite_html_images": rewritten_sql(False),
-    "render_dispatch": "SELECT c_custkey AS page_id, fmt, fmt NOT IN ('markdown', 'text') OR c_custkey % 9 = 0 AS bare, CASE WHEN fmt NOT IN ('markdown', 'text') OR c_custkey % 9 = 0 THEN 'Bod' WHEN fmt = 'text' THEN '===' ELSE '---' END AS start FROM customer CROSS JOIN (SELECT unnest(['markdown', 'text', 'json', 'XML', 'csv']) AS fmt)",
-    "render_markdown": head_sql("---", R.FRONT_MATTER, True),
-    "render_text": head_sql("=" * 60, R.HEADER, False),
+    "render_dispatch": f"""SELECT *, 'markdown' AS fmt FROM ({head_sql("---", FRONT_MATTER, True)}) UNION ALL SELECT *, 'text' AS fmt FROM ({head_sql("=" * 60, HEADER, False)})
+UNION ALL SELECT c_custkey AS page_id, 'Body ' || c_custkey AS document, fmt FROM customer CROSS JOIN (SELECT unnest(['json', 'XML', 'csv']) AS fmt)""",
+    "render_markdown": head_sql("---", FRONT_MATTER, True),
+    "render_text": head_sql("=" * 60, HEADER, False),
     "render_json": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, CAST(json_object('title', {TITLE}, 'hostname', regexp_extract(url, '//([^/?#]*)', 1), 'language', {LANG}, 'url', url, 'text', content) AS VARCHAR) AS content FROM content JOIN pages USING (page_id)",
     "render_csv": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, {csv(TITLE)} || ',,,,,' || {csv(HOSTNAME)} || ',' || {LANG} || ',,,' || {csv('url')} || ',' || {csv('content')} AS content FROM content JOIN pages USING (page_id)",
     "render_xml": f"WITH {content_sql(sep='chr(10)', body='marked')} SELECT page_id, '<doc>' || chr(10) || {node('title', TITLE)} || {node('hostname', HOSTNAME)} || {node('language', LANG)} || {node('url', 'url')} || {node('text', 'content')} || '</doc>' AS content FROM content JOIN pages USING (page_id)",
@@ -285,7 +376,13 @@ FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n, regexp_extr
     "resolve_pages": f"WITH {ASKED} SELECT o_orderkey, page_id, CASE WHEN page_id IS NULL THEN 'no_page' ELSE 'ok' END AS status, length(html) AS n FROM asked LEFT JOIN pages ON page_id = wanted",
     "batch_run": f"""WITH {content_sql()}, {ASKED} SELECT o_orderkey % 7 AS file, o_orderkey AS line_no, coalesce(url, 'https://gone.example.com/' || wanted) AS url, CASE WHEN content IS NULL THEN 'no_page' ELSE 'ok' END AS status, md5(content) AS content_md5
 FROM asked LEFT JOIN pages ON page_id = wanted LEFT JOIN content USING (page_id) WHERE o_orderkey % 10 <> 0""",
-    "failure_isolation": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'no_page' WHEN 1 THEN 'empty' ELSE 'kept' END AS status FROM pages",
+    "failure_isolation": f"""WITH {content_sql()}, c AS (SELECT page_id, content, url FROM pages LEFT JOIN content USING (page_id))
+SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'no_page' WHEN 1 THEN 'empty' WHEN 4 THEN 'empty' WHEN 7 THEN 'error' ELSE 'ok' END AS status,
+  CASE page_id % 9 WHEN 5 THEN 'math: AssertionError: unknown status keyword ''odd'' in marked section' WHEN 6 THEN 'math: ValueError: more than 1000 elements within each other'
+    WHEN 7 THEN 'page of more than 200000 characters' END AS error,
+  CASE page_id % 9 WHEN 2 THEN '<me' WHEN 3 THEN '<<<>>> & � � <p' WHEN 5 THEN 'Odd ' || page_id || chr(10) || chr(10) || 'y$\\frac{{a}}{{b}}$' || chr(10) || chr(10) || content
+    WHEN 6 THEN 'x' || chr(10) || chr(10) || content WHEN 8 THEN content END AS content
+FROM c""",
     "drop_failed": f"WITH {content_sql()} SELECT page_id, url, length(content) AS n FROM content JOIN pages USING (page_id) WHERE page_id % 4 <> 1",
     "progress_summary": f"WITH {STATUS} SELECT {PROGRESS}",
     "progress_by_host": f"WITH {STATUS} SELECT host, {PROGRESS} GROUP BY host",

@@ -117,7 +117,26 @@ def batch_rejects(spark, sf):
     return run_list(lines, table(spark, sf, "pages")).select("line_no", "ordinal", "url", "status")
 
 
+#: Patterns whose head is a list: some of their URLs have a host, none has, or all have.
+HEADS = """CASE p_partkey % 3 WHEN 0 THEN concat('http://{,h', p_partkey, '.example.com}/[1-2]') WHEN 1 THEN concat('{http:,}/', p_partkey, '/[1-2]') ELSE concat('{http,https}://h', p_partkey, '.example.com/') END"""
+
+
+def glob_list_heads(spark, sf):
+    """A line is either expanded or rejected, never both."""
+    lines = table(spark, sf, "part").select(F.col("p_partkey").alias("line_no"), F.expr(HEADS).alias("url"))
+    return G.expand_list(lines, keep_rejected=True).select("line_no", "url", "status")
+
+
+def glob_ignored(spark, sf):
+    """One call for a table of URLs: expanded and validated, or left alone."""
+    src = globs(spark, sf, "mixed")
+    both = [G.expand_urls(src, ignore_glob=ignored).select("seed_id", F.lit(ignored).alias("ignored"), "ordinal", "url") for ignored in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 QUERIES = {
+    "glob_list_heads": glob_list_heads,
+    "glob_ignored": glob_ignored,
     "glob_repeats": glob_repeats,
     "batch_rejects": batch_rejects,
     "url_list_clean": lambda s, sf: L.url_lines(L.lines_of(list_files(s, sf))),
@@ -176,3 +195,8 @@ UNION ALL SELECT p_partkey, min((a - 1) * 13 + b - 1), {H} || a || b FROM (SELEC
     "batch_expand_counts": f"SELECT line_no, count(*) AS n_urls FROM ({BATCH_SQL}) GROUP BY 1",
 }
 ORACLES["glob_mixed"] = ORACLES["glob_mixed"].replace(" GROUP BY p_partkey, a || b, a, b", f" GROUP BY p_partkey, {H} || a || b")
+ORACLES["glob_list_heads"] = """SELECT p_partkey AS line_no, 'http://h' || p_partkey || '.example.com/' || i AS url, 'ok' AS status FROM part CROSS JOIN (SELECT unnest([1, 2]) AS i) WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, '{http:,}/' || p_partkey || '/[1-2]', 'rejected' FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT p_partkey, s || '://h' || p_partkey || '.example.com/', 'ok' FROM part CROSS JOIN (SELECT unnest(['http', 'https']) AS s) WHERE p_partkey % 3 = 2"""
+ORACLES["glob_ignored"] = f"""SELECT seed_id, false AS ignored, ordinal, url FROM ({ORACLES["glob_mixed"]})
+UNION ALL SELECT p_partkey, true, 0, {H} || CASE p_partkey % 5 WHEN 0 THEN '[1-' || p_size || ']' WHEN 1 THEN '[a-Z]' WHEN 2 THEN '{{[1-2],x}}' WHEN 3 THEN 'plain' ELSE '[1-3][1-13]' END FROM part"""

@@ -42,6 +42,18 @@ def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     return wrapper
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where ``df`` has such columns already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that is computed once per row.
 

@@ -30,6 +30,10 @@ FORMS = {
 }
 
 
+#: Deeper elements are refused, as text counts for every open element.
+MOST_DEPTH = 1000
+
+
 class _Reader(HTMLParser):
     """Keeps, per open element, its name, text and the finished children."""
 
@@ -38,6 +42,8 @@ class _Reader(HTMLParser):
         self.open = [["", [], []]]
 
     def handle_starttag(self, tag, attrs):
+        if len(self.open) > MOST_DEPTH:
+            raise ValueError(f"more than {MOST_DEPTH} elements within each other")
         self.open.append([tag, [], []])
 
     def handle_startendtag(self, tag, attrs):

@@ -27,6 +27,7 @@ from leafpress.operators.robots import allowed_only
 from leafpress.operators.skew import running, skew_join, sliced
 from leafpress.session import cut_lineage, shuffle_width
 from leafpress.sources.pages import one_per_url
+from leafpress.sources.store import UrlStore
 
 
 def page_index(pages: DataFrame, **options) -> DataFrame:
@@ -155,7 +156,7 @@ def _number(levels: list[DataFrame]) -> DataFrame:
 
 
 def crawl_pages(
-    pages: DataFrame,
+    pages: DataFrame | UrlStore,
     seeds: DataFrame,
     max_depth: int = 1,
     max_pages: int | None = 10,
@@ -168,14 +169,15 @@ def crawl_pages(
     A level extracts the stored pages of its own URLs that no earlier level has
     extracted, so the work follows what the walk reaches and not the store.
     Results are written level by level, and joined with the visited URLs at the
-    end.  Of pages stored twice one is read (``one_per_url``).
+    end.  Of pages stored twice one is read (``one_per_url``).  A plain table of pages is
+    scanned for each level; a ``UrlStore`` is not moved, and levels of few URLs read their buckets only.
     """
     parts: list[DataFrame] = []
 
     def extracted(urls: DataFrame) -> DataFrame:
         known = _union(parts)
         new = urls if known is None else urls.join(known.select("url"), "url", "left_anti")
-        stored = one_per_url(pages.join(new, "url", "left_semi"))
+        stored = pages.look_up(new) if isinstance(pages, UrlStore) else one_per_url(pages.join(new, "url", "left_semi"))
         parts.append(cut_lineage(extract_pages(stored.withColumn("links", page_links("html", "url")), **options)))
         return urls.join(_union(parts).select("url", (F.col("status") == "ok").alias("ok"), "links"), "url")
 

@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
-from leafpress.functions.arrays import built_once, collapse_spaces, first_by, let, replace_each, scan, with_computed
+from leafpress.functions.arrays import built_once, collapse_spaces, first_by, free_names, let, replace_each, scan, with_computed
 from leafpress.functions.names import format_name
-from leafpress.operators.language import page_language, primary_tag
+from leafpress.operators.language import by_ngrams, primary_tag, told_language
 from leafpress.operators.metadata import metadata_of
+from leafpress.session import ship_package
 
 MIN_PRECISE_CHARS = 25
 MAX_LINK_SHARE = 0.5
@@ -328,25 +329,33 @@ def extract_pages(
     with_metadata: bool = True,
     extract_images: bool = False,
     favor_precision: bool = False,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Clean content and metadata of every page.
 
     ``pages`` has ``html`` and any of ``page_id``, ``url``, ``file`` and further
     columns, which are passed through.  A page that gives nothing is kept with a
-    status (no_page, empty, lang_mismatch); :func:`drop_failed` removes those.
+    status (no_page, empty, lang_mismatch, error); :func:`drop_failed` removes those.
+    ``max_chars`` bounds the work on one page: a longer page is not read, has the status
+    error, and ``error`` says why.  ``error`` is also set where the math step raised on an element;
+    that element stays as it was, and the rest of the page is extracted.
     Row-local throughout: partitions are worked on independently.
     """
     fmt = format_name(output_format)
     include_images = include_images or extract_images
-    source = pages
+    body, long, known, lang, failed = free_names(pages, "_body", "_long", "_known", "_lang", "_math_error")
+    source = pages.withColumn(long, F.lit(False))
+    if max_chars is not None:
+        source = pages.withColumn(long, F.coalesce(F.length("html") > max_chars, F.lit(False)))
+        source = source.withColumn("html", F.when(~F.col(long), F.col("html")))
     if process_math:
         from leafpress.operators.math import normalize_math
 
-        source = normalize_math(pages)
+        source = normalize_math(source, error=failed)
     html = F.col("html")
     out = with_computed(
         source,
-        "_body",
+        body,
         page_body(
             "html", fmt == "markdown", include_links, include_images, include_formatting,
             include_tables, include_comments, deduplicate, favor_precision,
@@ -357,25 +366,29 @@ def extract_pages(
 
         out = out.withColumn("images", page_images("html", "url"))
     if target_lang:
-        out = out.withColumn("_lang", page_language(html, F.col("_body")))
+        ship_package(pages.sparkSession)
+        out = with_computed(out, known, told_language(html, F.col(body)))
+        out = out.withColumn(lang, F.coalesce(F.col(known), by_ngrams(F.when(F.col(known).isNull(), F.col(body)))))
     if with_metadata:
         out = out.withColumn("metadata", metadata_of("html", "url" if "url" in pages.columns else None))
     out = out.drop("html")
-    status = F.when(F.col("_body").isNull(), F.lit("no_page")).when(F.trim("_body") == "", F.lit("empty"))
+    too_long = F.when(F.col(long), F.lit(f"page of more than {max_chars} characters"))
+    status = F.when(F.col(long), F.lit("error")).when(F.col(body).isNull(), F.lit("no_page")).when(F.trim(body) == "", F.lit("empty"))
     if target_lang:
-        status = status.when(F.coalesce(F.col("_lang"), F.lit("")) != primary_tag(target_lang), F.lit("lang_mismatch"))
-    out = out.withColumn("status", status.otherwise(F.lit("ok"))).withColumn("format", F.lit(output_format))
+        status = status.when(F.coalesce(F.col(lang), F.lit("")) != primary_tag(target_lang), F.lit("lang_mismatch"))
+    error = F.coalesce(too_long, F.col(failed)) if process_math else too_long
+    out = out.withColumn("status", status.otherwise(F.lit("ok"))).withColumn("error", error).withColumn("format", F.lit(output_format))
     ok = F.col("status") == "ok"
     return (
-        out.withColumn("content", F.when(ok, _as_format(out, fmt, with_metadata)))
+        out.withColumn("content", F.when(ok, _as_format(out, body, fmt, with_metadata)))
         .withColumn("metadata", F.when(ok, F.col("metadata")) if with_metadata else F.lit(None))
-        .drop("_body", "_lang")
+        .drop(body, long, known, lang, failed)
     )
 
 
-def _as_format(df: DataFrame, fmt: str, with_metadata: bool) -> Column:
+def _as_format(df: DataFrame, text: str, fmt: str, with_metadata: bool) -> Column:
     """Body text, or one JSON, XML or CSV record that holds text and metadata."""
-    body = F.col("_body")
+    body = F.col(text)
     if fmt in ("markdown", "txt"):
         return body
     cols = []

@@ -7,11 +7,14 @@ whose text changed because a range inside it was replaced stays as it is.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import first_by, let
+from leafpress.functions.arrays import first_by, free_names, let
 from leafpress.session import cut_lineage
 
 # The three pattern forms.
@@ -209,7 +212,13 @@ def expand_list(lines: DataFrame, url: str = "url", ignore_glob: bool = False, k
     # scheme and host are as in the pattern, unless a list stands before the path
     first = _nth(F.col(url), F.col("glob_places"), zero)
     none = F.col("glob_total").isNull() | ((F.col("glob_total") > 0) & ~U.has_scheme_and_host(first))
-    bad = prepared(lines.filter(is_glob), url).filter(none).select(*lines.columns).withColumn("ordinal", zero)
+    doubted = prepared(lines.filter(is_glob), url).filter(none).select(*lines.columns)
+    # such a list may give good URLs all the same: a line of which any is good is no rejected one
+    (pattern,) = free_names(lines, "_pattern")
+    kept = expand_urls(doubted.withColumn(pattern, F.col(url)), url).drop(url, "ordinal").withColumnRenamed(pattern, url).select(*lines.columns).distinct()
+    kept = kept.toDF(*[f"_kept{i}" for i in range(len(lines.columns))])
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"_kept{i}")) for i, c in enumerate(lines.columns)])
+    bad = doubted.join(kept, same, "left_anti").withColumn("ordinal", zero)
     return found.withColumn("status", F.lit("ok")).unionByName(bad.withColumn("status", F.lit("rejected")))
 
 

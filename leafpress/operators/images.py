@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import html as H
 from leafpress.functions import urls as U
-from leafpress.functions.arrays import built_once, first_by, let, replace_each
+from leafpress.functions.arrays import built_once, first_by, free_names, let, replace_each
 from leafpress.functions.names import image_filename
 from leafpress.operators.skew import skew_join
+from leafpress.session import cut_lineage
+
+#: Folder that documents point to for their images.
+IMAGE_FOLDER = "img"
 
 # An image in Markdown, an image tag, and the source within it.
 MARKDOWN_IMAGE = r"""!\[([^\]]*)\]\(([^)]+?)(\s+"[^"]*")?\)"""
@@ -93,7 +97,7 @@ def mapping_of(images: Column) -> Column:
         F.transform(
             images,
             lambda i: let(
-                F.concat(F.lit("img/"), i["local_filename"]),
+                F.concat(F.lit(f"{IMAGE_FOLDER}/"), i["local_filename"]),
                 lambda p: F.array(
                     F.struct(i["url"].alias("k"), p.alias("v")), F.struct(i["original_src"].alias("k"), p.alias("v"))
                 ),
@@ -103,23 +107,23 @@ def mapping_of(images: Column) -> Column:
     return F.map_from_entries(first_by(F.reverse(pairs), lambda e: e["k"]))
 
 
-def image_mapping(images: DataFrame, outcome: DataFrame | None = None) -> DataFrame:
-    """``(page_id, image_mappings)`` of the images that were fetched.
+def image_mapping(images: DataFrame, outcome: DataFrame | None = None, by: str = "page_id") -> DataFrame:
+    """``(page_id, image_mappings)`` of the images that were fetched, or another column ``by`` that tells pages apart.
 
     An image such as a logo may be on any share of the pages, so it meets its
     outcome in a skew-safe join; what is gathered per page is the page's images.
     """
     if outcome is not None:
         images = skew_join(images, outcome.filter("ok").select("url"), ["url"], "left_semi")
-    per_page = images.groupBy("page_id").agg(
+    per_page = images.groupBy(by).agg(
         F.sort_array(F.collect_list(F.struct("pos", "url", "local_filename", "original_src"))).alias("i")
     )
-    return per_page.select("page_id", mapping_of(F.col("i")).alias("image_mappings"))
+    return per_page.select(by, mapping_of(F.col("i")).alias("image_mappings"))
 
 
-def found_images(results: DataFrame) -> DataFrame:
+def found_images(results: DataFrame, by: str = "page_id") -> DataFrame:
     """The image table of extraction results that carry ``images``."""
-    return results.select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.*")
+    return results.select(by, F.posexplode("images").alias("pos", "i")).select(by, "pos", "i.*")
 
 
 def with_image_mappings(results: DataFrame, outcome: DataFrame | None = None) -> DataFrame:
@@ -127,11 +131,13 @@ def with_image_mappings(results: DataFrame, outcome: DataFrame | None = None) ->
 
     Without ``outcome`` every image counts as fetched, and the map is made in the
     page's row.  Else only the narrow image table meets the outcomes, and each page
-    gets its map back.
+    gets its map back by the number of its row: ids may be null or repeat.
     """
     if outcome is None:
         return results.withColumn("image_mappings", mapping_of(F.col("images")))
-    return results.join(image_mapping(found_images(results), outcome), "page_id", "left")
+    (row,) = free_names(results, "_row")
+    numbered = cut_lineage(results.withColumn(row, F.monotonically_increasing_id()))
+    return numbered.join(image_mapping(found_images(numbered, row), outcome, row), row, "left").drop(row)
 
 
 def localize_markdown(content: Column, mapping: Column) -> Column:
@@ -177,3 +183,8 @@ def stored_images(images: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def save_images(images: DataFrame, blobs: DataFrame, path: str) -> None:
     stored_images(images, blobs).write.mode("overwrite").parquet(path)
+
+
+def image_files(images: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The stored images as files ``(folder, filename, bytes)``; the folder is the one that documents point to."""
+    return stored_images(images, blobs).select(F.lit(IMAGE_FOLDER).alias("folder"), F.col("local_filename").alias("filename"), "bytes")

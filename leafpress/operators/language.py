@@ -1,84 +1,25 @@
-"""Language of a page: the declared one, else a vote of common words or scripts.
+"""Language of a page: the declared one, else that of its script or its n-grams.
 
 A text whose letters belong at least by half to a script of ``SCRIPTS`` is taken for the
-chief language of that script (kana makes Han letters Japanese).  Any other is voted on by
-the frequent words of ``COMMON``: the language with most of them wins if at least
-``LEAST_HITS`` words and a share of ``LEAST_SHARE`` of all words are among its own.  A text
-that no language wins has none, and a page in a language of neither list that does not
-declare it may have none or, where it shares many words, a related one.
+chief language of that script (kana makes Han letters Japanese).  Any other is scored
+by the character n-grams of 45 languages (:mod:`leafpress.functions.ngrams`); a text
+whose best language leads by too little has none.  A page in a language that is not
+among these and does not declare it may have none or a related one.
 """
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from leafpress.functions import html as H
+from leafpress.functions import ngrams
 from leafpress.functions.arrays import let
 
-# Frequent short words per language.
-STOPWORDS = {
-    "de": ("der", "die", "das", "und", "ist", "nicht", "mit", "von", "ein", "für", "auf", "den"),
-    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "are", "this"),
-    "es": ("el", "los", "las", "que", "y", "en", "por", "con", "para", "una", "del", "es"),
-    "fr": ("le", "les", "des", "et", "est", "dans", "pour", "que", "une", "sur", "avec", "qui"),
-}
-
-_MORE = {
-    "af": "die en van is nie het dat om vir met ek hy sy wat word aan op te 'n was deur ook maar hulle ons as",
-    "ar": "في من على إلى أن عن التي الذي هذا هذه كان مع ما لا هو هي بين بعد ذلك كل قد لم أو ثم كما",
-    "be": "і ў на не што з да як гэта яго для па але ад яна быў ён або якія таксама за яны пры было",
-    "bg": "и в на за да се от са че по не с как това ще но си или при до като която който беше също",
-    "ca": "el la els les de i que en un una per amb no és del al dels són com més però aquest aquesta seva també",
-    "cs": "a se v na je že o s do to z i pro by jsem ale jako za po od jeho jsou byl které nebo",
-    "da": "og i at det er en til på af som den for de med ikke der et har var jeg han blev også fra eller",
-    "de": "im zu dem sich des als auch es an werden aus er hat dass sie nach bei einer um",
-    "en": "a it as on be at by he had not but his from or have an they which you were",
-    "es": "de la se un no su al lo como más pero sus le ya o este sí porque esta son",
-    "et": "ja on ei et see oli ka kui ning mis oma ta aga selle või nii siis veel mida ma ole ainult kes pärast",
-    "fa": "و در به از که این را با است برای آن یک خود تا بر هم نیز شده بود شد می ها کرد او ما",
-    "fi": "ja on ei että se oli hän mutta ovat kun myös joka niin tai jos kuin sen ole mitä sekä vain olla hänen nyt ne",
-    "fr": "la de un en du il au par pas plus se ce ne sont ou son mais nous elle aux",
-    "ga": "an agus na ar is a i go le sé do bhí ag sin seo ach as nach mar níos ní bhfuil raibh siad chun",
-    "gl": "o a os as de e que en do da un unha non por con para é no na dos das máis como pero ao",
-    "hi": "के है में की और से को का एक पर यह हैं ने कि भी नहीं था इस लिए कर हो जो तो ही गया",
-    "hr": "i u je na se da za od s su o kao što ne bi ali ili iz koji nije biti samo više bio koja",
-    "hu": "a az és hogy nem is egy volt ez de meg azt ezt csak van már mint ha vagy még el lesz ki amely után",
-    "id": "yang dan di dengan untuk ini itu dari dalam tidak pada adalah ke akan oleh juga sebagai karena mereka bisa ada atau telah saya kita bahwa kami",
-    "is": "og að í á er sem til var við um en það af með fyrir ekki því hann eru ég hún svo þess hefur frá",
-    "it": "il di che è e la per un non in una sono del della con i da si le gli al come anche più nel",
-    "lt": "ir yra kad į su iš tai bet kaip ne buvo o už jis po apie ar jo tik dar nuo taip iki kurie arba",
-    "lv": "un ir ka no uz ar par bet kā tas to ne arī bija lai vai pēc pie kas šo tika tā viņš kad ja",
-    "mk": "и во на да се од за не е со што како ги ја но тоа го или по која кој беше ова при исто",
-    "mr": "आणि आहे या हे ते की तो होते आहेत ही मध्ये एक त्या नाही होता केली साठी पण व त्यांनी करून ती असे त्याच्या होती",
-    "ms": "yang dan di dengan untuk ini itu dari dalam tidak pada adalah ke akan oleh juga sebagai kerana mereka boleh ada atau telah saya ialah bahawa kami",
-    "ne": "र छ को मा यो ले हो पनि लागि छन् भने एक तर थियो गर्न बाट त्यो गरेको भएको हुन् उनले गर्ने तथा सो यस",
-    "nl": "de het een van en in is dat op te zijn met voor niet die er aan ook als maar om bij door naar werd",
-    "no": "og i det er en til på av som for de med ikke at et har var jeg han ble også fra eller seg etter",
-    "pl": "i w na z się nie do to że jest jak o po co ale od za czy przez dla był tak jego oraz są",
-    "pt": "o a os as de e que em um uma não do da para com por é no na dos das mais se ao foi",
-    "ro": "și în de la a cu nu pe că este din o un care pentru mai ce sunt fost au dar sau fi al prin",
-    "ru": "и в не на что с он как это по но из за от для то его все она так же или был было при",
-    "sk": "a sa v na je že o s do to z aj pre by som ale ako za po od jeho sú bol ktoré alebo",
-    "sl": "in je v na se da za so z ki ne pa po bi kot ali o tudi iz s pri ter bil še če",
-    "sq": "të e në dhe një për me që nga është i nuk se më ka si u por do kjo ky nje edhe janë ose",
-    "sr": "и у је на се да за од су са о као што не би али или из који није бити само више био која",
-    "sv": "och i att det är en som på av för med den till inte ett har de om var jag han men så från eller",
-    "sw": "ya na wa kwa ni katika la za kuwa hii kama cha huo yake au lakini hiyo huyo pia si mtu watu hivyo kila sana",
-    "tl": "ang ng sa na mga at ay si ito para hindi ko kung may mo siya niya ni kanyang nang ako rin isang o din",
-    "tr": "ve bir bu da için de ile olarak çok daha o ne gibi olan ama var kadar sonra değil en ki mi ya her veya",
-    "uk": "і в на не що з та до як це його для за по але від вона був він або які також про було при",
-    "ur": "کے ہے میں کی اور سے کو کا ایک پر یہ ہیں نے کہ بھی نہیں تھا اس لیے کر ہو جو تو ہی گیا",
-    "vi": "và của là có được trong cho không một các với này người đã những khi để đến từ cũng như tại vào ra bị",
-}
-
-#: Frequent words of every language that words are voted on for.
-COMMON = {lang: tuple(dict.fromkeys((*STOPWORDS.get(lang, ()), *re.findall(r"[^\W\d_][^\s']*", words)))) for lang, words in sorted(_MORE.items())}
-LEAST_HITS = 2
-LEAST_SHARE = 1 / 12
-
 #: Chief language of a script that words need not part.
 SCRIPTS = {
     "am": "Ethiopic", "bn": "Bengali", "bo": "Tibetan", "el": "Greek", "gu": "Gujarati", "he": "Hebrew", "hy": "Armenian", "ka": "Georgian",
@@ -115,34 +56,28 @@ def _by_script(letters: Column) -> Column:
     return found
 
 
-def _by_words(text: Column) -> Column:
-    """Language that has most of the words, NULL if those are too few."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
-    every = sorted({w for own in COMMON.values() for w in own})
+def by_script(text: Column) -> Column:
+    """Language of the script that a text is mostly written in, NULL if words have to tell."""
 
-    def count(hits: Column, own: tuple[str, ...]) -> Column:
-        return F.size(F.filter(hits, lambda w: w.isin(*own)))
+    def vote(letters: Column) -> Column:
+        others = F.length(F.regexp_replace(letters, r"[\p{IsLatin}\p{IsCyrillic}\p{IsArabic}\p{IsDevanagari}]+", ""))
+        return F.when((others > 0) & (2 * others >= F.length(letters)), _by_script(letters))
 
-    def vote(ws: Column) -> Column:
-        def most(hits: Column) -> Column:
-            return F.array_max(F.array(*[F.struct(count(hits, own).alias("n"), F.lit(lang).alias("lang")) for lang, own in COMMON.items()]))
+    return let(F.regexp_replace(text, r"[^\p{L}]+", ""), vote)
 
-        best = let(F.filter(ws, lambda w: w.isin(*every)), most)
-        return let(best, lambda b: F.when((b["n"] >= LEAST_HITS) & (b["n"] >= LEAST_SHARE * F.size(ws)), b["lang"]))
 
-    return let(words, vote)
+@F.pandas_udf(StringType())
+def by_ngrams(texts: pd.Series) -> pd.Series:
+    own = ngrams.profiles()
+    return texts.map(own.language, na_action="ignore").astype(object).where(texts.notna(), None)
 
 
-def voted_language(text: Column) -> Column:
-    """Language of the text by its script or else its words, NULL if neither tells."""
+def told_language(html: Column, text: Column) -> Column:
+    """Language that the page declares or that its script tells, NULL where n-grams have to tell."""
+    return F.coalesce(declared_language(H.strip_hidden(html)), by_script(text))
 
-    def vote(letters: Column) -> Column:
-        others = F.length(F.regexp_replace(letters, r"[\p{IsLatin}\p{IsCyrillic}\p{IsArabic}\p{IsDevanagari}]+", ""))
-        spelled = (others > 0) & (2 * others >= F.length(letters))
-        return F.coalesce(F.when(spelled, _by_script(letters)), _by_words(text))
-
-    return let(F.regexp_replace(text, r"[^\p{L}]+", ""), vote)
 
-
-def page_language(html: Column, text: Column) -> Column:
-    return F.coalesce(declared_language(H.strip_hidden(html)), voted_language(text))
+def voted_language(text: Column) -> Column:
+    """Language of the text by its script or else its n-grams, NULL if neither tells."""
+    script = by_script(text)
+    return F.coalesce(script, by_ngrams(F.when(script.isNull(), text)))

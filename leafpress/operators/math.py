@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from leafpress.functions import html as H
 from leafpress.functions import tex as X
-from leafpress.functions.arrays import built_once, let, replace_each, scan, with_computed
+from leafpress.functions.arrays import built_once, free_names, let, replace_each, scan, with_computed
 from leafpress.functions.mathml import mathml_to_tex
 from leafpress.session import ship_package
 
@@ -172,13 +172,15 @@ def _replace_script(hit: Column) -> Column:
     return let(found, lambda s: F.when(s.isNull(), hit).otherwise(_converted(s["tex"], s["display"])))
 
 
-@pandas_udf(ArrayType(StringType()))
+@pandas_udf(ArrayType(StructType([StructField("tex", StringType()), StructField("error", StringType())])))
 def _fragments_to_tex(fragments: pd.Series) -> pd.Series:
+    """TeX of MathML elements, or what went wrong: an odd element leaves the page's others alone."""
+
     def safe(fragment):
         try:
-            return mathml_to_tex(fragment)
-        except Exception:  # one odd element leaves the page's others alone
-            return None
+            return {"tex": mathml_to_tex(fragment), "error": None}
+        except Exception as e:
+            return {"tex": None, "error": f"math: {type(e).__name__}: {e}"}
 
     return fragments.map(lambda fs: None if fs is None else [safe(f) for f in fs])
 
@@ -193,31 +195,33 @@ _KATEX_TAG = r"""(?i)<[a-z][^>]*\sclass\s*=\s*["'](?:[^"']*\s)?katex(?:\s[^"']*)
 _MATHJAX_TAG = r"""(?i)<mjx-container[\s>]|<[a-z][^>]*\sclass\s*=\s*["'](?:[^"']*\s)?MathJax(?:\s[^"']*)?["']"""
 
 
-def normalize_math(pages: DataFrame, fallback: bool = True) -> DataFrame:
+def normalize_math(pages: DataFrame, fallback: bool = True, error: str | None = None) -> DataFrame:
     """Replace math in ``html`` by TeX and add ``math``, the counts of the page.
 
     Order: KaTeX and MediaWiki elements, annotated MathML, math/tex scripts, then
     (with ``fallback``) MathML that is left.  ``math`` holds processed,
     remaining_math, remaining_katex, remaining_mathjax (all before the fallback)
-    and fallback_processed.
+    and fallback_processed.  With ``error``, a column of that name has the first error
+    of the fallback on a page; the element that caused it stays as it is.
     """
-    step = with_computed(pages, "_r", _rendered_replaced("html")).withColumn("_h", F.col("_r.html"))
-    has_more = F.col("_h").rlike(r"(?i)<math[\s>]|math/tex")
+    r, h, left, tex = free_names(pages, "_r", "_h", "_left", "_tex")
+    own = F.col(h)
+    step = with_computed(pages, r, _rendered_replaced("html")).withColumn(h, F.col(f"{r}.html"))
+    has_more = own.rlike(r"(?i)<math[\s>]|math/tex")
     step = step.withColumn(
-        "_h",
+        h,
         F.when(
             has_more,
-            replace_each(replace_each(F.col("_h"), _MATH_OR_OPAQUE, _replace_annotated), X.TEX_SCRIPT, _replace_script),
-        ).otherwise(F.col("_h")),
+            replace_each(replace_each(own, _MATH_OR_OPAQUE, _replace_annotated), X.TEX_SCRIPT, _replace_script),
+        ).otherwise(own),
     )
-    marks = _count(F.col("_h"), _CONVERTED_MARK) - _count(F.col("html"), _CONVERTED_MARK)
-    visible = H.strip_hidden(F.col("_h"))
+    marks = _count(own, _CONVERTED_MARK) - _count(F.col("html"), _CONVERTED_MARK)
     step = step.withColumn(
         "math",
         F.when(
-            F.col("_h").isNotNull(),
+            own.isNotNull(),
             let(
-                visible,
+                H.strip_hidden(own),
                 lambda v: F.struct(
                     marks.alias("processed"),
                     _count(v, _MATH_TAG).alias("remaining_math"),
@@ -227,28 +231,31 @@ def normalize_math(pages: DataFrame, fallback: bool = True) -> DataFrame:
             ),
         ),
     )
+    failed = F.lit(None).cast("string")
     if fallback:
         ship_package(pages.sparkSession)
-        left = F.transform(
-            F.regexp_extract_all("_h", F.lit(_MATH_OR_OPAQUE), F.lit(0)), lambda h: F.when(h.rlike("(?i)^<math"), h)
+        found = F.transform(
+            F.regexp_extract_all(h, F.lit(_MATH_OR_OPAQUE), F.lit(0)), lambda x: F.when(x.rlike("(?i)^<math"), x)
         )
-        wanted = F.when(F.col("math.remaining_math") > 0, left)
-        step = step.withColumn("_left", wanted).withColumn("_tex", _fragments_to_tex("_left"))
-        hits = F.regexp_extract_all("_h", F.lit(_MATH_OR_OPAQUE), F.lit(0))
+        wanted = F.when(F.col("math.remaining_math") > 0, found)
+        step = step.withColumn(left, wanted).withColumn(tex, _fragments_to_tex(left))
+        hits = F.regexp_extract_all(h, F.lit(_MATH_OR_OPAQUE), F.lit(0))
         swapped = F.zip_with(
             hits,
-            F.col("_tex"),
-            lambda h, t: F.when(t.isNull(), h).otherwise(_converted(t, _is_block(h))),
+            F.col(tex),
+            lambda x, t: F.when(t["tex"].isNull(), x).otherwise(_converted(t["tex"], _is_block(x))),
         )
         rebuilt = F.array_join(
-            F.zip_with(F.split("_h", _MATH_OR_OPAQUE, -1), swapped, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""
+            F.zip_with(F.split(h, _MATH_OR_OPAQUE, -1), swapped, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""
         )
-        step = step.withColumn("_h", F.when(F.col("_tex").isNull(), F.col("_h")).otherwise(rebuilt))
-        extra = F.when(F.col("_tex").isNull(), 0).otherwise(F.size(F.filter("_tex", lambda t: t.isNotNull())))
+        step = step.withColumn(h, F.when(F.col(tex).isNull(), own).otherwise(rebuilt))
+        extra = F.when(F.col(tex).isNull(), 0).otherwise(F.size(F.filter(tex, lambda t: t["tex"].isNotNull())))
+        failed = F.get(F.filter(F.transform(tex, lambda t: t["error"]), lambda e: e.isNotNull()), F.lit(0))
     else:
         extra = F.lit(0)
     math = F.when(F.col("math").isNotNull(), F.col("math").withField("fallback_processed", extra))
-    return step.withColumn("math", math).withColumn("html", F.col("_h")).drop("_r", "_h", "_left", "_tex")
+    step = step.withColumn("math", math).withColumn("html", own)
+    return (step.withColumn(error, failed) if error else step).drop(r, h, left, tex)
 
 
 def math_totals(normalized: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from leafpress.functions.names import format_name, output_filename
 from leafpress.operators.images import localize_images
 from leafpress.operators.skew import ranked
 from leafpress.session import cut_lineage
+from leafpress.sources.file_sink import host_folder
 
 # Order and labels of the metadata lines.
 FRONT_MATTER = (
@@ -91,6 +92,13 @@ def named_documents(results: DataFrame, order: list[str], output_format: str = "
     return numbered.select(name.alias("filename"), "document")
 
 
+def document_files(results: DataFrame, order: list[str], output_format: str = "markdown", with_metadata: bool = True) -> DataFrame:
+    """The same documents as files ``(folder, filename, bytes)``, parted by host, for ``sources.file_sink``."""
+    numbered = _numbered(results, order, ["url"], output_format, with_metadata, "_n")
+    name = output_filename(F.col("_n") - 1, F.col("url"), F.lit(output_format))
+    return numbered.select(host_folder(F.col("url")).alias("folder"), name.alias("filename"), F.col("document").cast("binary").alias("bytes"))
+
+
 def combined_document(results: DataFrame, order: list[str], output_format: str = "markdown", with_metadata: bool = True) -> DataFrame:
     """All successful pages as one document, as parts ``(part_no, part)``.
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from leafpress.operators.extract import drop_failed, extract_pages
 from leafpress.operators.globs import expand_list
-from leafpress.operators.images import found_images, save_images, with_image_mappings
-from leafpress.operators.render import named_documents
+from leafpress.operators.images import found_images, image_files, save_images, with_image_mappings
+from leafpress.operators.render import document_files, named_documents
 from leafpress.operators.skew import skew_join
 from leafpress.session import cut_lineage
+from leafpress.sources.file_sink import write_files
 from leafpress.sources.pages import one_per_url
 from leafpress.sources.sinks import write_documents
 from leafpress.sources.url_lists import classify_lines
@@ -40,24 +41,32 @@ def run_list(
         wanted = wanted.repartition(workers)
     results = extract_pages(wanted, **options)
     if "images" in results.columns:
-        results = with_image_mappings(cut_lineage(results), outcome)
+        results = with_image_mappings(cut_lineage(results) if outcome is None else results, outcome)
     status = F.when(F.col("_asked") == "rejected", F.col("_asked")).otherwise(F.coalesce("status", F.lit("no_page")))
     return skew_join(asked, results, ["url"], "left").withColumn("status", status).drop("_asked")
 
 
 def run_batch(
     lines: DataFrame, pages: DataFrame, out: str, output_format: str = "markdown", with_metadata: bool = True,
-    blobs: DataFrame | None = None, images_out: str | None = None, **options,
+    blobs: DataFrame | None = None, images_out: str | None = None, as_files: bool = False, **options,
 ) -> DataFrame:
     """Run a list and write one named document per page; returns the good results.
 
     The results are written once to the checkpoint folder, and both the documents
     and what the caller does with them are made from that copy.  With
     ``extract_images`` the documents point at local images, and with ``blobs`` and
-    ``images_out`` the images themselves are written as a table.
+    ``images_out`` the images themselves are written as a table.  With ``as_files`` both are
+    files of their own: documents in a folder for each host, images in the folder that documents point to.
     """
     good = cut_lineage(drop_failed(run_list(lines, pages, output_format=output_format, with_metadata=with_metadata, **options)))
+    order = ["file", "line_no", "ordinal"]
     if blobs is not None and images_out and "images" in good.columns:
-        save_images(found_images(good), blobs, images_out)
-    write_documents(named_documents(good, ["file", "line_no", "ordinal"], output_format, with_metadata), out)
+        if as_files:
+            write_files(image_files(found_images(good), blobs), images_out)
+        else:
+            save_images(found_images(good), blobs, images_out)
+    if as_files:
+        write_files(document_files(good, order, output_format, with_metadata), out)
+    else:
+        write_documents(named_documents(good, order, output_format, with_metadata), out)
     return good

@@ -1,9 +1,13 @@
 from pyspark.sql import functions as F
 
+from language_sentences import SENTENCES
 from leafpress.functions import html as H
+from leafpress.functions import ngrams
+from leafpress.functions.language_samples import COMMON, SAMPLES
 from leafpress.functions.arrays import first_by, replace_each, scan
 from leafpress.operators import extract as X
 from leafpress.operators.language import voted_language
+from leafpress.operators.metadata import json_ld_table
 
 PAGE = """<!DOCTYPE html><html lang="en-GB"><head><title>A &amp; B</title><style>p{}</style>
 <meta name="author" content="Ann"><meta property="og:site_name" content='S "q"'><meta name=keywords content="x, y"></head><body>
@@ -117,6 +121,60 @@ def test_undeclared_pages_of_other_languages(spark):
     assert wrong.collect() == []
 
 
+def test_recall_of_every_language(spark):
+    """Each language offered is told from three sentences that no profile was counted from, related pairs too; none is mistaken."""
+    assert set(SENTENCES) == set(SAMPLES) == set(COMMON)
+    together = [(" ".join(own), lang) for lang, own in SENTENCES.items()]
+    df = spark.createDataFrame(together, "t string, want string").select("want", voted_language(F.col("t")).alias("got"))
+    rows = df.collect()
+    right = {r.want for r in rows if r.got == r.want}
+    assert [(r.want, r.got) for r in rows if r.got not in (r.want, None)] == []
+    assert len(right) >= len(SENTENCES) - 1
+    assert {"da", "id", "ms", "hr", "sl", "cs", "sk", "sr", "bg", "mk", "gl", "pt", "es", "nl", "af", "hi", "mr", "ne"} <= right
+
+
+def test_single_sentences_are_seldom_mistaken():
+    own = ngrams.profiles()
+    told = [(lang, own.language(t)) for lang, texts in SENTENCES.items() for t in texts]
+    assert sum(a == b for a, b in told) >= 0.85 * len(told)
+    assert sum(b is not None and a != b for a, b in told) <= 0.06 * len(told)
+    assert own.language("kat hund hus båd") is None
+
+
+def test_error_status(spark):
+    odd = "<p>Text</p><math><![odd[x]]><mi>y</mi></math><math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>"
+    r = extract(spark, odd, process_math=True)
+    assert (r.status, r.error) == ("ok", "math: AssertionError: unknown status keyword 'odd' in marked section")
+    assert r.content == "Text\n\ny$\\frac{a}{b}$"
+    r = extract(spark, "<p>" + "x" * 100 + "</p>", max_chars=50)
+    assert (r.status, r.error, r.content, r.metadata) == ("error", "page of more than 50 characters", None, None)
+    assert extract(spark, PAGE, process_math=True, max_chars=5000).error is None
+
+
+def test_columns_of_the_caller_are_kept(spark):
+    """Whatever the steps call their own columns, a caller's column of that name comes back as it was."""
+    names = ["_body", "_lang", "_long", "_known", "_math_error", "_r", "_h", "_left", "_tex", "_Body"]
+    html = PAGE.replace('lang="en-GB"', "") + "<math><mi>a</mi></math>"
+    df = spark.createDataFrame([(1, html, *names[:-1])], "page_id long, html string, " + ", ".join(f"{n} string" for n in names[:-1]))
+    r = X.extract_pages(df, process_math=True, target_lang="en", max_chars=10**6).first().asDict()
+    assert {n: r[n] for n in names[:-1]} == {n: n for n in names[:-1]}
+
+
+LD = """<html><head><script type="application/ld+json">{"@graph":[{"@type":"Person","@id":"#a","name":"Ann"},
+{"@type":["Article","Thing"],"headline":"From \\"data\\"","author":[{"@id":"#a"},"Bo"],"datePublished":"2024-05-06","keywords":["x",{"@type":"DefinedTerm","name":"y"}]},
+{"@type":"https://schema.org/WebSite","name":"Site"}]}</script><script type='application/ld+json'>{broken</script></head>"""
+
+
+def test_json_ld(spark):
+    m = extract(spark, LD + "<body><h1>Heading</h1><p>x</p></body></html>").metadata
+    assert (m.title, m.author, m.date, m.sitename, m.tags) == ('From "data"', "Ann; Bo", "2024-05-06", "Site", ["x", "y"])
+    m = extract(spark, LD.replace("<head>", "<head><title>Own</title><meta name=author content=Cy>") + "<body><p>x</p></body>").metadata
+    assert (m.title, m.author, m.date) == ("Own", "Cy", "2024-05-06")
+    df = spark.createDataFrame([(1, LD), (2, "<!--" + LD + "--><p>x"), (3, None), (4, '<script type="application/ld+json">[]</script>')], "page_id long, html string")
+    told = {r.page_id: (r.scripts, r.broken, r.title) for r in json_ld_table(df).collect()}
+    assert told == {1: (2, 1, 'From "data"'), 4: (1, 0, None)}
+
+
 def test_no_shuffle_in_extraction(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
     plan = X.drop_failed(X.extract_pages(df))._jdf.queryExecution().executedPlan().toString()
