@@ -81,14 +81,19 @@ class FileWriter(DataSourceArrowWriter):
             out.write(str(sum(m.files for m in messages if m)).encode())
 
     def abort(self, messages: list[Moved | None]) -> None:
+        """Take away what any attempt has moved, told or not: the lists are read before the staging folder goes."""
         store, root = self._open()
-        for message in messages:
-            if message:
-                with store.open_input_stream(message.listed) as f:
-                    for name in json.loads(f.readall()):
-                        if store.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
-                            store.delete_file(f"{root}/{name}")
+        staged = f"{root}/_staged-{self.run}"
+        names: set[str] = set()
+        for info in store.get_file_info(pafs.FileSelector(staged, allow_not_found=True)):
+            if info.path.endswith(".json"):
+                with store.open_input_stream(info.path) as f:
+                    names.update(json.loads(f.readall() or b"[]"))
+        # attempts that still run cannot move anything from here on
         self._drop(store, root)
+        for name in names:
+            if store.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:
+                store.delete_file(f"{root}/{name}")
 
     def _drop(self, store: pafs.FileSystem, root: str) -> None:
         staged = f"{root}/_staged-{self.run}"
@@ -125,7 +130,7 @@ def write_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(folder, filename, bytes)`` of the files that :func:`write_files` wrote, folders of one level."""
+    """``(folder, filename, bytes)`` of the files that :func:`write_files` wrote; Spark passes empty files over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = re.sub(r"^[a-z0-9]+:/*|^/+|/+$", "", path)
     inside = F.substring_index("path", f"{root}/", -1)

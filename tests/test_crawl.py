@@ -174,3 +174,37 @@ def test_robots_corners_as_the_standard_parser(spark):
         for u in urls:
             own = u.replace("e.com", f"h{i}.com")
             assert ((i, own) in allowed) == parser.can_fetch("*", own), (text, own)
+
+
+def test_a_store_is_not_moved(spark, monkeypatch):
+    from leafpress.sources import store as S
+
+    html = "<html><body><article><p>Page {} of the store, long enough to be kept.</p><a href='/{}'>next</a></article></body></html>"
+    rows = [(i, f"https://e.com/{i}", html.format(i, i + 1)) for i in range(60)] + [(-1, "https://e.com/3", "old")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    store = S.write_store(pages, buckets=16)
+    assert store.pages.count() == 60
+    seeds = spark.createDataFrame([(7, "https://e.com/0")], "seed_id long, url string")
+    want = [(i, i, i + 1) for i in range(5)]
+    for few in (1000, 0):
+        monkeypatch.setattr(S, "FEW", few)
+        got = C.crawl_pages(store, seeds, max_depth=4).orderBy("crawl_order").collect()
+        assert [(r.page_id, r.crawl_depth, r.crawl_order) for r in got] == want
+    urls = spark.createDataFrame([(f"https://e.com/{i}",) for i in range(0, 60, 2)], "url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.look_up(urls)
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert found.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the one exchange is that of the URLs, and the scan reads its buckets as they lie
+    lines = plan.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "parquet" in line and "Bucketed: true" in line)
+    above = [line for line in lines[:scan] if "Exchange" in line]
+    assert len([line for line in lines if "Exchange" in line]) <= 1 and not above
+    monkeypatch.setattr(S, "FEW", 1000)
+    plan = store.look_up(urls.limit(2))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "SelectedBucketsCount: " in plan and "SelectedBucketsCount: 16 out of 16" not in plan
+    store.drop()

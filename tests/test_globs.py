@@ -72,3 +72,12 @@ def test_parse(spark):
     row = spark.range(1).select(G.glob_patterns(F.lit(P + "{a, b}/[001-100:5]/[x-z]")).alias("p")).first().p
     assert [(x.pattern, x.type) for x in row] == [("[001-100:5]", "numeric_range"), ("[x-z]", "alpha_range"), ("{a, b}", "list")]
     assert (row[0].pad, row[0].step, row[2]["items"]) == (3, 5, ["a", "b"])
+
+
+def test_a_line_is_expanded_or_rejected(spark):
+    lines = ["{,https:}//h/[1-2]", "{http:,}/x/[1-2]", "http://{,h.com}/", "http://h/[1-3:0]", "http://h/[2-1]", "plain"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no int, url string")
+    got = {}
+    for r in G.expand_list(df, keep_rejected=True).collect():
+        got.setdefault(r.line_no, set()).add(r.status)
+    assert got == {0: {"ok"}, 1: {"rejected"}, 2: {"ok"}, 3: {"rejected"}, 5: {"ok"}}

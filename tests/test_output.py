@@ -1,6 +1,7 @@
 import json
 from functools import reduce
 
+import pytest
 from pyspark.sql import functions as F
 
 from leafpress.functions import tex as X
@@ -12,6 +13,7 @@ from leafpress.operators.math import normalize_math
 from leafpress.operators.report import observe_progress
 from leafpress.plans.batch import run_batch
 from leafpress.sources import sinks, url_lists
+from leafpress.sources.file_sink import FileWriter, read_files, write_files
 from leafpress.streaming.pages import extract_stream
 
 
@@ -211,3 +213,51 @@ def test_batch_with_images(spark, tmp_path):
     document = spark.read.parquet(str(tmp_path / "out")).first().document
     assert f"](img/{name})" in document and "b.png)" in document
     assert [bytes(r.bytes) for r in spark.read.parquet(str(tmp_path / "img")).collect()] == [b"x"]
+
+
+def test_files_of_their_own(spark, tmp_path):
+    out = str(tmp_path / "files")
+    rows = [("h.example.com", f"{i:03d}.md", bytearray(f"text {i}".encode())) for i in range(40)] + [("", "top ü+%.bin", bytearray(b"\0\1")), (None, "none", None)]
+    df = spark.createDataFrame(rows, "folder string, filename string, bytes binary").repartition(4)
+    write_files(df, out)
+    back = {(r.folder, r.filename): bytes(r.bytes) for r in read_files(spark, out).collect()}
+    # an empty file is written, but Spark's reader passes it over
+    assert back == {(f or "", n): bytes(b) for f, n, b in rows if b}
+    assert (tmp_path / "files" / "none").stat().st_size == 0
+    assert (tmp_path / "files" / "_SUCCESS").read_text() == "42" and not list((tmp_path / "files").glob("_staged*"))
+    write_files(df.limit(1), out)  # overwrites
+    assert read_files(spark, out).count() == 1
+
+
+def test_a_job_that_fails_leaves_no_files(spark, tmp_path):
+    out = str(tmp_path / "files")
+    df = spark.range(100, numPartitions=4).select(F.lit("f").alias("folder"), F.concat("id", F.lit(".md")).alias("filename"), F.raise_error(F.lit("odd")).alias("e"), "id")
+    bad = df.select("folder", "filename", F.when(F.col("id") == 99, F.col("e").cast("binary")).otherwise(F.lit(b"x")).alias("bytes"))
+    with pytest.raises(Exception, match="odd"):
+        write_files(bad, out)
+    assert read_names(tmp_path / "files") == []
+
+
+def read_names(folder):
+    return sorted(p.name for p in folder.rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
+
+
+def test_a_repeated_task_leaves_no_double(tmp_path):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"folder": ["a", "a"], "filename": ["1", "2"], "bytes": [b"x", b"y"]})
+    writer = FileWriter(str(tmp_path), "run")
+    messages = [writer.write(iter([batch])), writer.write(iter([batch]))]
+    writer.commit(messages[-1:])
+    assert read_names(tmp_path) == ["1", "2"]
+    again = FileWriter(str(tmp_path), "other")
+    again.abort([again.write(iter([batch])), None])
+    assert read_names(tmp_path) == []
+
+
+def test_image_mappings_of_pages_without_an_id(spark):
+    html = "<p><img src='/a.png' alt='A'></p>"
+    pages = spark.createDataFrame([(None, "https://e.com/1", html), (None, "https://f.com/2", html), (7, "https://e.com/3", html), (7, "https://f.com/4", html)], "page_id long, url string, html string")
+    tries = spark.createDataFrame([("https://e.com/a.png", 1, 200)], "url string, attempt int, status int")
+    got = {r.url: r.image_mappings for r in I.with_image_mappings(extract_pages(pages, extract_images=True), I.fetch_outcome(tries)).collect()}
+    assert {u: bool(m) for u, m in got.items()} == {"https://e.com/1": True, "https://f.com/2": False, "https://e.com/3": True, "https://f.com/4": False}
