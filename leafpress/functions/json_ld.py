@@ -13,8 +13,6 @@ the first node that has the property wins.  Where a value is a reference
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,8 +80,8 @@ def _of(every: Column, types: tuple[str, ...]) -> Column:
     return F.filter(every, lambda n: F.arrays_overlap(_types(n), F.array(*map(F.lit, types))))
 
 
-def _clean(text: Column) -> Column:
-    return F.nullif(collapse_spaces(H.decode_entities(text)), F.lit(""))
+def _filled(text: Column) -> Column:
+    return F.when(F.trim(text) != "", text)
 
 
 def _names(v: Column, every: Column) -> Column:
@@ -92,48 +90,64 @@ def _names(v: Column, every: Column) -> Column:
     def name(x: Column) -> Column:
         referred = F.get(F.filter(every, lambda n: (_at(n, "@id", "string") == _at(x, "@id", "string")) & _at(n, "name").isNotNull()), F.lit(0))
         own = F.coalesce(_at(x, "name", "string"), _at(referred, "name", "string"))
-        return _clean(F.when(_is_object(x), own).otherwise(F.try_variant_get(x, "$", "string")))
+        return _filled(F.when(_is_object(x), own).otherwise(F.try_variant_get(x, "$", "string")))
 
     return F.filter(F.transform(_many(v), name), lambda t: t.isNotNull())
 
 
-def _first(found: Column, read: Callable[[Column], Column]) -> Column:
-    return F.get(F.filter(F.transform(found, read), lambda x: x.isNotNull()), F.lit(0))
+def _said(about: Column, every: Column) -> Column:
+    """For each node its names by property: one expression for all properties."""
+    properties = F.array(*map(F.lit, _PROPERTIES))
+
+    def of(n: Column) -> Column:
+        return F.transform(properties, lambda k: _names(F.try_variant_get(n, F.concat(F.lit("$['"), k, F.lit("']")), "variant"), every))
+
+    return F.transform(about, of)
+
+
+# Properties that are read, and how a language is named within its object.
+_PROPERTIES = (
+    "headline", "name", "author", "creator", "datePublished", "dateCreated", "dateModified", "description", "publisher", "inLanguage",
+    "articleSection", "keywords",
+)
 
 
 def structured(html: Column) -> Column:
     """Struct of ``scripts``, ``broken`` (counts), and what the nodes say: title, author (names joined by ``; ``), date,
     description, sitename, language (primary tag), categories and tags, NULL where nothing is said."""
 
+    def first(said: Column, *keys: str) -> Column:
+        """Names of the first of the properties that the first node with any of them has."""
+        at = [_PROPERTIES.index(k) for k in keys]
+        own = F.transform(said, lambda n: F.coalesce(*[F.when(F.size(F.get(n, i)) > 0, F.get(n, i)) for i in at]))
+        return F.get(F.filter(own, lambda x: x.isNotNull()), F.lit(0))
+
     def told(every: Column) -> Column:
-        own = F.concat(_of(every, ARTICLES), _of(every, PAGES))
-
-        def with_own(about: Column) -> Column:
-            def text(*keys: str) -> Column:
-                return _first(about, lambda n: F.coalesce(*[_clean(F.get(_names(_at(n, k), every), F.lit(0))) for k in keys]))
-
-            def listed(key: str) -> Column:
-                parts = lambda n: F.flatten(F.transform(_names(_at(n, key), every), lambda t: F.split(t, r"\s*,\s*")))
-                useful = lambda n: F.filter(F.transform(parts(n), lambda t: F.trim(t)), lambda t: t != "")
-                return _first(about, lambda n: let(useful(n), lambda ts: F.when(F.size(ts) > 0, ts)))
-
-            def author(n: Column) -> Column:
-                return F.nullif(F.array_join(F.coalesce(F.nullif(_names(_at(n, "author"), every), F.array().cast("array<string>")), _names(_at(n, "creator"), every)), "; "), F.lit(""))
-
-            publisher = _first(about, lambda n: F.get(_names(_at(n, "publisher"), every), F.lit(0)))
-            site = _first(_of(every, SITES), lambda n: F.get(_names(_at(n, "name"), every), F.lit(0)))
-            spoken = lambda n: F.coalesce(
-                _at(F.get(_many(_at(n, "inLanguage")), F.lit(0)), "alternateName", "string"), F.get(_names(_at(n, "inLanguage"), every), F.lit(0))
-            )
-            return F.struct(
-                text("headline", "name").alias("title"), _first(about, author).alias("author"),
-                text("datePublished", "dateCreated", "dateModified").alias("date"), text("description").alias("description"),
-                F.coalesce(publisher, site).alias("sitename"),
-                F.nullif(F.lower(F.regexp_extract(_first(about, spoken), r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1)), F.lit("")).alias("language"),
-                listed("articleSection").alias("categories"), listed("keywords").alias("tags"),
+        def from_all(said: Column) -> Column:
+            alone = lambda names: F.slice(names, 1, 1)
+            site = F.get(F.filter(F.transform(_of(every, SITES), lambda n: _names(_at(n, "name"), every)), lambda x: F.size(x) > 0), F.lit(0))
+            tagged = F.transform(F.concat(_of(every, ARTICLES), _of(every, PAGES)), lambda n: _at(F.get(_many(_at(n, "inLanguage")), F.lit(0)), "alternateName", "string"))
+            spoken = F.get(F.filter(tagged, lambda x: x.isNotNull()), F.lit(0))
+            split = lambda names: F.flatten(F.transform(names, lambda t: F.split(t, r"\s*,\s*")))
+            raw = F.array(
+                alone(first(said, "headline", "name")), first(said, "author", "creator"), alone(first(said, "datePublished", "dateCreated", "dateModified")),
+                alone(first(said, "description")), alone(F.coalesce(first(said, "publisher"), site)),
+                F.coalesce(F.when(spoken.isNotNull(), F.array(spoken)), first(said, "inLanguage")), split(first(said, "articleSection")), split(first(said, "keywords")),
             )
-
-        return let(own, with_own)
+            # character references are decoded once for all fields
+            clean = F.transform(raw, lambda names: F.filter(F.transform(names, lambda t: collapse_spaces(H.decode_entities(t))), lambda t: t != ""))
+            return let(clean, as_fields)
+
+        return let(_said(F.concat(_of(every, ARTICLES), _of(every, PAGES)), every), from_all)
+
+    def as_fields(v: Column) -> Column:
+        one = lambda i: F.get(F.get(v, i), F.lit(0))
+        many = lambda i: F.when(F.size(F.get(v, i)) > 0, F.get(v, i))
+        return F.struct(
+            one(0).alias("title"), F.array_join(many(1), "; ").alias("author"), one(2).alias("date"), one(3).alias("description"), one(4).alias("sitename"),
+            F.nullif(F.lower(F.regexp_extract(one(5), r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", 1)), F.lit("")).alias("language"),
+            many(6).alias("categories"), many(7).alias("tags"),
+        )
 
     def read(bodies: Column) -> Column:
         broken = F.size(F.filter(bodies, lambda b: F.try_parse_json(b).isNull()))
