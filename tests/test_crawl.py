@@ -206,5 +206,5 @@ def test_a_store_is_not_moved(spark, monkeypatch):
     assert len([line for line in lines if "Exchange" in line]) <= 1 and not above
     monkeypatch.setattr(S, "FEW", 1000)
     plan = store.look_up(urls.limit(2))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
-    assert "SelectedBucketsCount: " in plan and "SelectedBucketsCount: 16 out of 16" not in plan
+    assert "PushedFilters: [In(url, [" in plan and "Exchange" not in plan
     store.drop()
