@@ -71,13 +71,16 @@ def nodes(bodies: Column) -> Column:
     return F.flatten(F.transform(tops, lambda t: F.concat(F.array(t), F.filter(_many(_at(t, "@graph")), _is_object))))
 
 
-def _types(node: Column) -> Column:
-    """Types of a node without the address of the vocabulary."""
-    return F.transform(_many(_at(node, "@type")), lambda t: F.regexp_extract(F.try_variant_get(t, "$", "string"), r"([^/#:]*)$", 1))
+def _placed(every: Column) -> Column:
+    """Places of the nodes that are articles, pages or sites, in this order: kind (0 to 2), place, whether it is a site."""
 
+    def place(n: Column, i: Column) -> Column:
+        # types without the address of the vocabulary
+        types = F.transform(_many(_at(n, "@type")), lambda t: F.regexp_extract(F.try_variant_get(t, "$", "string"), r"([^/#:]*)$", 1))
+        among = F.transform(F.array(*[F.lit(",".join(k)) for k in (ARTICLES, PAGES, SITES)]), lambda k: F.exists(types, lambda t: F.find_in_set(t, k) > 0))
+        return let(among, lambda m: F.struct((F.array_position(m, True) - 1).alias("kind"), i.alias("i"), F.get(m, 2).alias("site")))
 
-def _of(every: Column, types: tuple[str, ...]) -> Column:
-    return F.filter(every, lambda n: F.arrays_overlap(_types(n), F.array(*map(F.lit, types))))
+    return F.sort_array(F.filter(F.transform(every, place), lambda p: p["kind"] >= 0))
 
 
 def _filled(text: Column) -> Column:
@@ -95,14 +98,16 @@ def _names(v: Column, every: Column) -> Column:
     return F.filter(F.transform(_many(v), name), lambda t: t.isNotNull())
 
 
-def _said(about: Column, every: Column) -> Column:
-    """For each node its names by property: one expression for all properties."""
-    properties = F.array(*map(F.lit, _PROPERTIES))
+def _known(every: Column) -> Column:
+    """The articles, pages and sites: kind, site, names by property, name of the language's object."""
+    properties = F.split(F.lit(" ".join(_PROPERTIES)), " ")
 
-    def of(n: Column) -> Column:
-        return F.transform(properties, lambda k: _names(F.try_variant_get(n, F.concat(F.lit("$['"), k, F.lit("']")), "variant"), every))
+    def of(p: Column, n: Column) -> Column:
+        said = F.transform(properties, lambda k: _names(F.try_variant_get(n, F.concat(F.lit("$['"), k, F.lit("']")), "variant"), every))
+        spoken = _at(F.get(_many(_at(n, "inLanguage")), F.lit(0)), "alternateName", "string")
+        return F.struct(p["kind"].alias("kind"), p["site"].alias("site"), said.alias("said"), spoken.alias("spoken"))
 
-    return F.transform(about, of)
+    return F.transform(_placed(every), lambda p: of(p, F.get(every, p["i"])))
 
 
 # Properties that are read, and how a language is named within its object.
@@ -122,23 +127,23 @@ def structured(html: Column) -> Column:
         own = F.transform(said, lambda n: F.coalesce(*[F.when(F.size(F.get(n, i)) > 0, F.get(n, i)) for i in at]))
         return F.get(F.filter(own, lambda x: x.isNotNull()), F.lit(0))
 
-    def told(every: Column) -> Column:
+    def told(known: Column) -> Column:
+        about = F.filter(known, lambda n: n["kind"] < 2)
+
         def from_all(said: Column) -> Column:
-            alone = lambda names: F.slice(names, 1, 1)
-            site = F.get(F.filter(F.transform(_of(every, SITES), lambda n: _names(_at(n, "name"), every)), lambda x: F.size(x) > 0), F.lit(0))
-            tagged = F.transform(F.concat(_of(every, ARTICLES), _of(every, PAGES)), lambda n: _at(F.get(_many(_at(n, "inLanguage")), F.lit(0)), "alternateName", "string"))
-            spoken = F.get(F.filter(tagged, lambda x: x.isNotNull()), F.lit(0))
-            split = lambda names: F.flatten(F.transform(names, lambda t: F.split(t, r"\s*,\s*")))
+            site = F.get(F.filter(F.transform(F.filter(known, lambda n: n["site"]), lambda n: F.get(n["said"], _PROPERTIES.index("name"))), lambda x: F.size(x) > 0), F.lit(0))
+            spoken = F.get(F.filter(F.transform(about, lambda n: n["spoken"]), lambda x: x.isNotNull()), F.lit(0))
             raw = F.array(
-                alone(first(said, "headline", "name")), first(said, "author", "creator"), alone(first(said, "datePublished", "dateCreated", "dateModified")),
-                alone(first(said, "description")), alone(F.coalesce(first(said, "publisher"), site)),
-                F.coalesce(F.when(spoken.isNotNull(), F.array(spoken)), first(said, "inLanguage")), split(first(said, "articleSection")), split(first(said, "keywords")),
+                first(said, "headline", "name"), first(said, "author", "creator"), first(said, "datePublished", "dateCreated", "dateModified"),
+                first(said, "description"), F.coalesce(first(said, "publisher"), site),
+                F.coalesce(F.when(spoken.isNotNull(), F.array(spoken)), first(said, "inLanguage")), first(said, "articleSection"), first(said, "keywords"),
             )
-            # character references are decoded once for all fields
-            clean = F.transform(raw, lambda names: F.filter(F.transform(names, lambda t: collapse_spaces(H.decode_entities(t))), lambda t: t != ""))
+            # one name alone, or the parts of lists with commas; character references are decoded once for all fields
+            cut = F.transform(raw, lambda names, i: F.when(i.isin(0, 2, 3, 4), F.slice(names, 1, 1)).when(i > 5, F.flatten(F.transform(names, lambda t: F.split(t, r"\s*,\s*")))).otherwise(names))
+            clean = F.transform(cut, lambda names: F.filter(F.transform(names, lambda t: collapse_spaces(H.decode_entities(t))), lambda t: t != ""))
             return let(clean, as_fields)
 
-        return let(_said(F.concat(_of(every, ARTICLES), _of(every, PAGES)), every), from_all)
+        return let(F.transform(about, lambda n: n["said"]), from_all)
 
     def as_fields(v: Column) -> Column:
         one = lambda i: F.get(F.get(v, i), F.lit(0))
@@ -153,7 +158,7 @@ def structured(html: Column) -> Column:
         broken = F.size(F.filter(bodies, lambda b: F.try_parse_json(b).isNull()))
         return F.when(
             F.size(bodies) > 0,
-            let(let(nodes(bodies), told), lambda t: F.struct(F.size(bodies).alias("scripts"), broken.alias("broken"), *[t[f].alias(f) for f in FIELDS])),
+            let(let(let(nodes(bodies), _known), told), lambda t: F.struct(F.size(bodies).alias("scripts"), broken.alias("broken"), *[t[f].alias(f) for f in FIELDS])),
         )
 
     return let(scripts(html), read)

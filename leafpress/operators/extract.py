@@ -343,8 +343,8 @@ def extract_pages(
     """
     fmt = format_name(output_format)
     include_images = include_images or extract_images
-    body, long, known, lang, failed = free_names(pages, "_body", "_long", "_known", "_lang", "_math_error")
-    source = pages.withColumn(long, F.lit(False))
+    body, long, known, lang, failed, meta = free_names(pages, "_body", "_long", "_known", "_lang", "_math_error", "_meta")
+    source = pages
     if max_chars is not None:
         source = pages.withColumn(long, F.coalesce(F.length("html") > max_chars, F.lit(False)))
         source = source.withColumn("html", F.when(~F.col(long), F.col("html")))
@@ -369,32 +369,37 @@ def extract_pages(
         ship_package(pages.sparkSession)
         out = with_computed(out, known, told_language(html, F.col(body)))
         out = out.withColumn(lang, F.coalesce(F.col(known), by_ngrams(F.when(F.col(known).isNull(), F.col(body)))))
-    if with_metadata:
-        out = out.withColumn("metadata", metadata_of("html", "url" if "url" in pages.columns else None))
-    out = out.drop("html")
-    too_long = F.when(F.col(long), F.lit(f"page of more than {max_chars} characters"))
-    status = F.when(F.col(long), F.lit("error")).when(F.col(body).isNull(), F.lit("no_page")).when(F.trim(body) == "", F.lit("empty"))
+    too_long = F.when(F.col(long), F.lit(f"page of more than {max_chars} characters")) if max_chars is not None else F.lit(None).cast("string")
+    status = F.when(F.col(body).isNull(), F.lit("no_page")).when(F.trim(body) == "", F.lit("empty"))
+    if max_chars is not None:
+        status = F.when(F.col(long), F.lit("error")).otherwise(status)
     if target_lang:
-        status = status.when(F.coalesce(F.col(lang), F.lit("")) != primary_tag(target_lang), F.lit("lang_mismatch"))
-    error = F.coalesce(too_long, F.col(failed)) if process_math else too_long
-    out = out.withColumn("status", status.otherwise(F.lit("ok"))).withColumn("error", error).withColumn("format", F.lit(output_format))
-    ok = F.col("status") == "ok"
-    return (
-        out.withColumn("content", F.when(ok, _as_format(out, body, fmt, with_metadata)))
-        .withColumn("metadata", F.when(ok, F.col("metadata")) if with_metadata else F.lit(None))
-        .drop(body, long, known, lang, failed)
-    )
-
-
-def _as_format(df: DataFrame, text: str, fmt: str, with_metadata: bool) -> Column:
+        status = F.when(status.isNull() & (F.coalesce(F.col(lang), F.lit("")) != primary_tag(target_lang)), F.lit("lang_mismatch")).otherwise(status)
+    ok = status.isNull()
+    told = F.when(ok, metadata_of("html", "url" if "url" in pages.columns else None)) if with_metadata else F.lit(None)
+    if with_metadata and fmt not in ("markdown", "txt"):
+        # a record reads every field: computed once
+        out = with_computed(out, meta, told)
+        told = F.col(meta)
+    made = {
+        "metadata": told, "status": F.coalesce(status, F.lit("ok")), "error": F.coalesce(too_long, F.col(failed)) if process_math else too_long,
+        "format": F.lit(output_format), "content": F.when(ok, _as_format(out, body, fmt, meta if with_metadata else None)),
+    }
+    inner = {"html", body, long, known, lang, failed, meta, *made}
+    # one projection: each further one would be analysed with all of these expressions again
+    passed = [F.col("`" + c.replace("`", "``") + "`") for c in out.columns if c.lower() not in inner]
+    return out.select(*passed, *[c.alias(name) for name, c in made.items()])
+
+
+def _as_format(df: DataFrame, text: str, fmt: str, meta: str | None) -> Column:
     """Body text, or one JSON, XML or CSV record that holds text and metadata."""
     body = F.col(text)
     if fmt in ("markdown", "txt"):
         return body
     cols = []
-    if with_metadata:
-        cols += [F.col(f"metadata.{c}").alias(c) for c in ("title", "author", "date", "description", "sitename", "hostname", "language")]
-        cols += [F.array_join(F.col(f"metadata.{c}"), ";").alias(c) for c in ("categories", "tags")]
+    if meta:
+        cols += [F.col(f"{meta}.{c}").alias(c) for c in ("title", "author", "date", "description", "sitename", "hostname", "language")]
+        cols += [F.array_join(F.col(f"{meta}.{c}"), ";").alias(c) for c in ("categories", "tags")]
     if "url" in df.columns:
         cols.append(F.col("url"))
     record = F.struct(*cols, body.alias("text"))

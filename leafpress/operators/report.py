@@ -33,17 +33,15 @@ def crawl_document(results: DataFrame, output_format: str = "markdown") -> DataF
 
     The parts of a seed, put together in order, are the document: each holds its
     header and the line break that follows the part before it.  A crawl of any
-    size stays a distributed table and is not gathered into one value.
+    size stays a distributed table and is not gathered into one value.  ``results`` are those of
+    whole walks: the page of order 1 is there and opens the document.
     """
     full = F.coalesce("content", F.lit("")) != ""
     order, depth = F.coalesce("crawl_order", F.lit(0)), F.coalesce("crawl_depth", F.lit(0))
     header = page_header(order, depth, F.coalesce("url", F.lit("Unknown URL")), output_format == "markdown")
-    first = results.filter(full).groupBy("seed_id").agg(F.min("crawl_order").alias("_first"))
-    from leafpress.operators.skew import skew_join
-
-    joined = skew_join(results.filter(full), first, ["seed_id"], "left")
-    lead = F.when(F.col("crawl_order") == F.col("_first"), F.lit("")).otherwise(F.lit("\n"))
-    return joined.select("seed_id", F.col("crawl_order").alias("part_no"), F.concat(lead, header, "content").alias("part"))
+    # a walk numbers its extracted pages from 1, and each of them has content
+    lead = F.when(order <= 1, F.lit("")).otherwise(F.lit("\n"))
+    return results.filter(full).select("seed_id", F.col("crawl_order").alias("part_no"), F.concat(lead, header, "content").alias("part"))
 
 
 def crawl_summary(results: DataFrame) -> DataFrame:
