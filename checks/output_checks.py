@@ -21,6 +21,7 @@ from leafpress.session import cut_lineage, ensure_checkpoint_dir
 from leafpress.sources.file_sink import read_files, write_files
 from leafpress.sources.html_files import extract_files, read_html_files
 from leafpress.sources.pages import resolve_pages
+from leafpress.streaming.pages import live_progress, watched
 
 BASE = "CASE p_partkey % 3 WHEN 0 THEN concat('https://i.example.com/d', p_size) WHEN 1 THEN concat('https://i.example.com/d', p_size, '/') ELSE concat('https://i.example.com/d', p_size, '/page.html') END"
 DIR = "CASE p_partkey % 3 WHEN 0 THEN 'https://i.example.com/d' || p_size || '/' WHEN 1 THEN 'https://i.example.com/d' || p_size || '/' ELSE 'https://i.example.com/d' || p_size || '/' END"
@@ -200,6 +201,19 @@ def last_status(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.netloc(F.col("url")).alias("host"), F.expr(src).alias("status"))
 
 
+def progress_live(spark, sf):
+    """The last row of a watched stream over the statuses, which come in eight files, one for each micro-batch."""
+    path = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    statuses = last_status(spark, sf)
+    statuses.repartition(8, "page_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(statuses.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    query = watched(stream).writeStream.format("noop").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    *_, last = live_progress(query)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.createDataFrame([last], "total long, completed long, failed long, success_rate double, percentage double")
+
+
 STATUS = "st AS (SELECT regexp_extract(url, '//([^/?#]*)', 1) AS host, CASE WHEN page_id % 5 <> 0 OR page_id % 4 = 2 THEN 'ok' WHEN page_id % 3 = 0 THEN NULL ELSE 'error' END AS status FROM pages)"
 PROGRESS = """count(*) AS total, count(status) AS completed, count(*) FILTER (WHERE status <> 'ok') AS failed,
   CASE WHEN count(status) > 0 THEN (count(status) - count(*) FILTER (WHERE status <> 'ok')) / count(status) * 100 ELSE 0.0 END AS success_rate, count(status) / count(*) * 100 AS percentage FROM st"""
@@ -326,6 +340,7 @@ QUERIES = {
     "failure_isolation": failure_isolation,
     "drop_failed": dropped,
     "progress_summary": lambda s, sf: progress(last_status(s, sf)),
+    "progress_live": progress_live,
     "progress_by_host": lambda s, sf: progress(last_status(s, sf), ["host"]),
 }
 HOSTNAME = "regexp_extract(url, '//([^/?#]*)', 1)"
@@ -385,5 +400,6 @@ SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'no_page' WHEN 1 THEN 'empty' WHEN
 FROM c""",
     "drop_failed": f"WITH {content_sql()} SELECT page_id, url, length(content) AS n FROM content JOIN pages USING (page_id) WHERE page_id % 4 <> 1",
     "progress_summary": f"WITH {STATUS} SELECT {PROGRESS}",
+    "progress_live": f"WITH {STATUS} SELECT {PROGRESS}",
     "progress_by_host": f"WITH {STATUS} SELECT host, {PROGRESS} GROUP BY host",
 }

@@ -10,7 +10,12 @@ Keep rule (ours):
   aside, form, an outer header and any ad-like element, and less than half of
   its characters are link text;
 * precision: in addition it lies in article or main if the page has one, and is
-  a heading or has at least 25 characters.
+  a heading or has at least 25 characters;
+* context: as precision, but a page's blocks are decided together.  Keeping a block gains
+  its characters (100 at most) less 25, a heading gains 10, a block that may not be kept never is;
+  each change from kept to dropped or back along the page costs 15.  The choice with the
+  greatest sum is taken, with ties for keeping: a short line between kept blocks stays,
+  two of them in a row or one among dropped blocks do not.
 
 An element is ad-like if its class or id holds one of the words ad, ads, advert,
 promo, cookie, share or sponsor; a comment section if it holds comment(s).
@@ -18,6 +23,8 @@ promo, cookie, share or sponsor; a comment section if it holds comment(s).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,10 @@ from leafpress.session import ship_package
 
 MIN_PRECISE_CHARS = 25
 MAX_LINK_SHARE = 0.5
+FULL_CHARS = 100
+HEADING_GAIN = 10
+CHANGE_COST = 15
+_NEVER = -1_000_000
 
 _CONTAINERS = ("nav", "footer", "aside", "form", "header", "article", "table", "blockquote")
 _FLAGGABLE = "div|section|aside|ul|ol|article|figure"
@@ -225,6 +236,37 @@ def is_content(block: Column) -> Column:
     return outside & (block["link_chars"] < block["chars"] * MAX_LINK_SHARE)
 
 
+def _best_choice(found: Column, allowed: Callable[[Column], Column]) -> Column:
+    """The blocks of the choice with the greatest sum of gains less changes (two states, forward and back over the page).
+
+    Forward, each block leaves three bits: whether the best way to keep it comes from a kept one (1),
+    whether the best way to drop it does (2), and whether keeping it is the better end (4).
+    """
+    has_article = F.exists(found, lambda b: b["in_article"])
+
+    def gain(b: Column) -> Column:
+        own = F.when(b["kind"].rlike("^h[1-6]$"), HEADING_GAIN).otherwise(F.least(b["chars"], F.lit(FULL_CHARS)) - MIN_PRECISE_CHARS)
+        return F.when(allowed(b) & (b["in_article"] | ~has_article), own).otherwise(_NEVER).cast("bigint")
+
+    def forward(s: Column, g: Column) -> Column:
+        stay, leave = s["keep"] >= s["drop"] - CHANGE_COST, s["keep"] - CHANGE_COST >= s["drop"]
+        keep = F.greatest(s["keep"], s["drop"] - CHANGE_COST) + g
+        drop = F.greatest(s["drop"], s["keep"] - CHANGE_COST)
+        bits = F.when(stay, 1).otherwise(0) + F.when(leave, 2).otherwise(0) + F.when(keep >= drop, 4).otherwise(0)
+        return F.struct(keep.alias("keep"), drop.alias("drop"), bits.cast("bigint").alias("bits"))
+
+    def back(s: Column, bits: Column) -> Column:
+        def has(bit: int) -> Column:
+            return bits.bitwiseAND(F.lit(bit).cast("bigint")) != 0
+
+        return let(F.coalesce(s["before"], has(4)), lambda kept: F.struct(kept.alias("kept"), F.when(kept, has(1)).otherwise(has(2)).alias("before")))
+
+    ways = scan(F.transform(found, gain), F.expr("named_struct('keep', 0L, 'drop', 0L, 'bits', 0L)"), forward, lambda s: s["bits"])
+    start = F.expr("named_struct('kept', false, 'before', cast(null as boolean))")
+    marks = F.reverse(scan(F.reverse(ways), start, back, lambda s: s["kept"].cast("int")))
+    return let(marks, lambda m: F.filter(found, lambda b, i: F.get(m, i) == 1))
+
+
 def keep_blocks(
     found: Column,
     include_tables: bool = True,
@@ -232,6 +274,7 @@ def keep_blocks(
     include_images: bool = False,
     deduplicate: bool = True,
     favor_precision: bool = False,
+    keep_context: bool = False,
 ) -> Column:
     """The blocks that make up the main content, in page order."""
 
@@ -245,6 +288,8 @@ def keep_blocks(
         return ok
 
     def choose(bs: Column) -> Column:
+        if keep_context:
+            return _best_choice(bs, rule)
         kept = F.filter(bs, rule)
         if not favor_precision:
             return kept
@@ -291,11 +336,12 @@ def plain_text(kept: Column) -> Column:
 
 @built_once
 def page_body(
-    html: str, markup: bool, links: bool, images: bool, formatting: bool, tables: bool, comments: bool, deduplicate: bool, precise: bool
+    html: str, markup: bool, links: bool, images: bool, formatting: bool, tables: bool, comments: bool, deduplicate: bool, precise: bool,
+    context: bool,
 ) -> Column:
     """Text of the kept blocks of the page in column ``html``."""
     found = blocks(F.col(html), links, images, formatting)
-    kept = keep_blocks(found, tables, comments, images, deduplicate, precise)
+    kept = keep_blocks(found, tables, comments, images, deduplicate, precise, context)
     return let(kept, markdown if markup else plain_text)
 
 
@@ -329,6 +375,7 @@ def extract_pages(
     with_metadata: bool = True,
     extract_images: bool = False,
     favor_precision: bool = False,
+    keep_context: bool = False,
     max_chars: int | None = None,
 ) -> DataFrame:
     """Clean content and metadata of every page.
@@ -336,6 +383,7 @@ def extract_pages(
     ``pages`` has ``html`` and any of ``page_id``, ``url``, ``file`` and further
     columns, which are passed through.  A page that gives nothing is kept with a
     status (no_page, empty, lang_mismatch, error); :func:`drop_failed` removes those.
+    ``keep_context`` decides a page's blocks together (above) and takes the place of ``favor_precision``.
     ``max_chars`` bounds the work on one page: a longer page is not read, has the status
     error, and ``error`` says why.  ``error`` is also set where the math step raised on an element;
     that element stays as it was, and the rest of the page is extracted.
@@ -358,7 +406,7 @@ def extract_pages(
         body,
         page_body(
             "html", fmt == "markdown", include_links, include_images, include_formatting,
-            include_tables, include_comments, deduplicate, favor_precision,
+            include_tables, include_comments, deduplicate, favor_precision, keep_context,
         ),
     )
     if extract_images and fmt == "markdown":

@@ -1,3 +1,7 @@
+import itertools
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from language_sentences import SENTENCES
@@ -179,3 +183,36 @@ def test_no_shuffle_in_extraction(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
     plan = X.drop_failed(X.extract_pages(df))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def best_choice(gains, cost):
+    """Every choice tried; of equal sums that which keeps the later blocks."""
+
+    def worth(kept):
+        return sum(g for g, k in zip(gains, kept) if k) - cost * sum(a != b for a, b in zip(kept, kept[1:]))
+
+    return max(itertools.product([False, True], repeat=len(gains)), key=lambda kept: (worth(kept), kept[::-1]))
+
+
+def test_context_is_the_best_choice(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for page in range(60):
+        blocks = [(rng.choice(["p", "p", "p", "h2", "nav"]), "".join(rng.choices("abcdefg", k=rng.choice([1, 4, 9, 20, 25, 26, 60, 130])))) for _ in range(rng.randint(0, 10))]
+        blocks = [(kind, f"{i}{text}") for i, (kind, text) in enumerate(blocks)]
+        rows.append((page, "".join(f"<{k}>{t}</{k}>" for k, t in blocks)))
+        gains = [-(10**6) if k == "nav" else 10 if k == "h2" else min(len(t), 100) - 25 for k, t in blocks]
+        kept = best_choice(gains, 15)
+        want[page] = "\n".join(t for (_, t), k in zip(blocks, kept) if k)
+    df = spark.createDataFrame([*rows, (-1, None)], "page_id bigint, html string")
+    got = X.extract_pages(df, output_format="txt", keep_context=True, with_metadata=False).collect()
+    assert {r.page_id: r.content or "" for r in got if r.page_id >= 0} == want
+    assert [r.status for r in got if r.page_id == -1] == ["no_page"]
+    assert any("\n" in t for t in want.values())
+
+
+def test_columns_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "<p>Some text</p>", "a", "b", 3)], "page_id bigint, HTML string, Status string, `a``b.c` string, _meta int")
+    row = X.extract_pages(df, output_format="json").first()
+    assert row.status == "ok" and row["a`b.c"] == "b" and row["_meta"] == 3 and json.loads(row.content)["text"] == "Some text"
+    assert "HTML" not in row.asDict() and "Status" not in row.asDict()

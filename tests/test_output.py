@@ -14,7 +14,7 @@ from leafpress.operators.report import observe_progress
 from leafpress.plans.batch import run_batch
 from leafpress.sources import sinks, url_lists
 from leafpress.sources.file_sink import FileWriter, read_files, write_files
-from leafpress.streaming.pages import extract_stream
+from leafpress.streaming.pages import extract_stream, live_progress, watched
 
 
 def one(spark, value):
@@ -261,3 +261,20 @@ def test_image_mappings_of_pages_without_an_id(spark):
     tries = spark.createDataFrame([("https://e.com/a.png", 1, 200)], "url string, attempt int, status int")
     got = {r.url: r.image_mappings for r in I.with_image_mappings(extract_pages(pages, extract_images=True), I.fetch_outcome(tries)).collect()}
     assert {u: bool(m) for u, m in got.items()} == {"https://e.com/1": True, "https://f.com/2": False, "https://e.com/3": True, "https://f.com/4": False}
+
+
+def test_live_progress_has_rows_before_the_end(spark, tmp_path):
+    spark.range(40).selectExpr("id", "case when id % 4 = 0 then 'error' when id % 4 < 3 then 'ok' end as status").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, status string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+    def rows(df, total=None):
+        query = watched(df).writeStream.format("noop").trigger(availableNow=True).start()
+        return [(r, query.isActive) for r in live_progress(query, total, every=0.01)]
+
+    seen = rows(stream, 40)
+    sums = [r for r, _ in seen]
+    assert seen[0][1] and len(sums) == 4 and sums[0]["completed"] < 30
+    assert [r["completed"] for r in sums] == sorted(r["completed"] for r in sums)
+    assert sums[-1] == {"batch": 3, "total": 40, "completed": 30, "failed": 10, "success_rate": 20 / 30 * 100, "percentage": 75.0}
+    with pytest.raises(Exception, match="boom"):
+        rows(stream.withColumn("status", F.expr("if(id = 7, raise_error('boom'), status)")))
