@@ -36,7 +36,8 @@ def ring_nodes(spark: SparkSession, shards: int, vnodes: int, cells: int, seed:
         .groupBy("cell").agg(F.min("shard").alias("shard"))
     )
     ring = Window.orderBy("cell")
-    ahead = ring.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # counterclockwise from the end: a running minimum, where a frame up to the end is summed anew for each row
+    ahead = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     around = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     met = []
     for s in range(shards):
@@ -102,7 +103,7 @@ def ring_shards(
     rows = scratch.write(counted.withColumn("_cell", _cell(cells, seed, F.lit("key"), F.col(at))), "rows")
 
     nodes = scratch.write(ring_nodes(spark, shards, vnodes, cells, seed), "nodes")
-    ring = Window.orderBy("cell").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = rows.groupBy(F.col("_cell").alias("cell")).agg(F.sum("_n").alias("n"))
     # each cell belongs to the first node at it or after it, the last cells to the first node
     every = (
@@ -113,7 +114,7 @@ def ring_shards(
     node = F.when(F.col("arc").isNotNull(), F.struct("arc", "shard"))
     table = every.select(
         "cell", F.coalesce("n", F.lit(0)).alias("n"),
-        F.coalesce(F.first(node, True).over(ring), F.first(node, True).over(whole)).alias("node"),
+        F.coalesce(F.last(node, True).over(ahead), F.first(node, True).over(whole)).alias("node"),
     ).select("cell", "n", "node.arc", "node.shard", F.sum("n").over(whole).alias("all"))
     if slack:
         bound = (F.floor(F.col("all") * (1 + slack) / shards) + 1).cast("long")

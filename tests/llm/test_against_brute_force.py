@@ -8,10 +8,11 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
-from leafpress.llm import bpe, caps, lattice, quality, scan, simhash, substrings, token_counts, topk
+from leafpress.llm import bpe, caps, lattice, quality, scan, sharding, simhash, substrings, token_counts, topk
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -101,7 +102,6 @@ def test_forest_spans_what_is_near():
 
 @pytest.mark.parametrize("bits", [0, 4, 9, 16, 31])
 def test_near_prints_share_a_shard(spark, bits):
-    from pyspark.sql import functions as F
 
     rng = random.Random(bits)
     prints = []
@@ -292,3 +292,52 @@ def test_search_prunes_nothing_that_counts():
         every = rows @ queries[i]
         want = sorted((-s, ids[j], j) for j, s in enumerate(every) if j != i)[:5]
         assert [j for _, _, j in want] == at.tolist() and [-s for s, _, _ in want] == score.tolist()
+
+
+def plain_ring(rows, cell_of, node_cells, shards, cells):
+    """Shard and slot of each row by a walk over the ring: homes up to their bounds first, then the overflow clockwise."""
+    ring = {}
+    for s, c in node_cells:
+        ring[c] = min(s, ring.get(c, s))
+    arcs = sorted(ring)
+    own = lambda c: next((i for i, a in enumerate(arcs) if a >= c), 0)
+    bound = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    held, over = [[] for _ in range(shards)], [[] for _ in arcs]
+    for row in sorted(rows, key=lambda r: (cell_of[r[0]], r)):
+        arc = own(cell_of[row[0]])
+        shard = ring[arcs[arc]]
+        (held[shard] if len(held[shard]) < bound[shard] else over[arc]).append(row)
+    for arc, left in enumerate(over):
+        way = [ring[arcs[(arc + i) % len(arcs)]] for i in range(len(arcs))]
+        way += sorted(set(range(shards)) - set(way))
+        for shard in dict.fromkeys(way):
+            free = bound[shard] - len(held[shard])
+            held[shard] += left[:free]
+            left = left[free:]
+        assert not left
+    return sorted((*row, shard, slot) for shard, rows in enumerate(held) for slot, row in enumerate(rows))
+
+
+@pytest.mark.parametrize("shards, vnodes, cells, distinct", [(24, 64, 1 << 14, 3000), (5, 2, 64, 40), (3, 4, 12, 3), (4, 1, 4, 1000), (1, 1, 8, 20)])
+def test_ring_as_a_plain_walk(spark, shards, vnodes, cells, distinct):
+    """Rows of the query's kind, with repeated keys and rows."""
+    rng = random.Random(shards)
+    rows = [(min(rng.randrange(distinct), rng.randrange(distinct)), rng.randrange(3)) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, size bigint")
+    keys = df.select("doc_id", sharding._cell(cells, 7, F.lit("key"), F.col("doc_id")).alias("c")).distinct().collect()
+    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("s"), (F.col("id") / shards).cast("int").alias("n"))
+    node_cells = [tuple(r) for r in nodes.select("s", sharding._cell(cells, 7, F.lit("node"), F.col("s"), F.col("n"))).collect()]
+    got = sharding.ring_shards(df, "doc_id", shards, vnodes=vnodes, cells=cells).select("doc_id", "size", "shard", "slot").collect()
+    assert sorted(tuple(r) for r in got) == plain_ring(rows, {r.doc_id: r.c for r in keys}, node_cells, shards, cells)
+
+
+def test_consistent_ring_query_as_a_plain_walk(spark):
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs]
+    keys = spark.createDataFrame([(r[0],) for r in rows], "doc_id bigint").select("doc_id", sharding._cell(1 << 14, 7, F.lit("key"), F.col("doc_id")).alias("c")).collect()
+    nodes = spark.range(24 * 64).select((F.col("id") % 24).cast("int").alias("s"), (F.col("id") / 24).cast("int").alias("n"))
+    node_cells = [tuple(r) for r in nodes.select("s", sharding._cell(1 << 14, 7, F.lit("node"), F.col("s"), F.col("n"))).collect()]
+    got = entry.queries()["op6_consistent_ring"](spark, SF).select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+    assert sorted(tuple(r) for r in got) == plain_ring(rows, {r.doc_id: r.c for r in keys}, node_cells, 24, 1 << 14)
