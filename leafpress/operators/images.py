@@ -112,13 +112,15 @@ def image_mapping(images: DataFrame, outcome: DataFrame | None = None, by: str =
 
     An image such as a logo may be on any share of the pages, so it meets its
     outcome in a skew-safe join; what is gathered per page is the page's images.
+    A join with the maps is a sort-merge join, as there are as many maps as pages
+    and Spark takes them for smaller than they are.
     """
     if outcome is not None:
         images = skew_join(images, outcome.filter("ok").select("url"), ["url"], "left_semi")
     per_page = images.groupBy(by).agg(
         F.sort_array(F.collect_list(F.struct("pos", "url", "local_filename", "original_src"))).alias("i")
     )
-    return per_page.select(by, mapping_of(F.col("i")).alias("image_mappings"))
+    return per_page.select(by, mapping_of(F.col("i")).alias("image_mappings")).hint("merge")
 
 
 def found_images(results: DataFrame, by: str = "page_id") -> DataFrame:

@@ -24,7 +24,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     not grow with the key.  Any other key holds less than a thousandth of the rows,
     and is left to the adaptive plan.  The list is joined by 128-bit hashes of the keys.  Left-side NULL keys match nothing, as usual.  The
     left side is read twice (once for its keys alone), so write it out first if
-    it is costly to compute.
+    it is costly to compute.  The sides meet in a sort-merge join: what Spark takes for the size of a right
+    side may be far below its rows, and a broadcast would bring them all through the driver.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -43,7 +44,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     )
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_right = right.withColumn("_key", _key_hash(on)).join(F.broadcast(heavy), "_key", "left").withColumn("_salt", F.explode(copies))
-    return salted_left.drop("_salts", "_key").join(salted_right.drop("_salts", "_key"), [*on, "_salt"], how).drop("_salt")
+    return salted_left.drop("_salts", "_key").join(salted_right.drop("_salts", "_key").hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -278,3 +278,14 @@ def test_live_progress_has_rows_before_the_end(spark, tmp_path):
     assert sums[-1] == {"batch": 3, "total": 40, "completed": 30, "failed": 10, "success_rate": 20 / 30 * 100, "percentage": 75.0}
     with pytest.raises(Exception, match="boom"):
         rows(stream.withColumn("status", F.expr("if(id = 7, raise_error('boom'), status)")))
+
+
+def test_image_maps_do_not_pass_the_driver(spark):
+    """Estimates of their size come from the pages' file and fall short, so no such join may be a broadcast."""
+    pages = spark.createDataFrame([(1, "https://a.example.com/", '<img src="/x.png">'), (2, "https://a.example.com/b", '<img src="/x.png">')], "page_id long, url string, html string")
+    outcome = spark.createDataFrame([("https://a.example.com/x.png", True)], "url string, ok boolean")
+    maps = I.image_mapping(I.image_table(pages), outcome)
+    joined = pages.join(maps, "page_id", "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
+    assert {len(r.image_mappings) for r in joined.collect()} == {2}
