@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafpress.functions import urls as U
 from leafpress.functions.arrays import first_by, free_names, let
-from leafpress.session import cut_lineage
+from leafpress.session import cut_lineage, shuffle_width
 
 # The three pattern forms.
 NUMBERS = r"\[(\d+)-(\d+)(?::(\d+))?\]"
@@ -81,11 +81,11 @@ def pattern_size(p: Column) -> Column:
 
 def pattern_value(p: Column, i: Column) -> Column:
     """The i-th value (from 0) of a pattern; numbers padded to the start's width."""
-    number = (p["start"].try_cast(NUMBER) + i.cast("decimal(19,0)") * p["step"].cast("decimal(19,0)")).cast("string")
+    value = (p["start"].try_cast(NUMBER) + i.cast("decimal(19,0)") * p["step"].cast("decimal(19,0)")).cast("string")
     return (
         F.when(p["type"] == "list", F.get(p["items"], i.cast("int")))
         .when(p["type"] == "alpha_range", F.char(F.ascii(p["start"]) + i))
-        .otherwise(F.lpad(number, F.greatest(F.length(number), p["pad"]), "0"))
+        .otherwise(let(value, lambda number: F.lpad(number, F.greatest(F.length(number), p["pad"]), "0")))
     )
 
 
@@ -113,7 +113,9 @@ def prepared(df: DataFrame, url: str = "url") -> DataFrame:
 
     ``glob_total`` is NULL if a range cannot be counted (step 0, a number of over
     37 digits, or more URLs than a 64-bit number counts): such a URL is rejected
-    rather than ending the run.
+    rather than ending the run.  The costly columns come out of generators of one
+    row: Spark would copy the parsing of a plain column into filters on it, and into
+    the lambda that makes each URL.
     """
     sizes = F.transform("glob_patterns", pattern_size)
     places = F.transform(
@@ -128,9 +130,9 @@ def prepared(df: DataFrame, url: str = "url") -> DataFrame:
     )
     total = F.aggregate("glob_sizes", F.lit(1).cast("decimal(38,0)"), lambda a, s: F.try_multiply(a, s.cast("decimal(20,0)")).try_cast("decimal(38,0)"))
     return (
-        df.withColumn("glob_patterns", glob_patterns(F.col(url)))
-        .withColumn("glob_sizes", sizes)
-        .withColumn("glob_places", places)
+        df.withColumn("glob_patterns", F.explode(F.array(glob_patterns(F.col(url)))))
+        .withColumn("glob_sizes", F.explode(F.array(sizes)))
+        .withColumn("glob_places", F.explode(F.array(places)))
         .withColumn("glob_total", F.when(F.exists("glob_sizes", lambda s: s == 0), F.lit(0)).otherwise(total).try_cast("long"))
     )
 
@@ -149,9 +151,10 @@ def expand_globs(df: DataFrame, url: str = "url", in_row: int = IN_ROW) -> DataF
     so one URL may stand for more rows than a task could hold.  The few rows with
     large products are written with a number first, so that equal rows stay apart
     and their other columns may be of any kind.  Rows that cannot be counted are
-    in ``rejected_globs``.
+    in ``rejected_globs``.  A line is short and its product may be long, so the rows
+    are dealt out first: a list of a few megabytes would be one task's.
     """
-    ready = prepared(df, url)
+    ready = prepared(df.repartition(shuffle_width(df.sparkSession)), url)
     others = [c for c in df.columns if c != url]
     last = F.col("glob_total") - 1
 

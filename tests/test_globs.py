@@ -81,3 +81,19 @@ def test_a_line_is_expanded_or_rejected(spark):
     for r in G.expand_list(df, keep_rejected=True).collect():
         got.setdefault(r.line_no, set()).add(r.status)
     assert got == {0: {"ok"}, 1: {"rejected"}, 2: {"ok"}, 3: {"rejected"}, 5: {"ok"}}
+
+
+def test_products_of_one_split_are_made_by_several_tasks(spark):
+    lines = spark.range(64).coalesce(1).selectExpr("id", "concat('http://h', id, '.example.com/[1-3]') as url")
+    made = G.expand_globs(lines)
+    used = made.select(F.spark_partition_id().alias("task"), "id")
+    assert used.count() == 192 and used.select("task").distinct().count() > 1
+
+
+def test_patterns_are_parsed_once_for_each_row(spark):
+    """The parsing stands neither in the filters nor in the lambda that makes each URL."""
+    lines = spark.createDataFrame([("http://h.example.com/[1-3]",)], "url string")
+    plan = G.expand_globs(lines)._jdf.queryExecution().optimizedPlan().toString()
+    small = plan.split("Union")[1].split("LogicalRDD")[0]
+    # once for each of the three kinds of pattern
+    assert small.count("regexp_extract_all") == 3
