@@ -280,10 +280,13 @@ def test_live_progress_has_rows_before_the_end(spark, tmp_path):
         rows(stream.withColumn("status", F.expr("if(id = 7, raise_error('boom'), status)")))
 
 
-def test_image_maps_do_not_pass_the_driver(spark):
+def test_image_maps_do_not_pass_the_driver(spark, tmp_path):
     """Estimates of their size come from the pages' file and fall short, so no such join may be a broadcast."""
     pages = spark.createDataFrame([(1, "https://a.example.com/", '<img src="/x.png">'), (2, "https://a.example.com/b", '<img src="/x.png">')], "page_id long, url string, html string")
     outcome = spark.createDataFrame([("https://a.example.com/x.png", True)], "url string, ok boolean")
+    pages.write.parquet(f"{tmp_path}/pages")
+    outcome.write.parquet(f"{tmp_path}/outcome")
+    pages, outcome = spark.read.parquet(f"{tmp_path}/pages"), spark.read.parquet(f"{tmp_path}/outcome")
     maps = I.image_mapping(I.image_table(pages), outcome)
     joined = pages.join(maps, "page_id", "left")
     plan = joined._jdf.queryExecution().executedPlan().toString()
