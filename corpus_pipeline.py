@@ -6,9 +6,10 @@ for the next.  All but the last give the columns of ``documents``, with ``n_char
 as the text then is.
 
 1. ``quality``: documents that the classifier rejects go.
-2. ``simhash``: one document of each group of near duplicates stays; the rule is a
-   Jaccard similarity of ``SIMILARITY`` or more between shingles of ``WORDS`` words,
-   not the four bits between fingerprints that the query ``op1_vantage_prints`` has.
+2. ``simhash``: one document of each group of near duplicates stays.  SimHash prints
+   within ``BITS`` bits, found by vantage-point trees as in ``op1_vantage_prints``, propose
+   near duplicates, MinHash bands those beyond that radius; the rule that decides is a
+   Jaccard similarity of ``SIMILARITY`` or more between shingles of ``WORDS`` words.
 3. ``substrings``: passages that also stand in a document with a smaller id go;
    documents of which nothing is left go with them.
 4. ``mixing``: sources are brought to their target weights; a document stands as
@@ -32,7 +33,8 @@ from leafpress.llm.common import Scratch
 
 #: Rank file of the last stage.
 RANKS = "byte_bpe_50k.tiktoken"
-#: Near duplicates of the second stage: words in a shingle, least similarity.
+#: Near duplicates of the second stage: bits between near prints, words in a shingle, least similarity.
+BITS = 4
 WORDS = 5
 SIMILARITY = 0.8
 
@@ -46,7 +48,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, words=WORDS, similarity=SIMILARITY)
+    return simhash.keep_one(docs, bits=BITS, words=WORDS, similarity=SIMILARITY)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
-A radius of 64-bit fingerprints that reaches pairs of similarity 0.8 is so wide
-that no field of the fingerprint parts unrelated documents.  So candidates come
-from MinHash bands: documents whose sets have the least hash values of one band in
-common are linked to the least of them, and the groups that these links span are
+Candidates come from two sides.  Documents whose SimHash prints are near each other
+are found by the caller (``simhash.near_prints``, vantage-point trees).  A radius of
+64-bit prints that reaches all pairs of similarity 0.8 is so wide
+that no field of the print parts unrelated documents, so pairs beyond the radius
+come from MinHash bands: documents whose sets have the least hash values of one band in
+common are linked to the least of them.  The groups that both kinds of links span are
 verified.  A pair of similarity s meets in a band with probability
 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, more above; below, the verification
 decides.  Every document of a group moves once, and the exact similarities are
@@ -14,7 +16,7 @@ groups are split into blocks that meet in pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ ROWS = 7
 #: Shingles that are hashed at once, and documents in a block of a large group.
 TOGETHER = 1 << 11
 BLOCK = 2048
+#: Hashes whose bits are added at once.
+ADDED = 1 << 17
 #: Sets in candidate groups up to which their list is broadcast and other texts are not moved.
 FEW = 200_000
 
@@ -44,8 +48,8 @@ _TIMES = (_rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1))[:,
 _PLUS = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a text of fewer words is one shingle, one without words has none."""
+def hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
@@ -57,7 +61,20 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     stops = (ends[-n:] - 1).tolist()
     starts = [0, *ends[: n - 1].tolist()]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(hashes(text, words))
+
+
+def majority(every: np.ndarray) -> int:
+    """The SimHash print of the hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(every), ADDED):
+        ones += np.unpackbits(every[a : a + ADDED].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(every)).tobytes(), "big")
 
 
 def bands(own: np.ndarray) -> list[int]:
@@ -115,27 +132,51 @@ def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int
 
 
 def _sketches(df: DataFrame, keep: list[str], words: int) -> DataFrame:
-    """The kept columns, ``key`` (a hash of the set of shingles) and ``bands``."""
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("key", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """The kept columns, ``key`` (a hash of the set of shingles), ``print`` (of all shingles, signed) and ``bands``."""
+    made = [T.StructField("key", T.LongType()), T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*[df.schema[c] for c in keep], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for part in slices(batches, "text"):
-            sets = [shingles(t or "", words) for t in part.column("text").to_pylist()]
+            every = [hashes(t or "", words) for t in part.column("text").to_pylist()]
+            prints = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in every]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [*(part.column(c) for c in keep), pa.array(keys), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            columns = [*(part.column(c) for c in keep), pa.array(keys), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _band_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) from each set to the least one that has a band in common with it."""
+    placed = sets.select(F.explode("bands").alias("band"), "key")
+    met = placed.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return placed.join(met, "band").filter("key > low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+
+
+def _print_links(rows: DataFrame, near_prints: Callable[[Scratch, DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Links (a, b) from each set to the least one of its print, and between these where their prints are near."""
+    owners = rows.filter(F.size("bands") > 0).select("print", "key").distinct()
+    prints = scratch.write(owners.groupBy("print").agg(F.min("key").alias("low")), "prints")
+    same = owners.join(prints, "print").filter("key > low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    near = near_prints(scratch, prints.select("print"))
+    near = near.join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "two"), "b")
+    return same.union(near.select("one", "two"))
+
+
+def near_duplicates(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
+    near_prints: Callable[[Scratch, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """``id``, ``digest`` (of the text) and ``root`` (the group) of every row of ``df``.
 
     Documents whose sets of shingles have a Jaccard similarity of ``similarity`` or
     more are linked, and a group is what links reach.  Null texts and texts without
-    words are one group.
+    words are one group.  ``near_prints`` gives the links (a, b) of a table of
+    distinct prints; what they link is verified like what meets in a band.
     """
     if not SIMILARITY <= similarity <= 1:
         raise ValueError("the bands are made for similarities from 0.8 to 1")
@@ -145,9 +186,9 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", word
     rows = scratch.write(_sketches(own, ["id", "digest"], words), "rows")
     sets = rows.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("id", "digest")).alias("one"))
     sets = scratch.write(sets.select("key", "bands", "one.id", "one.digest"), "sets")
-    placed = sets.select(F.explode("bands").alias("band"), "key")
-    met = placed.groupBy("band").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    links = placed.join(met, "band").filter("key > low").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    links = _band_links(sets)
+    if near_prints is not None:
+        links = _print_links(rows, near_prints, scratch).union(links)
     asked = scratch.write(components(links).withColumnRenamed("node", "key").join(sets.select("key", "id", "digest"), "key"), "asked")
     if asked.count() <= FEW:
         asked = F.broadcast(asked)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,18 @@ def forest(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray] | Non
     return x[one], x[two]
 
 
+def near_prints(scratch: Scratch, prints: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that span the groups of a table of distinct ``print`` within ``bits`` of each other."""
+    placed = scratch.write(shards(prints, bits), "shards")
+    blocks = in_blocks(placed, ["tree", "leaf", "shell"], "print").drop("_side")
+
+    def links(group: dict[str, np.ndarray]):
+        found = forest(group["print"].view(np.uint64), bits)
+        return None if found is None else tuple(c.view(np.int64) for c in found)
+
+    return over_groups(blocks, ["tree", "leaf", "shell", "_one", "_two"], links, "a bigint, b bigint")
+
+
 def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", bits: int = 4, words: int = WORDS, extra: dict[str, Column] | None = None) -> DataFrame:
     """Id, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id reachable by links) of every row of ``df``.
 
@@ -144,14 +157,7 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", bits
     own = df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"), *[c.alias(n) for n, c in extra.items()])
     rows = scratch.write(fingerprints(own, "text", ["id", *extra], words), "rows")
     prints = scratch.write(rows.groupBy("print").agg(F.min("id").alias("first")), "prints")
-    placed = scratch.write(shards(prints, bits), "shards")
-    blocks = in_blocks(placed, ["tree", "leaf", "shell"], "print").drop("_side")
-
-    def links(group: dict[str, np.ndarray]):
-        found = forest(group["print"].view(np.uint64), bits)
-        return None if found is None else tuple(c.view(np.int64) for c in found)
-
-    found = over_groups(blocks, ["tree", "leaf", "shell", "_one", "_two"], links, "a bigint, b bigint")
+    found = near_prints(scratch, prints, bits)
     roots = scratch.write(components(found), "roots")
     scratch.drop("shards")
     named = prints.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
@@ -168,15 +174,18 @@ def keep_one(
 ) -> DataFrame:
     """One row of each group of near duplicates, that of the smallest id (a null id last), with all columns of ``df``.
 
-    With ``similarity``, near duplicates are not those of near fingerprints but of
-    shingles with that Jaccard similarity or more (``jaccard``), and ``bits`` does
-    not count.  Of rows with equal id and text one stays.
+    With ``similarity``, near duplicates are those of shingles with that Jaccard
+    similarity or more: fingerprints within ``bits`` propose them by the same trees, MinHash
+    bands those beyond that radius, and exact similarities decide (``jaccard``).  Of rows with
+    equal id and text one stays.
     """
+    if not 0 <= bits < 32:
+        raise ValueError("bits must be from 0 to 31")
     if similarity is None:
         found = near_duplicates(df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", bits, words, {"_digest": jaccard.digest("text")})
         groups = ["component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_print")]
     else:
-        found = jaccard.near_duplicates(df, id_, text, words, similarity).withColumnRenamed("digest", "_digest")
+        found = jaccard.near_duplicates(df, id_, text, words, similarity, partial(near_prints, bits=bits)).withColumnRenamed("digest", "_digest")
         groups = ["root"]
     best = found.groupBy(*groups).agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), "_digest")).alias("best"))
     kept = best.select(F.col("best.id").alias("kept_id"), F.col("best._digest").alias("kept_digest")).checkpoint(eager=True)

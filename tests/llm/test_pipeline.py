@@ -70,6 +70,27 @@ def test_a_group_in_blocks(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()} == one_of_each(rows)
 
 
+def test_near_prints_propose_copies(spark, monkeypatch):
+    from leafpress.llm import jaccard, simhash
+
+    rng = random.Random(5)
+    rows, near = [], []
+    for i in range(0, 120, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+        copy = list(base)
+        copy[rng.randrange(600)] = "other"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+        prints = [simhash.fingerprint(text, corpus_pipeline.WORDS) for _, text in rows[-2:]]
+        assert prints == [jaccard.majority(jaccard.hashes(text, corpus_pipeline.WORDS)) for _, text in rows[-2:]]
+        near += [i + 1] * ((prints[0] ^ prints[1]).bit_count() <= corpus_pipeline.BITS)
+    assert 20 < len(near) < 60
+    rows += [(200, ""), (201, None), (202, "a a a a a a a"), (203, "a a a a a a a a")]
+    monkeypatch.setattr(jaccard, "_band_links", lambda sets: sets.select("key", "key").limit(0).toDF("a", "b"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()}
+    assert kept == {i for i, _ in rows} - set(near) - {201, 203}
+
+
 PIECE = re.compile(r"[^ \t-\r]+[ \t-\r]*")
 
 
