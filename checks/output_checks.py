@@ -18,7 +18,7 @@ from leafpress.operators.report import progress
 from leafpress.operators.skew import ranked
 from leafpress.plans.batch import run_list
 from leafpress.session import cut_lineage, ensure_checkpoint_dir
-from leafpress.sources.file_sink import read_files, write_files
+from leafpress.sources.file_sink import drop_files, read_files, write_files
 from leafpress.sources.html_files import extract_files, read_html_files
 from leafpress.sources.pages import resolve_pages
 from leafpress.streaming.pages import live_progress, watched
@@ -254,8 +254,7 @@ def _through_files(spark, files):
     path = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     write_files(files, path)
     back = cut_lineage(read_files(spark, path).select("folder", "filename", F.col("bytes").cast("string").alias("text")))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_files(back, path)
     return back
 
 
@@ -275,9 +274,9 @@ def _html_folder(spark, sf, read):
     name = F.concat("page_id", F.lit(" ü+%.html"))
     write_files(table(spark, sf, "pages").select(F.lit("").alias("folder"), name.alias("filename"), F.col("html").cast("binary").alias("bytes")), path)
     back = cut_lineage(read(path))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return back.withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
+    back = back.withColumn("name", F.regexp_extract("file", "([^/]*)$", 1))
+    drop_files(back.select(F.lit("").alias("folder"), F.col("name").alias("filename")), path)
+    return back
 
 
 def html_files(spark, sf):

@@ -51,6 +51,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return min(width, 2 * sc.defaultParallelism) if sc.master.startswith("local") else width
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """Merge the splits of a scan into at most 32 tasks a core, nothing is moved.
+
+    Spark counts a small file as 4 MB, so a million of them would be 30,000 tasks, and as many files of a checkpoint.
+    """
+    return df.coalesce(32 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context.
 

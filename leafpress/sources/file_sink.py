@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from leafpress.functions import urls as U
-from leafpress.session import ship_package
+from leafpress.session import few_tasks, ship_package
 
 NAME = "leafpress_files"
 
@@ -131,13 +131,30 @@ def write_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``(folder, filename, bytes)`` of the files that :func:`write_files` wrote; Spark passes empty files over."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = few_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     root = re.sub(r"^[a-z0-9]+:/*|^/+|/+$", "", path)
     inside = F.substring_index("path", f"{root}/", -1)
     folder = F.regexp_extract(inside, r"^(.*)/[^/]*$", 1)
     return files.select(folder.alias("folder"), F.regexp_extract(inside, r"([^/]*)$", 1).alias("filename"), F.col("content").alias("bytes"))
 
 
+def drop_files(files: DataFrame, path: str) -> None:
+    """Delete the files ``(folder, filename)`` in tasks, then ``path`` with what is left there."""
+    spark = files.sparkSession
+    ship_package(spark)
+
+    def delete(rows: Iterator[Row]) -> None:
+        store, root = pafs.FileSystem.from_uri(path)
+        for row in rows:
+            name = f"{root}/{row.folder}/{row.filename}" if row.folder else f"{root}/{row.filename}"
+            if store.get_file_info(name).type == pafs.FileType.File:
+                store.delete_file(name)
+
+    files.select("folder", "filename").foreachPartition(delete)
+    left = spark._jvm.org.apache.hadoop.fs.Path(path)
+    left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
+
+
 def host_folder(url: Column) -> Column:
     """Folder of a page: its host, with what file systems may not take replaced."""
     return F.coalesce(F.nullif(F.regexp_replace(F.lower(U.netloc(url)), r"[^\p{L}\p{N}.-]", "_"), F.lit("")), F.lit("_none"))

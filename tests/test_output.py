@@ -13,7 +13,7 @@ from leafpress.operators.math import normalize_math
 from leafpress.operators.report import observe_progress
 from leafpress.plans.batch import run_batch
 from leafpress.sources import sinks, url_lists
-from leafpress.sources.file_sink import FileWriter, read_files, write_files
+from leafpress.sources.file_sink import FileWriter, drop_files, read_files, write_files
 from leafpress.streaming.pages import extract_stream, live_progress, watched
 
 
@@ -229,6 +229,33 @@ def test_files_of_their_own(spark, tmp_path):
     assert read_files(spark, out).count() == 1
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from leafpress.sources.html_files import read_html_files
+
+    out, most = str(tmp_path / "files"), 32 * spark.sparkContext.defaultParallelism
+    n = most + 44
+    write_files(spark.range(n).select(F.lit("").alias("folder"), F.concat("id", F.lit(" ü+%[1].html")).alias("filename"), F.col("id").cast("string").cast("binary").alias("bytes")), out)
+    for inner in ("k=v", "inner.html"):  # neither columns nor files of folders within
+        (tmp_path / "files" / inner).mkdir()
+        (tmp_path / "files" / inner / "x.html").write_text("within")
+    (tmp_path / "files" / "other.htm").write_text("other")
+    key = "spark.sql.files.openCostInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "200m")  # a task for each file
+    try:
+        files = read_files(spark, out)
+        pages = read_html_files(spark, f"{out}/*.html")
+        assert (files.rdd.getNumPartitions(), pages.rdd.getNumPartitions()) == (most, most)
+    finally:
+        spark.conf.set(key, old)
+    assert files.count() == n + 3
+    assert {(r.file, r.html) for r in pages.collect()} == {(f"{out}/{i} ü+%[1].html", str(i)) for i in range(n)}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_html_files(spark, f"{out}/*.xhtml")
+    drop_files(files.filter("folder = ''").select("folder", "filename"), out)
+    assert not (tmp_path / "files").exists()
+
+
 def test_a_job_that_fails_leaves_no_files(spark, tmp_path):
     out = str(tmp_path / "files")
     df = spark.range(100, numPartitions=4).select(F.lit("f").alias("folder"), F.concat("id", F.lit(".md")).alias("filename"), F.raise_error(F.lit("odd")).alias("e"), "id")
