@@ -51,3 +51,26 @@ def test_fetches_without_page_ids(spark):
     seeds = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string")
     got = {(r.url, r.html, r.status) for r in P.resolve_pages(seeds, pages).collect()}
     assert got == {("a", "<p>x</p>", "ok"), ("b", "<p>y</p>", "ok"), ("c", "<p>w</p>", "ok"), ("d", None, "no_page")}
+
+
+def test_a_row_group_is_not_one_task(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from checks.common import spread_table
+
+    # one row group, which Spark cuts into more splits than there are cores: all but one are empty
+    spark.range(0, 60000, 1, 1).withColumn("x", F.sha2(F.col("id").cast("string"), 512)).write.option("compression", "none").parquet(str(tmp_path / "t.parquet"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, "500000")
+    try:
+        plain = spark.read.parquet(str(tmp_path / "t.parquet"))
+        assert plain.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        assert plain.groupBy(F.spark_partition_id()).count().count() == 1
+        dealt = spread_table(spark, str(tmp_path), "t", "id", 5000)
+        counts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(counts) == 12 and sum(counts) == 60000 and max(counts) < 6000
+    assert spread_table(spark, "/root/testdata/sf0.001", "orders", "o_orderkey").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
