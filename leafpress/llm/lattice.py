@@ -6,8 +6,9 @@ lattice of all its segmentations into the pieces of an existing vocabulary, of
 which the first carries the mark of a word's begin.  The pieces' weights start
 from the vocabulary's own scores and are re-estimated once by expected counts
 over the distinct training words.  The forward recursion sums over
-segmentations in log space, so the result is the marginal probability of the
-word, and their product that of the text.
+segmentations, so the result is the marginal probability of the word, and their
+product that of the text.  Short words go through it thousands at a time, as
+arrays of plain probabilities over a trie of the pieces; long ones in log space.
 
 Words never travel one by one.  A batch of documents sends each of its distinct
 words once, with a count, and gets back the word's scores; the documents wait as
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafpress.llm.common import Scratch, arrow_ready
+from leafpress.llm.common import Scratch, arrow_ready, slices
 
 #: Bytes of text in a batch of documents.
 BATCH_BYTES = 32 << 20
@@ -36,8 +38,14 @@ BATCH_BYTES = 32 << 20
 RANK_SHIFT = 100.0
 #: Share of the first weights that is kept when the weights are re-estimated.
 KEPT_PRIOR = 0.02
-#: Words of up to so many bytes are counted in plain probabilities, longer ones by their logs.
+#: Words of up to so many bytes go through the lattice side by side in plain probabilities, longer ones one by one by their logs.
 SHORT = 24
+#: Least log of a probability that is worked with in plain form.
+LEAST_LOG = -600.0
+#: Number of words, and bytes of them, that go side by side.
+SIDE_ROWS, SIDE_BYTES = 8192, 4 << 20
+#: Stands for what follows the last byte of a word.
+NO_BYTE = 256
 MARK = "▁".encode()
 END = b""
 
@@ -77,8 +85,98 @@ class Lattice:
         self.first = {p[len(MARK) :]: w for p, w in weights.items() if p.startswith(MARK)}
         self.other = {p: w for p, w in weights.items() if not p.startswith(MARK)}
         self.longest = max(map(len, [*self.first, *self.other]))
-        self.first_p = {p: math.exp(w) for p, w in self.first.items()}
-        self.other_p = {p: math.exp(w) for p, w in self.other.items()}
+        #: Words of up to so many bytes, spelled byte by byte at worst, stay in the range of a double.
+        self.safe = int(LEAST_LOG / min([-1.0, *weights.values()])) - 1
+        self._build(weights)
+
+    def _build(self, weights: dict[bytes, float]) -> None:
+        """The pieces as a trie in arrays: node 0 begins the plain ones, node 1 those with the mark."""
+        after: list[dict[int, int]] = [{}, {}]
+        end_of: dict[int, bytes] = {}
+        for piece in weights:
+            node, rest = (1, piece[len(MARK) :]) if piece.startswith(MARK) else (0, piece)
+            for byte in rest:
+                if byte not in after[node]:
+                    after[node][byte] = len(after)
+                    after.append({})
+                node = after[node][byte]
+            end_of[node] = piece
+        # nodes that lead on get the first numbers, so only they need a row; all others share the empty row after them
+        inner = [node for node, next_ in enumerate(after) if next_ or node < 2]
+        number = np.empty(len(after), np.int32)
+        number[[*inner, *(node for node, next_ in enumerate(after) if not next_ and node > 1)]] = np.arange(len(after))
+        self.inner, self.dead = len(inner), len(after)
+        self.table = np.full((self.inner + 1, NO_BYTE + 1), self.dead, np.int32)
+        for node in inner:
+            self.table[number[node], list(after[node])] = number[list(after[node].values())]
+        self.pieces: list[bytes | None] = [None] * (self.dead + 1)
+        self.weight = np.zeros(self.dead + 1)
+        for node, piece in end_of.items():
+            self.pieces[number[node]], self.weight[number[node]] = piece, math.exp(weights[piece])
+
+    def is_short(self, word: bytes) -> bool:
+        return len(word) <= min(SHORT, self.safe)
+
+    def _walk(self, words: list[bytes], steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of short words side by side: lengths, and probabilities of all ways to spell each prefix.
+
+        ``steps`` gets the arcs, those from one begin to one end together: begin (-1 with the mark), end, words, nodes.
+        """
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(n.max(initial=0))
+        read = np.full((len(words), longest), NO_BYTE, np.int32)
+        read[np.arange(longest) < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        read = np.ascontiguousarray(read.T)
+        table, width = self.table.ravel(), NO_BYTE + 1
+        ahead = np.zeros((longest + 1, len(words)))
+        ahead[0] = self.weight[1]
+        for j in range(-1, longest):
+            at, node = (np.arange(len(words)), 1) if j < 0 else (np.flatnonzero(n > j), 0)
+            node = np.full(len(at), node, np.int32)
+            for i in range(max(j, 0) + 1, longest + 1):
+                node = table[np.minimum(node, self.inner) * width + read[i - 1, at]]
+                on = np.flatnonzero(node != self.dead)
+                if not len(on):
+                    break
+                at, node = at[on], node[on]
+                w = self.weight[node]
+                ahead[i, at] += w if j < 0 else ahead[j, at] * w
+                if steps is not None:
+                    steps.append((j, i, at, node))
+        return n, ahead
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Log probability of each word: short words side by side in plain probabilities, the others one by one by their logs."""
+        short = np.fromiter(map(self.is_short, words), bool, len(words))
+        found = np.empty(len(words))
+        n, ahead = self._walk([w for w, s in zip(words, short) if s])
+        with np.errstate(divide="ignore"):
+            found[short] = np.log(ahead[n, np.arange(len(n))])
+        found[~short] = [self.log_probability(w) for w, s in zip(words, short) if not s]
+        return found
+
+    def expected(self, words: list[bytes]) -> dict[bytes, float]:
+        """Expected number of uses of each piece in all the words."""
+        steps: list = []
+        n, ahead = self._walk([w for w in words if self.is_short(w)], steps)
+        every = np.arange(len(n))
+        back = np.zeros_like(ahead)
+        back[n, every] = 1 / ahead[n, every]
+        nodes, shares = [np.empty(0, np.int32)], [np.empty(0)]
+        for j, i, at, node in reversed(steps):  # all arcs from an end come before those into it
+            use = self.weight[node] * back[i, at]
+            if j >= 0:
+                back[j, at] += use
+                use = use * ahead[j, at]
+            nodes.append(node)
+            shares.append(use)
+        uses = np.bincount(np.concatenate(nodes), np.concatenate(shares), len(self.weight))
+        uses[1] += self.weight[1] * back[0].sum()
+        counts = {self.pieces[k]: float(uses[k]) for k in np.flatnonzero(uses)}
+        for word in words:
+            if not self.is_short(word):
+                self.add_expected(word, counts)
+        return counts
 
     def _arcs(self, word: bytes) -> list[list[tuple[int, float, bool]]]:
         """For each end, the arcs that reach it: begin, log weight, whether the piece carries the mark."""
@@ -109,8 +207,9 @@ class Lattice:
 
     def add_expected(self, word: bytes, counts: dict[bytes, float], times: float = 1.0) -> None:
         """Add the expected number of uses of each piece in the word."""
-        if len(word) <= SHORT:
-            self._add_expected_short(word, counts, times)
+        if self.is_short(word):
+            for piece, uses in self.expected([word]).items():
+                counts[piece] = counts.get(piece, 0.0) + times * uses
             return
         arcs = self._arcs(word)
         ahead = self.forward(word, arcs)
@@ -130,35 +229,6 @@ class Lattice:
                 back[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-    def _add_expected_short(self, word: bytes, counts: dict[bytes, float], times: float) -> None:
-        """The same in plain probabilities, which a short word does not take out of range."""
-        n, first, other, longest = len(word), self.first_p, self.other_p, self.longest
-        arcs = []
-        ahead = [0.0] * (n + 1)
-        ahead[0] = first[b""]
-        for i in range(1, min(n, longest) + 1):
-            if (w := first.get(word[:i])) is not None:
-                ahead[i] = w
-        for j in range(n):
-            reached = ahead[j]  # all arcs into j come from before it
-            for i in range(j + 1, min(n, j + longest) + 1):
-                piece = word[j:i]
-                if (w := other.get(piece)) is not None:
-                    arcs.append((j, i, w, piece))
-                    ahead[i] += reached * w
-        back = [0.0] * (n + 1)
-        back[n] = times / ahead[n]
-        for j, i, w, piece in reversed(arcs):
-            use = w * back[i]
-            back[j] += use
-            counts[piece] = counts.get(piece, 0.0) + ahead[j] * use
-        counts[MARK] = counts.get(MARK, 0.0) + first[b""] * back[0]
-        for i in range(1, min(n, longest) + 1):
-            if (w := first.get(word[:i])) is not None:
-                piece = MARK + word[:i]
-                counts[piece] = counts.get(piece, 0.0) + w * back[i]
-
-
 def _batches(df: DataFrame, id_: str, text: str) -> DataFrame:
     """One row for each batch of documents: its distinct words with counts in training, and its documents."""
     kind = df.schema[id_].dataType
@@ -172,62 +242,70 @@ def _batches(df: DataFrame, id_: str, text: str) -> DataFrame:
         ]
     )
 
+    def one(values) -> pa.Array:
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-
-        def fresh():
-            return {}, [], [], [], [], [], [], []
-
-        place, trained, ids, held, tokens, ends, places, counts = fresh()
-        size = 0
+        kept, size = [], 0
 
         def made():
-            row = [f"{part}-{number}", list(place), trained, pa.concat_arrays(ids), held, tokens, ends, np.concatenate(places), np.concatenate(counts)]
-            row[3] = pa.ListArray.from_arrays(pa.array([0, len(row[3])], pa.int32()), row[3])
-            lists = [pa.array([row[0]]), pa.array([row[1]], pa.list_(pa.binary())), pa.array([row[2]], pa.list_(pa.int64())), row[3],
-                     pa.array([row[4]], pa.list_(pa.bool_())), pa.array([row[5]], pa.list_(pa.int64())), pa.array([row[6]], pa.list_(pa.int64())),
-                     pa.array([row[7]], pa.list_(pa.int32())), pa.array([row[8]], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(lists, names=schema.names)
-
-        for batch in batches:
-            ids_now = batch.column("_id")
-            for k, (t, h) in enumerate(zip(batch.column("_text"), batch.column("_held").to_pylist())):
-                data = (t.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                words = data.split()
-                seen = Counter(words)
-                seen[END] = 1
-                own = np.fromiter((place.setdefault(w, len(place)) for w in seen), np.int32, len(seen))
-                n = np.fromiter(seen.values(), np.int32, len(seen))
-                trained.extend([0] * (len(place) - len(trained)))
-                if not h:
-                    for p, c in zip(own.tolist(), n.tolist()):
-                        trained[p] += c
-                ids.append(ids_now.slice(k, 1))
-                held.append(h)
-                tokens.append(len(words) + 1)
-                places.append(own)
-                counts.append(n)
-                ends.append(len(own) + (ends[-1] if ends else 0))
-                size += len(data) + 64
-                if size >= BATCH_BYTES:
-                    yield made()
-                    place, trained, ids, held, tokens, ends, places, counts = fresh()
-                    size, number = 0, number + 1
-        if ids:
+            ids, held, tokens, own, places, counts = zip(*kept)
+            listed = pa.chunked_array(places).unify_dictionaries()
+            places = np.concatenate([c.indices.to_numpy() for c in listed.chunks])
+            held, own, counts = np.concatenate(held), np.concatenate(own), np.concatenate(counts)
+            words = listed.chunk(0).dictionary.cast(pa.binary())
+            trained = np.bincount(places, counts * np.repeat(~held, own), len(words)).astype(np.int64)
+            lists = [words, trained, pa.concat_arrays(ids), held, np.concatenate(tokens), np.cumsum(own), places, counts]
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *map(one, lists)], names=schema.names)
+
+        for piece in slices(batches, "_text"):
+            texts = pc.fill_null(piece.column("_text"), "")
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            words, n = lists.flatten(), pc.list_value_length(lists).to_numpy()
+            full = pc.not_equal(pc.binary_length(words), 0)  # spaces at an edge leave an empty string
+            of = np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)]
+            # each text has one end, the empty string
+            seen = pa.concat_arrays([words.filter(full), pa.array([END.decode()] * len(n), words.type)]).dictionary_encode()
+            tokens = np.bincount(of, minlength=len(n)) + 1
+            of = np.concatenate([of, np.arange(len(n))])
+            pairs, counts = np.unique(of * len(seen.dictionary) + seen.indices.to_numpy(), return_counts=True)
+            of, place = np.divmod(pairs, len(seen.dictionary))
+            places = pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), seen.dictionary)
+            held = piece.column("_held").to_numpy(zero_copy_only=False)
+            kept.append((piece.column("_id"), held, tokens, np.bincount(of, minlength=len(n)), places, counts.astype(np.int32)))
+            size += pc.sum(pc.binary_length(texts)).as_py() + 64 * len(n)
+            if size >= BATCH_BYTES:
+                yield made()
+                kept, size, number = [], 0, number + 1
+        if kept:
             yield made()
 
     cut = df.select(F.col(f"`{id_}`").alias("_id"), F.col(f"`{text}`").alias("_text"), held_out(F.col(f"`{id_}`")).alias("_held"))
     return cut.mapInArrow(run, schema)
 
 
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in larger parts."""
+    parts, rows, size = [], 0, 0
+    for batch in batches:
+        parts.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= SIDE_ROWS or size >= SIDE_BYTES:
+            yield pa.Table.from_batches(parts).combine_chunks()
+            parts, rows, size = [], 0, 0
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
 def _estimate(words: DataFrame, weights: dict[bytes, float]) -> dict[bytes, float]:
     """Weights from the expected uses of each piece over the distinct training words."""
 
     def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, counts = Lattice(weights), {}
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                lattice.add_expected(word, counts)
+        lattice, counts = Lattice(weights), Counter()
+        for part in _side_by_side(batches):
+            counts.update(lattice.expected(part.column("word").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.float64())], names=["piece", "uses"])
 
     parts = words.select("word").filter(F.length("word") > 0).mapInArrow(expected, "piece binary, uses double")
@@ -265,19 +343,22 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(weights)
         below = math.log10(trained + 0.1 * (distinct + 1))
-        for part in parts:
-            c = part.column("c").to_numpy(zero_copy_only=False)
-            spell = np.array([0.0 if w == END else math.exp(max(lattice.log_probability(w), -690.0)) for w in part.column("word").to_pylist()])
+        for part in _side_by_side(parts):
+            c = part.column("c").to_numpy()
+            words = part.column("word").to_pylist()
+            end = np.fromiter((w == END for w in words), bool, len(words))
+            lattices = lattice.log_probabilities(words)
+            spell = np.where(end, 0.0, np.exp(np.maximum(lattices, -690.0)))
             # very long words: the log of the sum is that of the lattice alone
-            logs = np.array([lattice.log_probability(w) if w != END and s < 1e-280 else 0.0 for w, s in zip(part.column("word").to_pylist(), spell)])
-            whole = np.maximum(c - discount, 0) / trained if trained else np.where([w == END for w in part.column("word").to_pylist()], 0.5, 0.0)
+            logs = np.where(~end & (spell < 1e-280), lattices, 0.0)
+            whole = np.maximum(c - discount, 0) / trained if trained else np.where(end, 0.5, 0.0)
             with np.errstate(divide="ignore"):
                 model = np.log10(whole + spelled * spell)
             model = np.where((logs < 0) & (whole == 0), (logs + math.log(spelled)) / math.log(10), model)
             # an end that no training text has
             model = np.where(np.isneginf(model), -below - 1.0, model)
             base = np.log10(c + 0.1) - below
-            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(c > 0), pa.array(base), pa.array(model)], names=["word", "known", "base", "model"])
+            yield pa.RecordBatch.from_arrays([part.column("word").combine_chunks(), pa.array(c > 0), pa.array(base), pa.array(model)], names=["word", "known", "base", "model"])
 
     scores = words.mapInArrow(scored, "word binary, known boolean, base double, model double")
     back = listed.select("batch", "place", F.col("w.words").alias("word")).join(scores, "word").select(F.col("batch").alias("of"), "place", "known", "base", "model")

@@ -201,6 +201,65 @@ def test_lattice_sums_all_segmentations(monkeypatch):
     assert math.isclose(spelled, len(word))
 
 
+def test_lattice_side_by_side_is_one_by_one(monkeypatch):
+    """Short words go through the lattice together, none alone; the results are those of each word's own recursion in logs."""
+    own = lattice.Lattice(lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(8)
+    words = [b"", *(bytes(rng.choices(b"aehinrst.,", k=rng.randint(1, 16))) for _ in range(300))]
+    words += [rng.randbytes(rng.randint(1, 30)) for _ in range(60)] + ["\u65e5\u672c\u8a9e".encode() * 9, b"a" * 24, b"a" * 25, b"a" * 90]
+    one = [own.log_probability(w) for w in words]
+    assert np.allclose(own.log_probabilities(words), one, rtol=1e-12, atol=0)
+    together, counts = own.expected(words), {}
+    with monkeypatch.context() as m:
+        m.setattr(lattice, "SHORT", -1)
+        for w in words:
+            own.add_expected(w, counts)
+    assert all(math.isclose(together.get(p, 0), n, rel_tol=1e-9, abs_tol=1e-200) for p, n in counts.items())
+    assert own.log_probabilities([]).shape == (0,) and own.expected([]) == {}
+    monkeypatch.setattr(lattice.Lattice, "log_probability", None)
+    monkeypatch.setattr(lattice.Lattice, "forward", None)
+    short = [w for w in words if len(w) <= 16]
+    assert np.allclose(own.log_probabilities(short), [x for x, w in zip(one, words) if len(w) <= 16], rtol=1e-12, atol=0)
+    assert own.expected(short)
+
+
+def test_lattice_scores_against_a_plain_lattice(spark, monkeypatch):
+    """Every column over texts with odd spaces, from plain counts and one recursion in logs for each word."""
+    from collections import Counter
+
+    import zlib
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(3)
+    some = ["the", "The", "then", "a", "\u00e9t\u00e9", "x\u00a0y", "\x1cz", "\x85", "\x00", "n" * 60]
+    texts = [None, "", " \n", "\x0bA\x0c b\r\tA "]
+    texts += [rng.choice(["", " "]) + "".join(rng.choice(some) + rng.choice(" \t\n\x0b\x0c\r") * rng.randint(1, 2) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in lattice.score_texts(df, path).collect()}
+    tokens = {i: [*WORD.findall((t or "").encode().lower()), b""] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    c = Counter(w for i, own in tokens.items() if not held[i] for w in own)
+    n, v, once, twice = sum(c.values()), len(c), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
+    weights, uses = lattice.read_pieces(path), {}
+    monkeypatch.setattr(lattice, "SHORT", -1)
+    first = lattice.Lattice(weights)
+    for w in filter(None, c):
+        first.add_expected(w, uses)
+    total, kept = sum(uses.values()), lattice.KEPT_PRIOR
+    own = lattice.Lattice({p: math.log((1 - kept) * uses.get(p, 0) / total + kept * math.exp(w)) for p, w in weights.items()})
+
+    def log10(w):
+        spelled = discount * v / n * math.exp(own.log_probability(w)) if w else 0.0
+        return math.log10(max(c[w] - discount, 0) / n + spelled)
+
+    assert got.keys() == tokens.keys()
+    for i, words in tokens.items():
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(words), sum(c[w] > 0 for w in words), n)
+        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), rel_tol=1e-9)
+        assert math.isclose(got[i].score, sum(map(log10, words)), rel_tol=1e-9)
+
+
 def test_lattice_scores_against_counts(spark):
     from collections import Counter
 
