@@ -10,10 +10,11 @@ segmentations, so the result is the marginal probability of the word, and their
 product that of the text.  Short words go through it thousands at a time, as
 arrays of plain probabilities over a trie of the pieces; long ones in log space.
 
-Words never travel one by one.  A batch of documents sends each of its distinct
-words once, with a count, and gets back the word's scores; the documents wait as
+A batch of documents sends each of its distinct words once, with a count, and
+gets back the word's scores, those from one task as arrays; the documents wait as
 positions in the batch's list of words.  Every distinct word goes through the
-lattice once.
+lattice once.  No row holds a whole batch: buffers that have to be as large as a
+row stay small, in the files, in the exchanges and in what Python gets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from leafpress.llm.common import Scratch, arrow_ready, slices
 
 #: Bytes of text in a batch of documents.
 BATCH_BYTES = 32 << 20
+#: Words of a batch in one row.
+STRETCH = 1024
+#: Scores that a task sends back together.
+TOGETHER = 1 << 18
 #: Added to a rank when a vocabulary's scores are ranks of merges: the weight is 1 / (rank + this).
 RANK_SHIFT = 100.0
 #: Share of the first weights that is kept when the weights are re-estimated.
@@ -229,36 +234,47 @@ class Lattice:
                 back[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
+def _as_bytes(numbers: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The numbers as bytes, the first ``n[0]`` in the first row, and so on."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * numbers.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _as_numbers(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all rows, one row after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _batches(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """One row for each batch of documents: its distinct words with counts in training, and its documents."""
-    kind = df.schema[id_].dataType
+    """Batches of documents: rows with stretches of a batch's distinct words, ``at`` on, with counts in training, and a row for each document."""
     schema = T.StructType(
         [
-            T.StructField("batch", T.StringType()), T.StructField("words", T.ArrayType(T.BinaryType())),
-            T.StructField("trained", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(kind)),
-            T.StructField("held_out", T.ArrayType(T.BooleanType())), T.StructField("tokens", T.ArrayType(T.LongType())),
-            T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("batch", T.LongType()), T.StructField("at", T.IntegerType()),
+            T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("trained", T.ArrayType(T.LongType())),
+            T.StructField("id", df.schema[id_].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("tokens", T.LongType()),
+            T.StructField("places", T.BinaryType()), T.StructField("counts", T.BinaryType()),
         ]
     )
 
-    def one(values) -> pa.Array:
-        values = values if isinstance(values, pa.Array) else pa.array(values)
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        kept, size = [], 0
-
-        def made():
-            ids, held, tokens, own, places, counts = zip(*kept)
-            listed = pa.chunked_array(places).unify_dictionaries()
-            places = np.concatenate([c.indices.to_numpy() for c in listed.chunks])
-            held, own, counts = np.concatenate(held), np.concatenate(own), np.concatenate(counts)
-            words = listed.chunk(0).dictionary.cast(pa.binary())
-            trained = np.bincount(places, counts * np.repeat(~held, own), len(words)).astype(np.int64)
-            lists = [words, trained, pa.concat_arrays(ids), held, np.concatenate(tokens), np.cumsum(own), places, counts]
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *map(one, lists)], names=schema.names)
+        batch, kept, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            listed = pa.chunked_array([places for *_, places, _ in kept]).unify_dictionaries()
+            words, kind = listed.chunk(0).dictionary.cast(pa.binary()), kept[0][0].type
+            trained = np.zeros(len(words))
+            for (_, held, _, own, _, counts), places in zip(kept, listed.chunks):
+                free = np.repeat(~held, own)
+                trained += np.bincount(places.indices.to_numpy()[free], counts[free], len(words))
+            at = np.arange(0, len(words), STRETCH, dtype=np.int32)
+            ends = pa.array([*at.tolist(), len(words)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (words, pa.array(trained.astype(np.int64)))]
+            none = [pa.nulls(len(at), x) for x in (kind, pa.bool_(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch)), pa.array(at), *lists, *none], names=schema.names)
+            for (ids, held, tokens, own, _, counts), places in zip(kept, listed.chunks):
+                none = [pa.nulls(len(ids), x) for x in (pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()))]
+                pairs = [_as_bytes(x, own) for x in (places.indices.to_numpy(), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch)), *none, ids, pa.array(held), pa.array(tokens), *pairs], names=schema.names)
 
         for piece in slices(batches, "_text"):
             texts = pc.fill_null(piece.column("_text"), "")
@@ -274,13 +290,14 @@ def _batches(df: DataFrame, id_: str, text: str) -> DataFrame:
             of, place = np.divmod(pairs, len(seen.dictionary))
             places = pa.DictionaryArray.from_arrays(pa.array(place.astype(np.int32)), seen.dictionary)
             held = piece.column("_held").to_numpy(zero_copy_only=False)
-            kept.append((piece.column("_id"), held, tokens, np.bincount(of, minlength=len(n)), places, counts.astype(np.int32)))
+            ids = piece.column("_id").take(pa.array(np.arange(len(n))))  # a slice would keep the texts
+            kept.append((ids, held, tokens, np.bincount(of, minlength=len(n)), places, counts.astype(np.int32)))
             size += pc.sum(pc.binary_length(texts)).as_py() + 64 * len(n)
             if size >= BATCH_BYTES:
-                yield made()
-                kept, size, number = [], 0, number + 1
+                yield from made()
+                batch, kept, size = batch + 1, [], 0
         if kept:
-            yield made()
+            yield from made()
 
     cut = df.select(F.col(f"`{id_}`").alias("_id"), F.col(f"`{text}`").alias("_text"), held_out(F.col(f"`{id_}`")).alias("_held"))
     return cut.mapInArrow(run, schema)
@@ -316,6 +333,30 @@ def _estimate(words: DataFrame, weights: dict[bytes, float]) -> dict[bytes, floa
     return {p: math.log((1 - KEPT_PRIOR) * uses.get(p, 0.0) / total + KEPT_PRIOR * math.exp(w)) for p, w in weights.items()}
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The words' scores for the batches that hold them; a task sends those for one batch together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            of, *rest = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(of, kind="stable")
+            of, n = np.unique(of, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(of), *(_as_bytes(x[order], n) for x in rest)], names=["of", "places", "counts", "models"])
+
+        for batch in batches:
+            kept.append([batch.column(c).to_numpy() for c in ("batch", "place", "c", "model")])
+            size += batch.num_rows
+            if size >= TOGETHER:
+                yield made()
+                kept, size = [], 0
+        if size:
+            yield made()
+
+    return rows.select("batch", "place", "c", "model").mapInArrow(run, "of bigint, places binary, counts binary, models binary")
+
+
 def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every row of ``df``: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -330,8 +371,9 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
     arrow_ready(spark)
     scratch = Scratch(spark, "lattice")
     batches = scratch.write(_batches(df, id_, text), "batches")
-    listed = batches.select("batch", F.posexplode(F.arrays_zip("words", "trained")).alias("place", "w"))
-    counted = listed.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.trained").alias("c"))
+    stretches = batches.filter("at is not null").select("batch", "at", F.posexplode(F.arrays_zip("words", "trained")).alias("k", "w"))
+    listed = stretches.select("batch", (F.col("at") + F.col("k")).alias("place"), F.col("w.words").alias("word"), F.col("w.trained").alias("trained"))
+    counted = listed.groupBy("word").agg(F.sum("trained").alias("c"))
     words = scratch.write(counted, "words")
     trained, distinct, once, twice = words.agg(
         *[F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c"), *[F.when(test, 1).otherwise(0) for test in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2)])]
@@ -339,10 +381,10 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
     weights = _estimate(words.filter("c > 0"), read_pieces(path))
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
     spelled = discount * distinct / trained if trained else 0.5
+    below = math.log10(trained + 0.1 * (distinct + 1))
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(weights)
-        below = math.log10(trained + 0.1 * (distinct + 1))
         for part in _side_by_side(parts):
             c = part.column("c").to_numpy()
             words = part.column("word").to_pylist()
@@ -357,11 +399,10 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
             model = np.where((logs < 0) & (whole == 0), (logs + math.log(spelled)) / math.log(10), model)
             # an end that no training text has
             model = np.where(np.isneginf(model), -below - 1.0, model)
-            base = np.log10(c + 0.1) - below
-            yield pa.RecordBatch.from_arrays([part.column("word").combine_chunks(), pa.array(c > 0), pa.array(base), pa.array(model)], names=["word", "known", "base", "model"])
+            yield pa.RecordBatch.from_arrays([part.column("word").combine_chunks(), pa.array(c), pa.array(model)], names=["word", "c", "model"])
 
-    scores = words.mapInArrow(scored, "word binary, known boolean, base double, model double")
-    back = listed.select("batch", "place", F.col("w.words").alias("word")).join(scores, "word").select(F.col("batch").alias("of"), "place", "known", "base", "model")
+    scores = words.mapInArrow(scored, "word binary, c bigint, model double")
+    back = _packed(listed.drop("trained").join(scores, "word"))
     schema = T.StructType(
         [
             T.StructField(id_, df.schema[id_].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
@@ -371,16 +412,19 @@ def score_texts(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text
     )
 
     def joined(documents: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found.column("place").to_numpy())
-        known, base, model = (found.column(c).to_numpy(zero_copy_only=False)[order] for c in ("known", "base", "model"))
-        row = {c: documents.column(c).combine_chunks().flatten() for c in documents.column_names if c != "batch"}
-        places, counts = row["places"].to_numpy(), row["counts"].to_numpy().astype(np.float64)
-        begins = np.concatenate([[0], row["ends"].to_numpy()[:-1]])
-        sums = [np.add.reduceat(counts * values[places], begins) for values in (known, base, model)]
-        ids = row["ids"]
-        columns = [ids, row["held_out"], row["tokens"], pa.array(sums[0].astype(np.int64)), pa.array(np.full(len(ids), trained, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-        return pa.Table.from_arrays(columns, names=schema.names)
-
-    documents = batches.drop("words", "trained")
+        order = np.argsort(_as_numbers(found.column("places"), np.int32))
+        c, model = _as_numbers(found.column("counts"), np.int64)[order], _as_numbers(found.column("models"), np.float64)[order]
+        known, base = c > 0, np.log10(c + 0.1) - below
+        parts = []
+        for part in documents.to_batches():
+            places, counts = (_as_numbers(part.column(k), np.int32) for k in ("places", "counts"))
+            ends = np.cumsum(pc.binary_length(part.column("places")).to_numpy() // places.itemsize)
+            begins, counts = np.concatenate([[0], ends[:-1]]), counts.astype(np.float64)
+            sums = [np.add.reduceat(counts * values[places], begins) for values in (known, base, model)]
+            columns = [*(part.column(k) for k in ("id", "held_out", "tokens")), pa.array(sums[0].astype(np.int64)), pa.array(np.full(part.num_rows, trained, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            parts.append(pa.RecordBatch.from_arrays(columns, names=schema.names))
+        return pa.Table.from_batches(parts)
+
+    documents = batches.filter("at is null").select("batch", "id", "held_out", "tokens", "places", "counts")
     result = documents.groupBy("batch").cogroup(back.groupBy("of")).applyInArrow(joined, schema)
     return scratch.result(result)

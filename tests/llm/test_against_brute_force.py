@@ -260,6 +260,31 @@ def test_lattice_scores_against_a_plain_lattice(spark, monkeypatch):
         assert math.isclose(got[i].score, sum(map(log10, words)), rel_tol=1e-9)
 
 
+def test_lattice_rows_hold_no_batch(spark, monkeypatch):
+    """Rows hold a stretch of words or one document, words and scores go in many of them; batches, stretches and parts of any size give the same scores."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 4000)}" for _ in range(200)) for _ in range(60)] + [None, "", "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = lattice._batches(df, "doc_id", "text").collect()
+    distinct = {w.encode() for t in texts if t for w in t.split()} | {b""}
+    assert len(distinct) > 3000 and sorted(w for r in rows for w in r.words or []) == sorted(distinct)
+    assert max(len(r.words or []) for r in rows) <= 1024
+    assert sum(r.places is not None for r in rows) == len(texts)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    whole = {r.doc_id: r for r in lattice.score_texts(df, path).collect()}
+    for name, value in (("BATCH_BYTES", 5000), ("STRETCH", 7), ("TOGETHER", 100)):
+        monkeypatch.setattr(lattice, name, value)
+    assert len({r.batch for r in lattice._batches(df, "doc_id", "text").collect()}) == 1  # a slice of texts is in one batch
+    monkeypatch.setattr(lattice, "slices", lambda batches, text: (b.slice(i, 5) for b in batches for i in range(0, b.num_rows, 5)))
+    rows = lattice._batches(df, "doc_id", "text").collect()
+    assert len({r.batch for r in rows}) > 5 and max(len(r.words or []) for r in rows) == 7
+    parts = {r.doc_id: r for r in lattice.score_texts(df, path).collect()}
+    assert whole.keys() == parts.keys() == set(range(len(texts)))
+    for i, r in whole.items():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (parts[i].held_out, parts[i].n_tokens, parts[i].n_known, parts[i].train_tokens)
+        assert math.isclose(r.base_score, parts[i].base_score, rel_tol=1e-9) and math.isclose(r.score, parts[i].score, rel_tol=1e-9)
+
+
 def test_lattice_scores_against_counts(spark):
     from collections import Counter
 
